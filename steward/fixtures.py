@@ -16,14 +16,34 @@ SEED, RUN = 7, 0
 ANY_ID = "^[0-9A-Za-z-]+$"
 
 
+# The columns the jobs use of each table.
+TABLES = {
+    "nation": "n_nationkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, user_id bigint, event_type string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 class Fixtures:
     """One DataFrame per table; each reads only the columns and tables it needs."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            reader = self.spark.read.schema(TABLES[name])
+            self._read[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def _node_of(self, key: str):
         return F.col(key) % self.table("supplier").select(F.count("*")).scalar()

@@ -130,6 +130,19 @@ def change_class(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return feed.filter(F.col("change") == ADD), feed.filter(F.col("change") == REMOVE)
 
 
+def feed_rows(
+    catalog: DataFrame,
+    feed: DataFrame,
+    as_of: str | Column,
+    key: Key = ("id",),
+    preserve: bool = False,
+) -> DataFrame:
+    """The catalog rows the adds of a feed lead to."""
+    adds, _ = change_class(feed)
+    rows = _fresh(adds, as_of)
+    return keep_state(rows, catalog, key) if preserve else rows
+
+
 def apply_feed(
     catalog: DataFrame,
     feed: DataFrame,
@@ -142,10 +155,6 @@ def apply_feed(
     A key occurs at most once in a net feed, so one anti join clears the way for both.
     """
     key = list(key)
-    adds, _ = change_class(feed)
-    rows = _fresh(adds, as_of)
-    if preserve:
-        rows = keep_state(rows, catalog, key)
     changed = feed.filter(F.col("change").isin(ADD, REMOVE)).select(*key)
     untouched = catalog.join(changed, key, "left_anti").select(*CATALOG_COLUMNS)
-    return untouched.unionByName(rows.select(*CATALOG_COLUMNS))
+    return untouched.unionByName(feed_rows(catalog, feed, as_of, key, preserve))

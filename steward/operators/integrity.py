@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steward.schemas import LOCAL
-from steward.session import broadcast_if_small, settle
+from steward.session import BROADCAST_ROWS, settle
 
 # The union of settled rounds is settled again after this many, to keep its plan short.
 ROUNDS_PER_PLAN = 8
@@ -36,8 +36,10 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """
     reached = frontier = settle(roots.select("cid").distinct())
     rounds = 0
-    while not frontier.isEmpty():
-        parents = broadcast_if_small(frontier.select(F.col("cid").alias("parent")))
+    while found := frontier.count():
+        parents = frontier.select(F.col("cid").alias("parent"))
+        if found <= BROADCAST_ROWS:
+            parents = F.broadcast(parents)
         children = links.join(parents, "parent", "left_semi").select(F.col("child").alias("cid"))
         frontier = settle(children.distinct().join(reached, "cid", "left_anti"))
         reached = reached.unionByName(frontier)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steward.operators.running import SLICE, running, running_over_slices, sliced
+from steward.operators.running import running, running_over_slices, sliced, without_slices
 from steward.schemas import LOCAL
-from steward.session import broadcast_if_small, settle
+from steward.session import BROADCAST_ROWS, settle
 
 NEED_ORDER = ("replications", "id")
 
@@ -37,6 +37,14 @@ def node_room(nodes: DataFrame, used: DataFrame) -> DataFrame:
     return nodes.join(used, "node_id", "left").select("node_id", room.alias("room"))
 
 
+def with_room(files: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Each file with the room of its node in ``_room``; an unknown node has none."""
+    room = rooms.select("node_id", F.col("room").alias("_room"))
+    return files.join(room, "node_id", "left").withColumn(
+        "_room", F.coalesce("_room", F.lit(0)).cast("bigint")
+    )
+
+
 def fit_capacity(
     candidates: DataFrame,
     rooms: DataFrame,
@@ -50,15 +58,22 @@ def fit_capacity(
     is stricter: it counts skipped files as if they had been taken. A file must be
     smaller than the room left; one of just that size does not fit.
     """
-    room = broadcast_if_small(settle(rooms.select("node_id", F.col("room").alias("_room"))))
-    placed = candidates.join(room, "node_id", "left").withColumn(
-        "_room", F.coalesce("_room", F.lit(0)).cast("bigint")
-    )
+    placed = with_room(candidates, rooms)
+    return fit_placed(placed if mode == "prefix" else settle(placed), mode, order, group_rows)
+
+
+def fit_placed(
+    placed: DataFrame,
+    mode: str = "greedy",
+    order: Sequence[str] = NEED_ORDER,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """``fit_capacity`` for settled candidates that have their ``_room`` already."""
     if mode == "prefix":
         return _fit_prefix(placed, order)
-    if mode != "greedy":
-        raise ValueError(f"unknown mode {mode!r}")
-    return _fit_greedy(settle(placed), order, group_rows)
+    if mode == "greedy":
+        return _fit_greedy(placed, order, group_rows)
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def _fit_prefix(placed: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -77,38 +92,30 @@ def _fit_greedy(placed: DataFrame, order: Sequence[str], group_rows: int) -> Dat
     and otherwise in rounds over all its slices.
     """
     able = F.col("size") < F.col("_room")
+    way = (
+        F.when(F.col("_sum") < F.col("_max"), "all")
+        .when(F.col("_n") <= group_rows, "walk")
+        .otherwise("rounds")
+    )
     load = (
         placed.filter(able)
         .groupBy("node_id")
         .agg(F.count("*").alias("_n"), F.sum("size").alias("_sum"), F.max("_room").alias("_max"))
-        .select(
-            "node_id",
-            F.when(F.col("_sum") < F.col("_max"), "all")
-            .when(F.col("_n") <= group_rows, "walk")
-            .otherwise("rounds")
-            .alias("_way"),
-        )
-    )
-    load = settle(load)
-    routed = placed.join(
-        broadcast_if_small(load.withColumnRenamed("node_id", "_node")),
-        F.col("node_id").eqNullSafe(F.col("_node")),
-        "left",
-    ).drop("_node")
-    way = F.when(able, F.col("_way")).otherwise("never")
-
-    settled = routed.filter(way.isNull() | way.isin("never", "all")).withColumn(
-        "fits", F.coalesce(way == "all", F.lit(False))
+        .select("node_id", way.alias("_way"))
     )
+    ways = {row["_way"]: row["count"] for row in load.groupBy("_way").count().collect()}
+    if sum(ways.values()) <= BROADCAST_ROWS:
+        load = F.broadcast(load)
+    routed = placed.join(load, "node_id", "left")
     columns = [*[c for c in placed.columns if c != "_room"], "fits"]
-    result = settled.select(*columns)
-    ways = {row["_way"] for row in load.select("_way").distinct().collect()}
-    if "walk" in ways:
-        walked = routed.filter(able & (F.col("_way") == "walk")).select(*placed.columns)
-        result = result.unionByName(_walk(walked, order).select(*columns))
-    if "rounds" in ways:
-        large = routed.filter(able & (F.col("_way") == "rounds")).select(*placed.columns)
-        result = result.unionByName(_rounds(large, order).select(*columns))
+
+    going = able & F.col("_way").isin("walk", "rounds")
+    fits = F.coalesce(able & (F.col("_way") == "all"), F.lit(False))
+    result = routed.filter(~F.coalesce(going, F.lit(False))).withColumn("fits", fits).select(*columns)
+    for name, solve in (("walk", _walk), ("rounds", _rounds)):
+        if name in ways:
+            part = routed.filter(able & (F.col("_way") == name)).select(*placed.columns)
+            result = result.unionByName(solve(part, order).select(*columns))
     return result
 
 
@@ -144,33 +151,32 @@ def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     afterwards. A round ends at that file or where the room falls below ``cut``. Either
     way the room at least halves, so a few rounds settle every node at once.
     """
-    cut_rows = sliced(placed, ["node_id"], order)
-    ranked = settle(running_over_slices(cut_rows, ["node_id"], order, rank="_pos"))
-    files = ranked.drop("_room")
-    state = settle(
-        ranked.groupBy("node_id")
-        .agg(F.max("_room").alias("_room"))
-        .withColumn("_after", F.lit(0).cast("bigint"))
+    ranked = settle(
+        running_over_slices(sliced(placed, ["node_id"], order), ["node_id"], order, rank="_pos")
     )
+    files = ranked.drop("_room")
+    start = F.lit(0).cast("bigint").alias("_after")
+    state = ranked.groupBy("node_id").agg(F.max("_room").alias("_room")).select("*", start)
     log: DataFrame | None = None
+    going_on = (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
+    small = F.col("size") < F.col("_cut")
     while True:
-        live = files.join(broadcast_if_small(state), "node_id").filter(
-            (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
-        )
-        peak = live.groupBy("node_id").agg(F.max("size").alias("_peak"))
+        peak = F.max("size").alias("_peak")
         power = F.expr("shiftleft(1L, length(bin(_room)) - 1)")
-        cuts = state.join(peak, "node_id").withColumn(
-            "_cut", F.least(F.col("_peak") + 1, power)
+        cuts = settle(
+            files.join(state, "node_id")
+            .filter(going_on)
+            .groupBy("node_id", "_room", "_after")
+            .agg(peak)
+            .select("node_id", "_room", "_after", F.least(F.col("_peak") + 1, power).alias("_cut"))
         )
-        cuts = settle(cuts.select("node_id", "_room", "_after", "_cut"))
-        if cuts.isEmpty():
+        nodes = cuts.count()
+        if not nodes:
             break
-        live = files.join(broadcast_if_small(cuts), "node_id").filter(
-            (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
-        )
-        small = F.col("size") < F.col("_cut")
+        live = files.join(F.broadcast(cuts) if nodes <= BROADCAST_ROWS else cuts, "node_id")
+        taken_size = F.when(small, F.col("size")).otherwise(F.lit(0))
         summed = running_over_slices(
-            live, ["node_id"], ["_pos"], totals={"_sum": F.when(small, F.col("size")).otherwise(0)}
+            live.filter(going_on), ["node_id"], ["_pos"], totals={"_sum": taken_size}
         )
         left = F.col("_room") - F.col("_sum")
         ends = (small & (left < F.col("_cut"))) | (~small & (F.col("size") < left))
@@ -196,8 +202,7 @@ def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
         chosen = (size < step["_cut"]) | step["_stop"].eqNullSafe(pos)
         return within & (size < step["_room"]) & chosen
 
-    return (
-        ranked.join(broadcast_if_small(settle(steps), 10_000), "node_id", "left")
-        .withColumn("fits", F.coalesce(F.exists("_steps", taken), F.lit(False)))
-        .drop("_steps", "_pos", SLICE)
+    marked = ranked.join(steps, "node_id", "left").withColumn(
+        "fits", F.coalesce(F.exists("_steps", taken), F.lit(False))
     )
+    return without_slices(marked, ["node_id"]).drop("_steps", "_pos")

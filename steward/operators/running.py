@@ -13,11 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steward.session import broadcast_if_small, settle
+from steward.session import settle
 
 SLICE = "_slice"
 
 
+def _owner(column: str) -> Column:
+    """A group key that joins: rows without one belong together too."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``df`` cut into ordered slices, numbered in ``_slice``.
 
@@ -25,8 +30,11 @@ def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFra
     see the same slices.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = {f"_by_{name}": _owner(name) for name in group}
     return settle(
-        df.repartitionByRange(slices, *group, *order).withColumn(SLICE, F.spark_partition_id())
+        df.withColumns(owners)
+        .repartitionByRange(slices, *owners, *order)
+        .withColumn(SLICE, F.spark_partition_id())
     )
 
 
@@ -37,20 +45,23 @@ def running_over_slices(
     rank: str | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add a rank from 1 and inclusive running totals per group, in order."""
-    group, totals = list(group), totals or {}
-    measures = {**({rank: F.lit(1)} if rank else {}), **totals}
-    parts = cut.groupBy(*group, SLICE).agg(
+    """Add a rank from 1 and inclusive running totals per group, in order.
+
+    The window and the join to the shifts use one partitioning, by group and slice.
+    """
+    measures = {**({rank: F.lit(1)} if rank else {}), **(totals or {})}
+    owners = [f"_by_{name}" for name in group]
+    keys = [*owners, SLICE]
+    parts = cut.groupBy(*keys).agg(
         *[F.sum(value).alias(f"_sum_{name}") for name, value in measures.items()]
     )
     earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
+        Window.partitionBy(*(owners or [F.lit(0)]))
         .orderBy(SLICE)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    keys = [*group, SLICE]
-    offsets = parts.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys],
+    shifts = parts.select(
+        *keys,
         *[
             F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_off_{name}")
             for name in measures
@@ -61,9 +72,7 @@ def running_over_slices(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    joined = cut.join(broadcast_if_small(settle(offsets)), same)
-    return joined.select(
+    return cut.join(shifts, keys).select(
         *cut.columns,
         *[
             (F.sum(value).over(inside) + F.col(f"_off_{name}")).cast("bigint").alias(name)
@@ -72,6 +81,10 @@ def running_over_slices(
     )
 
 
+def without_slices(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    return df.drop(SLICE, *[f"_by_{name}" for name in group])
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
@@ -80,7 +93,7 @@ def running(
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     cut = sliced(df, group, order)
-    return running_over_slices(cut, group, order, rank, totals).drop(SLICE)
+    return without_slices(running_over_slices(cut, group, order, rank, totals), group)
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -242,8 +242,9 @@ _READDED = "SELECT b.* FROM rebased b JOIN moved m ON b.id = m.id WHERE m.change
 _EMPTY_ROOMS = ("rooms", "SELECT node_id, limit_bytes AS room FROM nodes")
 _EVICTABLE = (
     "evictable",
-    f"""SELECT node_id, id, size, replications FROM counted
-        WHERE status = 'local' AND replications > 0.05 * {NODE_COUNT}""",
+    f"""SELECT c.node_id, c.id, c.size, p.providers AS replications
+        FROM catalog c JOIN counts p ON c.id = p.id
+        WHERE NOT p.failed AND c.status = 'local' AND p.providers > 0.05 * {NODE_COUNT}""",
 )
 _BEST = (
     "best",
@@ -475,7 +476,7 @@ ORACLE: dict[str, str] = {
     "swap_plan": _sql(
         "SELECT node_id, id, size, replications, 'evict' AS action FROM best"
         " WHERE node_id IN (SELECT node_id FROM walk WHERE fits)"
-        " UNION ALL SELECT q.node_id, q.id, q.size, q.replications, 'pull'"
+        " UNION ALL SELECT q.node_id, q.id, q.size, CAST(q.replications AS BIGINT), 'pull'"
         " FROM queue q JOIN walk w ON q.node_id = w.node_id AND q.id = w.id WHERE w.fits",
         _EVICTABLE,
         _BEST,

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from steward.functions import activation_energy, draw
 from steward.operators.catalog import Updated, by_status, update_existing
-from steward.operators.placement import GROUP_ROWS, fit_capacity, node_room, used_bytes
+from steward.operators.placement import (
+    GROUP_ROWS,
+    fit_placed,
+    node_room,
+    used_bytes,
+    with_room,
+)
 from steward.operators.replication import known_facts, replications_of
 from steward.schemas import LOCAL, REMOTE
 from steward.session import settle
@@ -49,15 +55,14 @@ def adder(
         .when(F.col("object_size").isNull(), "size_unknown")
     )
     columns = [*FLEET_KEY, "name", "size", "status", "replications", "energy", "draw", "outcome"]
-    judged = settle(
+    rows = (
         looked.withColumn("outcome", outcome)
         .withColumn("size", F.when(outcome.isNull(), F.col("object_size")).otherwise(F.col("_size")))
         .select(*columns, "_size")
     )
-    rooms = node_room(nodes, used_bytes(catalog))
-    fitted = fit_capacity(
-        judged.filter(F.col("outcome").isNull()), rooms, mode=mode, group_rows=group_rows
-    )
+    judged = settle(with_room(rows, node_room(nodes, used_bytes(catalog))))
+    open_files = judged.filter(F.col("outcome").isNull())
+    fitted = fit_placed(open_files, mode, group_rows=group_rows)
     fits = F.col("fits")
     placed = fitted.select(
         *FLEET_KEY,
@@ -92,7 +97,5 @@ def rebalance(
 ) -> tuple[DataFrame, DataFrame]:
     """All remote files through the adder: the next catalog, and the outcomes."""
     remote = by_status(catalog, REMOTE)
-    outcomes = settle(
-        adder(remote, catalog, providers, objects, nodes, threshold, seed, run, mode)
-    )
+    outcomes = adder(remote, catalog, providers, objects, nodes, threshold, seed, run, mode)
     return apply_outcomes(catalog, outcomes, as_of).catalog, outcomes

@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steward.operators.catalog import Key
-from steward.operators.diff import apply_feed, change_class, latest_line, reconcile
+from steward.operators.diff import (
+    apply_feed,
+    change_class,
+    feed_rows,
+    latest_line,
+    reconcile,
+)
 from steward.operators.fold import fold_changes
 from steward.operators.integrity import sweep, unpin_plan
 from steward.plans.adder import FLEET_KEY, adder, apply_outcomes
@@ -45,11 +51,9 @@ def _place_added(
     Space counts as used by what was stored before: unpinned files lie on the disk
     until they are swept.
     """
-    outcomes = settle(
-        adder(
-            added, before, seen.providers, seen.objects, seen.nodes,
-            seen.threshold, seen.seed, seen.run, seen.mode,
-        )
+    outcomes = adder(
+        added, before, seen.providers, seen.objects, seen.nodes,
+        seen.threshold, seen.seed, seen.run, seen.mode,
     )
     following = apply_outcomes(base, outcomes, seen.as_of).catalog
     return Synced(following, outcomes, removed)
@@ -86,9 +90,9 @@ def sync_changes(
     A file added again starts over as remote, of size 0, unless ``preserve`` is set.
     """
     net = settle(net)
-    base = settle(apply_feed(catalog, net, seen.as_of, key, preserve))
-    adds, removes = change_class(net)
-    added = base.join(adds.select(*key), list(key), "left_semi")
+    base = apply_feed(catalog, net, seen.as_of, key, preserve)
+    added = feed_rows(catalog, net, seen.as_of, key, preserve)
+    _, removes = change_class(net)
     return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen)
 
 

@@ -62,6 +62,13 @@ def _counted(fx: Fixtures) -> DataFrame:
     return replication.count_providers(fx.catalog(), fx.providers(), THRESHOLD)
 
 
+def _held(fx: Fixtures) -> DataFrame:
+    """The catalog with all known holders of each file, not only as many as matter for a pull."""
+    counts = replication.provider_counts(fx.providers()).filter(~F.col("failed"))
+    held = counts.select("id", F.col("providers").alias("replications"))
+    return fx.catalog().drop("replications").join(held, "id")
+
+
 def _wanted(fx: Fixtures) -> DataFrame:
     """Remote under-replicated files of known size."""
     remote = _counted(fx).filter(F.col("status") == "remote")
@@ -544,13 +551,13 @@ def sync_unpin(fx: Fixtures) -> DataFrame:
 
 @_query
 def evict_candidates(fx: Fixtures) -> DataFrame:
-    held = evict.evict_candidates(_counted(fx), fx.nodes(), 0.05)
+    held = evict.evict_candidates(_held(fx), fx.nodes(), 0.05)
     return held.select(*FLEET, "size", "replications")
 
 
 @_query
 def swap_plan(fx: Fixtures) -> DataFrame:
-    evictable = evict.evict_candidates(_counted(fx), fx.nodes(), 0.05)
+    evictable = evict.evict_candidates(_held(fx), fx.nodes(), 0.05)
     return evict.swap_plan(evictable, _wanted(fx), _rooms(fx))
 
 

@@ -7,9 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Tables of more rows than this are not broadcast on our word; Spark decides by itself.
+# A table of narrow rows is broadcast on our word only when a count has shown it to have
+# no more rows than this; beyond that Spark decides by itself.
 BROADCAST_ROWS = 200_000
 
 
@@ -65,8 +65,3 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled table of narrow rows for broadcast once a count has shown it is small."""
-    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
