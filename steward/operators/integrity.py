@@ -26,7 +26,9 @@ def unpin_plan(removed: DataFrame, catalog: DataFrame, pins: DataFrame | None =
     plan = stored.join(removed.select(*key), key, "left_semi").select("node_id", "id")
     if pins is None:
         return plan
-    return plan.join(pins.select(F.col("cid").alias("id")), "id", "left_semi")
+    same = ["node_id", "id"] if "node_id" in pins.columns else ["id"]
+    held = pins.withColumnRenamed("cid", "id").select(*same)
+    return plan.join(held, same, "left_semi").select("node_id", "id")
 
 
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
