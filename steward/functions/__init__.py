@@ -6,9 +6,9 @@ from steward.functions.expr import (  # noqa: F401
     change_of,
     draw,
     effective_limit,
+    field,
     has_suffix,
     parse_bytes,
-    split_fields,
     strip_op,
     valid_id,
 )

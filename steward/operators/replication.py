@@ -23,8 +23,17 @@ def provider_counts(providers: DataFrame) -> DataFrame:
     )
 
 
-def known_facts(providers: DataFrame, objects: DataFrame) -> DataFrame:
-    """One row per id with its provider count and size, for a single join to the files."""
+def known_facts(
+    providers: DataFrame, objects: DataFrame, ids: DataFrame | None = None
+) -> DataFrame:
+    """One row per id with its provider count and size, for a single join to the files.
+
+    Given the few ``ids`` of interest, all other records are dropped where they are read.
+    """
+    if ids is not None:
+        ids = ids.select("id").distinct()
+        providers = providers.join(ids, "id", "left_semi")
+        objects = objects.join(ids, "id", "left_semi")
     sizes = objects.groupBy("id").agg(F.max("size").alias("object_size"))
     return provider_counts(providers).join(sizes, "id", "full_outer")
 

@@ -32,17 +32,19 @@ def adder(
     run: int,
     mode: str = "greedy",
     group_rows: int = GROUP_ROWS,
+    few: bool = False,
 ) -> DataFrame:
     """One row per file with its ``outcome`` and what the catalog should say of it.
 
-    ``nodes`` has ``max_bytes``; ``catalog`` tells what each node stores already. The
+    ``nodes`` has ``max_bytes``; ``catalog`` tells what each node stores already. With
+    ``few`` the files are looked up in the observations instead of counting all. The
     files meet one table of facts per id in a single join, are settled once, and only
     those still in question go on to be fitted.
     """
     factor = F.lit(threshold) if isinstance(threshold, int) else threshold
     looked = (
         files.select(*FLEET_KEY, "name", F.col("size").alias("_size"), "status", factor.alias("_factor"))
-        .join(known_facts(providers, objects), "id", "left")
+        .join(known_facts(providers, objects, files if few else None), "id", "left")
         .withColumn("replications", replications_of(F.col("_factor")))
         .withColumn("energy", activation_energy(F.col("replications"), F.col("_factor")))
         .withColumn("draw", draw(seed, run, F.col("node_id"), F.col("id")))

@@ -44,7 +44,12 @@ class Synced(NamedTuple):
 
 
 def _place_added(
-    before: DataFrame, base: DataFrame, added: DataFrame, removed: DataFrame, seen: Observed
+    before: DataFrame,
+    base: DataFrame,
+    added: DataFrame,
+    removed: DataFrame,
+    seen: Observed,
+    few: bool = False,
 ) -> Synced:
     """Run the added files through the adder on the catalog that already has them.
 
@@ -53,7 +58,7 @@ def _place_added(
     """
     outcomes = adder(
         added, before, seen.providers, seen.objects, seen.nodes,
-        seen.threshold, seen.seed, seen.run, seen.mode,
+        seen.threshold, seen.seed, seen.run, seen.mode, few=few,
     )
     following = apply_outcomes(base, outcomes, seen.as_of).catalog
     return Synced(following, outcomes, removed)
@@ -93,7 +98,7 @@ def sync_changes(
     base = apply_feed(catalog, net, seen.as_of, key, preserve)
     added = feed_rows(catalog, net, seen.as_of, key, preserve)
     _, removes = change_class(net)
-    return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen)
+    return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen, few=True)
 
 
 def sync_incremental(

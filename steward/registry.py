@@ -576,14 +576,14 @@ def verify_pinned(fx: Fixtures) -> DataFrame:
 
 @_query
 def sweep(fx: Fixtures) -> DataFrame:
-    links = fx.links()
+    links = settle(fx.links())
     blocks = links.select(F.col("child").alias("cid"))
     return integrity.sweep(blocks, links, fx.pins())
 
 
 @_query
 def sweep_tree(fx: Fixtures) -> DataFrame:
-    links = fx.tree_links()
+    links = settle(fx.tree_links())
     blocks = links.select(F.col("child").alias("cid")).distinct()
     return integrity.sweep(blocks, links, fx.tree_pins())
 

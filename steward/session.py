@@ -48,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="steward-"))
     return context.getCheckpointDir()
 

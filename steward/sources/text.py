@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steward.functions import ID_PATTERN, change_of, split_fields, strip_op, valid_id
+from steward.functions import ID_PATTERN, change_of, field, strip_op, valid_id
 
 ORDER = ("path", "block_start", "k")
 
@@ -55,18 +55,14 @@ def quarantine_lines(lines: DataFrame, id_pattern: str | None = None) -> Lines:
 
     Ids are only checked when a pattern is given.
     """
-    fields = lines.withColumn("fields", split_fields(F.col("value")))
-    first = F.element_at("fields", 1)
-    reason = F.when(F.size("fields") >= 2, F.lit(None)).when(
-        first == "", "blank"
-    ).otherwise("one_field")
+    value = F.col("value")
+    read = lines.withColumn("id", field(value, 0)).withColumn("name", field(value, 1))
+    reason = F.when(F.col("id") == "", "blank").when(F.col("name") == "", "one_field")
     if id_pattern is not None:
-        reason = F.coalesce(reason, F.when(~valid_id(first, id_pattern), "invalid_id"))
-    judged = fields.withColumn("reason", reason)
+        reason = F.coalesce(reason, F.when(~valid_id(F.col("id"), id_pattern), "invalid_id"))
+    judged = read.withColumn("reason", reason)
     others = [c for c in lines.columns if c != "value"]
-    good = judged.filter(F.col("reason").isNull()).select(
-        *others, first.alias("id"), F.element_at("fields", 2).alias("name")
-    )
+    good = judged.filter(F.col("reason").isNull()).select(*others, "id", "name")
     rejected = judged.filter(F.col("reason").isNotNull()).select(*lines.columns, "reason")
     return Lines(good, rejected)
 
@@ -88,20 +84,13 @@ def parse_patch(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
 
     Context lines, headers and anything whose first field is no id are dropped.
     """
-    fields = split_fields(F.col("value"))
+    value = F.col("value")
     others = [c for c in lines.columns if c != "value"]
     return (
-        lines.withColumn("op", change_of(F.col("value")))
+        lines.withColumn("op", change_of(value))
         .filter(F.col("op").isNotNull())
-        .withColumn("_fields", fields)
-        .filter(F.size("_fields") >= 2)
-        .select(
-            *others,
-            "op",
-            strip_op(F.element_at("_fields", 1)).alias("id"),
-            F.element_at("_fields", 2).alias("name"),
-        )
-        .filter(valid_id(F.col("id"), id_pattern))
+        .select(*others, "op", strip_op(field(value, 0)).alias("id"), field(value, 1).alias("name"))
+        .filter(valid_id(F.col("id"), id_pattern) & (F.col("name") != ""))
     )
 
 

@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from steward.functions import (
-    activation_energy, change_of, draw, effective_limit, has_suffix, parse_bytes, split_fields,
+    activation_energy, change_of, draw, effective_limit, field, has_suffix, parse_bytes,
     strip_op, valid_id,
 )
 
@@ -23,12 +23,13 @@ def test_parse_bytes(spark):
 
 def test_fields_split_on_unicode_space(spark):
     rows = {
-        "a b": ["a", "b"], "  a\t\tb c ": ["a", "b", "c"], "a b\r": ["a", "b"],
-        " a　b": ["a", "b"], "one": ["one"], "   ": [""], "": [""], "a​b": ["a​b"],
+        "a b": ("a", "b"), "  a\t\tb c ": ("a", "b"), "a b\r": ("a", "b"), "a b c d": ("a", "b"),
+        "\u00a0a\u3000b": ("a", "b"), "one": ("one", ""), "one \u2003": ("one", ""), "   ": ("", ""),
+        "": ("", ""), "a\u200bb": ("a\u200bb", ""), "a\u0085b\u2028c": ("a", "b"),
     }
     df = spark.createDataFrame([(k,) for k in rows], "v string")
-    for value, fields in df.select("v", split_fields(F.col("v"))).collect():
-        assert fields == rows[value]
+    got = df.select("v", field(F.col("v"), 0).alias("a"), field(F.col("v"), 1).alias("b")).collect()
+    assert {r.v: (r.a, r.b) for r in got} == rows
 
 
 def test_op_and_suffix(spark):
