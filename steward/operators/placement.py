@@ -112,10 +112,11 @@ def _fit_greedy(placed: DataFrame, order: Sequence[str], group_rows: int) -> Dat
     going = able & F.col("_way").isin("walk", "rounds")
     fits = F.coalesce(able & (F.col("_way") == "all"), F.lit(False))
     result = routed.filter(~F.coalesce(going, F.lit(False))).withColumn("fits", fits).select(*columns)
-    for name, solve in (("walk", _walk), ("rounds", _rounds)):
+    for name in ("walk", "rounds"):
         if name in ways:
             part = routed.filter(able & (F.col("_way") == name)).select(*placed.columns)
-            result = result.unionByName(solve(part, order).select(*columns))
+            solved = _walk(part, order) if name == "walk" else _rounds(part, order, group_rows)
+            result = result.unionByName(solved.select(*columns))
     return result
 
 
@@ -141,7 +142,7 @@ def _walk(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     return placed.groupBy("node_id").applyInPandas(per_node, schema)
 
 
-def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
+def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int) -> DataFrame:
     """The same walk for nodes too large for one task, in at most 63 rounds.
 
     Let the room be at least 2^j and below 2^(j+1), and ``cut`` be 2^j, or just above the
@@ -149,7 +150,8 @@ def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     below ``cut`` fits, so running totals say how the room shrinks; and of the files not
     below ``cut`` only the first that fits can be taken, since the room is below 2^j
     afterwards. A round ends at that file or where the room falls below ``cut``. Either
-    way the room at least halves, so a few rounds settle every node at once.
+    way the room at least halves, and with it goes what could still fit. Once few enough
+    files of a node are left, they are walked.
     """
     ranked = settle(
         running_over_slices(sliced(placed, ["node_id"], order), ["node_id"], order, rank="_pos")
@@ -157,26 +159,32 @@ def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     files = ranked.drop("_room")
     start = F.lit(0).cast("bigint").alias("_after")
     state = ranked.groupBy("node_id").agg(F.max("_room").alias("_room")).select("*", start)
-    log: DataFrame | None = None
-    going_on = (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
+    log: list[DataFrame] = []
+    tails: list[DataFrame] = []
+    open_still = (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
     small = F.col("size") < F.col("_cut")
+    power = F.expr("shiftleft(1L, length(bin(_room)) - 1)")
     while True:
-        peak = F.max("size").alias("_peak")
-        power = F.expr("shiftleft(1L, length(bin(_room)) - 1)")
         cuts = settle(
             files.join(state, "node_id")
-            .filter(going_on)
+            .filter(open_still)
             .groupBy("node_id", "_room", "_after")
-            .agg(peak)
-            .select("node_id", "_room", "_after", F.least(F.col("_peak") + 1, power).alias("_cut"))
+            .agg(F.max("size").alias("_peak"), (F.count("*") > group_rows).alias("_long"))
+            .withColumn("_cut", F.least(F.col("_peak") + 1, power))
+            .drop("_peak")
         )
-        nodes = cuts.count()
-        if not nodes:
+        nodes = {row["_long"]: row["count"] for row in cuts.groupBy("_long").count().collect()}
+        if False in nodes:
+            tails.append(cuts.filter(~F.col("_long")).select("node_id", "_room", "_after"))
+        if True not in nodes:
             break
-        live = files.join(F.broadcast(cuts) if nodes <= BROADCAST_ROWS else cuts, "node_id")
-        taken_size = F.when(small, F.col("size")).otherwise(F.lit(0))
+        cuts = cuts.filter("_long").drop("_long")
+        few = F.broadcast(cuts) if nodes[True] <= BROADCAST_ROWS else cuts
         summed = running_over_slices(
-            live.filter(going_on), ["node_id"], ["_pos"], totals={"_sum": taken_size}
+            files.join(few, "node_id").filter(open_still),
+            ["node_id"],
+            ["_pos"],
+            totals={"_sum": F.when(small, F.col("size")).otherwise(F.lit(0))},
         )
         left = F.col("_room") - F.col("_sum")
         ends = (small & (left < F.col("_cut"))) | (~small & (F.col("size") < left))
@@ -187,22 +195,48 @@ def _rounds(placed: DataFrame, order: Sequence[str]) -> DataFrame:
             .agg(F.min("_pos").alias("_stop"), F.min_by(after, "_pos").alias("_next"))
         )
         done = settle(cuts.join(stops, "node_id", "left"))
-        log = done if log is None else log.unionByName(done)
+        log.append(done)
         state = done.filter(F.col("_stop").isNotNull()).select(
             "node_id", F.col("_next").alias("_room"), F.col("_stop").alias("_after")
         )
+    return _read_rounds(ranked, log, tails, order)
 
-    steps = log.groupBy("node_id").agg(
-        F.collect_list(F.struct("_after", "_stop", "_room", "_cut")).alias("_steps")
+
+def _read_rounds(
+    ranked: DataFrame, log: list[DataFrame], tails: list[DataFrame], order: Sequence[str]
+) -> DataFrame:
+    """What the rounds took, by their cuts and stops, and a walk over what they left open."""
+    no_steps = "node_id string, _after bigint, _stop bigint, _room bigint, _cut bigint"
+    no_tails = "node_id string, _room bigint, _after bigint"
+    session = ranked.sparkSession
+    steps = session.createDataFrame([], no_steps)
+    for done in log:
+        steps = steps.unionByName(done.select("node_id", "_after", "_stop", "_room", "_cut"))
+    open_from = session.createDataFrame([], no_tails)
+    for tail in tails:
+        open_from = open_from.unionByName(tail)
+    per_node = (
+        steps.groupBy("node_id")
+        .agg(F.collect_list(F.struct("_after", "_stop", "_room", "_cut")).alias("_steps"))
+        .join(
+            open_from.select("node_id", F.struct("_room", "_after").alias("_tail")), "node_id", "full"
+        )
     )
-    pos, size = F.col("_pos"), F.col("size")
+    pos, size, tail = F.col("_pos"), F.col("size"), F.col("_tail")
 
     def taken(step):
         within = (pos > step["_after"]) & (step["_stop"].isNull() | (pos <= step["_stop"]))
         chosen = (size < step["_cut"]) | step["_stop"].eqNullSafe(pos)
         return within & (size < step["_room"]) & chosen
 
-    marked = ranked.join(steps, "node_id", "left").withColumn(
-        "fits", F.coalesce(F.exists("_steps", taken), F.lit(False))
+    rows = without_slices(ranked.drop("_room").join(per_node, "node_id", "left"), ["node_id"])
+    still_open = F.coalesce((pos > tail["_after"]) & (size < tail["_room"]), F.lit(False))
+    fits = F.coalesce(F.exists("_steps", taken), F.lit(False))
+    decided = rows.filter(~still_open).withColumn("fits", fits).drop("_steps", "_tail", "_pos")
+    if not tails:
+        return decided
+    walked = _walk(
+        rows.filter(still_open).withColumn("_room", tail["_room"]).drop("_steps", "_tail", "_pos"),
+        order,
     )
-    return without_slices(marked, ["node_id"]).drop("_steps", "_pos")
+    return decided.unionByName(walked.drop("_room"))

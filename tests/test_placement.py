@@ -48,7 +48,8 @@ def cases():
     return candidates, rooms
 
 
-@pytest.mark.parametrize("group_rows", [1000, 0])
+# All nodes walked; rounds to the end; rounds and then a walk over what they leave.
+@pytest.mark.parametrize("group_rows", [1000, 0, 40])
 def test_walk_and_rounds_match_a_plain_loop(table, group_rows):
     candidates, rooms = cases()
     got = fitted(table, candidates, rooms, group_rows=group_rows)
