@@ -22,49 +22,52 @@ CHUNK = 1 << 18
 
 NONE = "none"
 
-# One walker per state a chunk may start in: where it ends, and the name it carries,
-# null as long as it still carries the name it came with.
-_WALKER = "struct<at:int,name:string>"
-_MAP = f"struct<zero:{_WALKER},up:{_WALKER},down:{_WALKER}>"
-
+# One walker per state a run of lines may start in: where it ends, and the name it carries,
+# null as long as that is still the name it came with. Kept flat, as a struct per step is
+# what a fold costs.
+_STARTS = {"zero": 0, "up": 1, "down": -1}
+
+
+def _state(walkers: dict[str, tuple[Column, Column]]) -> Column:
+    return F.struct(
+        *[
+            part
+            for start, (at, name) in walkers.items()
+            for part in (at.alias(f"{start}_at"), name.alias(f"{start}_name"))
+        ]
+    )
 
-def _walker(at: Column, name: Column) -> Column:
-    return F.struct(at.cast("int").alias("at"), name.alias("name"))
 
+def _fold(items: Column, advance) -> Column:
+    blank = F.lit(None).cast("string")
+    begin = _state({start: (F.lit(at), blank) for start, at in _STARTS.items()})
 
-def _map(zero: Column, up: Column, down: Column) -> Column:
-    return F.struct(zero.alias("zero"), up.alias("up"), down.alias("down"))
+    def merge(state: Column, item: Column) -> Column:
+        return _state(
+            {s: advance(state[f"{s}_at"], state[f"{s}_name"], item) for s in _STARTS}
+        )
 
+    return F.aggregate(items, begin, merge)
 
-def _identity() -> Column:
-    blank = F.lit(None).cast("string")
-    return _map(*[_walker(F.lit(at), blank) for at in (0, 1, -1)]).cast(_MAP)
 
-
-def _step(walker: Column, line: Column) -> Column:
+def _step(at: Column, name: Column, line: Column) -> tuple[Column, Column]:
     """One line: a step, held within -1 and 1; a step away from zero takes the line's name."""
-    at = F.greatest(F.lit(-1), F.least(F.lit(1), walker["at"] + line["move"]))
-    name = F.when(walker["at"] == 0, line["name"]).when(at != 0, walker["name"])
-    return _walker(at, name)
+    moved = F.greatest(F.lit(-1), F.least(F.lit(1), at + line["move"]))
+    return moved, F.when(at == 0, line["name"]).when(at == line["move"], name)
 
 
-def _through(walker: Column, chunk: Column) -> Column:
+def _through(at: Column, name: Column, item: Column) -> tuple[Column, Column]:
     """A whole chunk: enter by the state at hand; a null name means the name at hand."""
-    taken = (
-        F.when(walker["at"] == 0, chunk["zero"])
-        .when(walker["at"] == 1, chunk["up"])
-        .otherwise(chunk["down"])
-    )
-    name = F.when(taken["at"] == 0, F.lit(None)).otherwise(F.coalesce(taken["name"], walker["name"]))
-    return _walker(taken["at"], name)
-
+    chunk = item["_map"]
 
-def _fold(items: Column, advance) -> Column:
-    def merge(state: Column, item: Column) -> Column:
-        walkers = [advance(state[w], item) for w in ("zero", "up", "down")]
-        return _map(*walkers).cast(_MAP)
+    def taken(part: str) -> Column:
+        return (
+            F.when(at == 0, chunk[f"zero_{part}"])
+            .when(at == 1, chunk[f"up_{part}"])
+            .otherwise(chunk[f"down_{part}"])
+        )
 
-    return F.aggregate(items, _identity(), merge)
+    return taken("at"), F.when(taken("at") != 0, F.coalesce(taken("name"), name))
 
 
 def _ordered(columns: Sequence[str], *payload: str) -> Column:
@@ -100,15 +103,15 @@ def fold_changes(
             .agg(_ordered(["_at"], "_map").alias("_maps"))
             .select(
                 *key, *prefix, F.col("_up").alias("_at"),
-                _fold(F.col("_maps"), lambda w, m: _through(w, m["_map"])).alias("_map"),
+                _fold(F.col("_maps"), _through).alias("_map"),
             )
         )
     done = (
         folded.groupBy(*key)
         .agg(_ordered([*prefix, "_at"], "_map").alias("_maps"))
-        .select(*key, _fold(F.col("_maps"), lambda w, m: _through(w, m["_map"]))["zero"].alias("_end"))
+        .select(*key, _fold(F.col("_maps"), _through).alias("_end"))
     )
-    at = F.col("_end")["at"]
+    at = F.col("_end")["zero_at"]
     change = F.when(at == 1, ADD).when(at == -1, REMOVE).otherwise(NONE)
-    net = done.select(*key, F.col("_end")["name"].alias("name"), change.alias("change"))
+    net = done.select(*key, F.col("_end")["zero_name"].alias("name"), change.alias("change"))
     return net if keep_none else net.filter(F.col("change") != NONE)

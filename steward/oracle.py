@@ -238,6 +238,12 @@ _REBASED = (
     UNION ALL
     SELECT node_id, id, name, 0, 'remote', {AS_OF}, 0 FROM moved WHERE change = 'add'""",
 )
+_VERSIONS = (
+    "moved",
+    f"""SELECT CAST(p_partkey % {NODE_COUNT} AS VARCHAR) AS node_id, CAST(p_partkey AS VARCHAR) AS id,
+               p_name AS name, CASE p_partkey % 10 WHEN 2 THEN 'add' ELSE 'remove' END AS change
+        FROM part WHERE p_partkey % 10 IN (2, 3)""",
+)
 _READDED = "SELECT b.* FROM rebased b JOIN moved m ON b.id = m.id WHERE m.change = 'add'"
 _EMPTY_ROOMS = ("rooms", "SELECT node_id, limit_bytes AS room FROM nodes")
 _EVICTABLE = (
@@ -468,6 +474,7 @@ ORACLE: dict[str, str] = {
         _KEPT,
     ),
     "sync_incremental": _adder(_after("rebased"), _READDED, _REBASED),
+    "sync_snapshots": _adder(_after("rebased"), _READDED, _VERSIONS, _REBASED),
     "sync_unpin": _sql(
         "SELECT c.node_id, c.id FROM catalog c JOIN moved m ON c.id = m.id"
         " WHERE m.change = 'remove' AND c.status = 'local'"

@@ -549,6 +549,21 @@ def sync_unpin(fx: Fixtures) -> DataFrame:
     return sync.sync_incremental(_moves(fx), fx.catalog(), _observed(fx), ("seq",)).unpin
 
 
+@_query
+def sync_snapshots(fx: Fixtures) -> DataFrame:
+    """Two manifest versions, each lacking a tenth of the parts."""
+    key = F.col("p_partkey")
+    lines = fx.table("part").select(
+        fx._node_of("p_partkey").cast("string").alias("node_id"),
+        key.cast("string").alias("id"),
+        F.col("p_name").alias("name"),
+        key.alias("line_no"),
+    )
+    old, new = (lines.filter(F.col("line_no") % 10 != missing) for missing in (2, 3))
+    net = diff.snapshot_diff(old, new, ["line_no"], FLEET)
+    return sync.sync_snapshots(net, fx.catalog(), _observed(fx)).catalog
+
+
 @_query
 def evict_candidates(fx: Fixtures) -> DataFrame:
     held = evict.evict_candidates(_held(fx), fx.nodes(), 0.05)
