@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from steward.operators.joins import lookup_join, small_side
 from steward.operators.running import running, running_over_slices, sliced, without_slices
 from steward.schemas import LOCAL
 from steward.session import BROADCAST_ROWS, settle
@@ -22,7 +23,7 @@ GROUP_ROWS = 200_000
 def attach_sizes(files: DataFrame, objects: DataFrame) -> DataFrame:
     """Each file with ``object_size``, null when its size is unknown."""
     sizes = objects.groupBy("id").agg(F.max("size").alias("object_size"))
-    return files.join(sizes, "id", "left")
+    return lookup_join(files, sizes, "id")
 
 
 def used_bytes(catalog: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def node_room(nodes: DataFrame, used: DataFrame) -> DataFrame:
 
 def with_room(files: DataFrame, rooms: DataFrame) -> DataFrame:
     """Each file with the room of its node in ``_room``; an unknown node has none."""
-    room = rooms.select("node_id", F.col("room").alias("_room"))
+    room = small_side(rooms.select("node_id", F.col("room").alias("_room")))
     return files.join(room, "node_id", "left").withColumn(
         "_room", F.coalesce("_room", F.lit(0)).cast("bigint")
     )
@@ -104,8 +105,7 @@ def _fit_greedy(placed: DataFrame, order: Sequence[str], group_rows: int) -> Dat
         .select("node_id", way.alias("_way"))
     )
     ways = {row["_way"]: row["count"] for row in load.groupBy("_way").count().collect()}
-    if sum(ways.values()) <= BROADCAST_ROWS:
-        load = F.broadcast(load)
+    load = F.broadcast(load) if sum(ways.values()) <= BROADCAST_ROWS else settle(load)
     routed = placed.join(load, "node_id", "left")
     columns = [*[c for c in placed.columns if c != "_room"], "fits"]
 
@@ -158,7 +158,9 @@ def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int) -> DataFra
     )
     files = ranked.drop("_room")
     start = F.lit(0).cast("bigint").alias("_after")
-    state = ranked.groupBy("node_id").agg(F.max("_room").alias("_room")).select("*", start)
+    state = small_side(
+        ranked.groupBy("node_id").agg(F.max("_room").alias("_room")).select("*", start)
+    )
     log: list[DataFrame] = []
     tails: list[DataFrame] = []
     open_still = (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
@@ -215,7 +217,7 @@ def _read_rounds(
     open_from = session.createDataFrame([], no_tails)
     for tail in tails:
         open_from = open_from.unionByName(tail)
-    per_node = (
+    per_node = small_side(
         steps.groupBy("node_id")
         .agg(F.collect_list(F.struct("_after", "_stop", "_room", "_cut")).alias("_steps"))
         .join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steward.operators.joins import lookup_join, small_side
 from steward.operators.running import running
 
 # Fixed value: a lookup asks for this many providers beyond the replication factor.
@@ -31,7 +32,7 @@ def known_facts(
     Given the few ``ids`` of interest, all other records are dropped where they are read.
     """
     if ids is not None:
-        ids = ids.select("id").distinct()
+        ids = small_side(ids.select("id").distinct())
         providers = providers.join(ids, "id", "left_semi")
         objects = objects.join(ids, "id", "left_semi")
     sizes = objects.groupBy("id").agg(F.max("size").alias("object_size"))
@@ -47,7 +48,7 @@ def replications_of(threshold: Column) -> Column:
 def count_providers(files: DataFrame, providers: DataFrame, threshold: int | Column) -> DataFrame:
     """The files with fresh ``replications``."""
     threshold = F.lit(threshold) if isinstance(threshold, int) else threshold
-    counted = files.drop("replications").join(provider_counts(providers), "id", "left")
+    counted = lookup_join(files.drop("replications"), provider_counts(providers), "id")
     return counted.withColumn("replications", replications_of(threshold)).drop(
         "providers", "failed"
     )

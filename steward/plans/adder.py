@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steward.functions import activation_energy, draw
 from steward.operators.catalog import Updated, by_status, update_existing
+from steward.operators.joins import lookup_join
 from steward.operators.placement import (
     GROUP_ROWS,
     fit_placed,
@@ -42,9 +43,12 @@ def adder(
     those still in question go on to be fitted.
     """
     factor = F.lit(threshold) if isinstance(threshold, int) else threshold
+    asked = files.select(
+        *FLEET_KEY, "name", F.col("size").alias("_size"), "status", factor.alias("_factor")
+    )
+    facts = known_facts(providers, objects, files if few else None)
     looked = (
-        files.select(*FLEET_KEY, "name", F.col("size").alias("_size"), "status", factor.alias("_factor"))
-        .join(known_facts(providers, objects, files if few else None), "id", "left")
+        lookup_join(asked, facts, "id")
         .withColumn("replications", replications_of(F.col("_factor")))
         .withColumn("energy", activation_energy(F.col("replications"), F.col("_factor")))
         .withColumn("draw", draw(seed, run, F.col("node_id"), F.col("id")))

@@ -373,7 +373,7 @@ def fit_capacity(fx: Fixtures) -> DataFrame:
 
 @_query
 def fit_capacity_rounds(fx: Fixtures) -> DataFrame:
-    return placement.fit_capacity(_wanted(fx), _rooms(fx), group_rows=0)
+    return placement.fit_capacity(_wanted(fx), _rooms(fx), group_rows=4)
 
 
 @_query
