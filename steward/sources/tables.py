@@ -27,7 +27,7 @@ def _snapshot(root: str, version: int) -> str:
 def last_commit(spark: SparkSession, root: str, source: str | None = None) -> Commit | None:
     """The newest complete snapshot, and the last batch taken in from ``source``."""
     try:
-        log = spark.read.schema(COMMIT).parquet(_commits(root))
+        log = spark.read.schema(COMMIT).parquet(f"{_commits(root)}/*.parquet")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
