@@ -70,8 +70,8 @@ def parse_bytes(text: Column) -> Column:
     """Bytes in a size such as ``50GB`` or ``1,024 MiB``; null when it is not one."""
     number = F.regexp_replace(F.regexp_extract(text, r"^([0-9.,]+)", 1), ",", "")
     unit = F.lower(F.regexp_extract(text, r"(?sU)^[0-9.,]+\s*(.*?)\s*$", 1))
-    factors = F.create_map(*[F.lit(x) for pair in BYTE_UNITS.items() for x in pair])
-    factor = F.try_element_at(factors, unit)
+    factors = ", ".join(f"'{name}', {size}L" for name, size in BYTE_UNITS.items())
+    factor = F.try_element_at(F.expr(f"map({factors})"), unit)
     value = number.try_cast("double") * factor.cast("double")
     return F.when(value < F.lit(float(2**63)), value.cast("bigint"))
 

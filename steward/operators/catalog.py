@@ -39,10 +39,19 @@ def timestamp(moment: str | Column) -> Column:
     return F.lit(moment).cast("timestamp") if isinstance(moment, str) else moment
 
 
+def _of_keys(catalog: DataFrame, keys: DataFrame, key: Key) -> DataFrame:
+    """The catalog's rows for some keys.
+
+    An outer or anti join from the keys would shuffle the whole catalog, however few they
+    are; a semi join can broadcast them and leaves only what they need to be joined to.
+    """
+    return catalog.join(keys.select(*key), list(key), "left_semi")
+
+
 def lookup(catalog: DataFrame, ids: DataFrame, key: Key = ("id",)) -> DataFrame:
     """Each asked-for key with its row, and ``found`` false where there is none."""
     key = list(key)
-    rows = catalog.withColumn("found", F.lit(True))
+    rows = _of_keys(catalog, ids, key).withColumn("found", F.lit(True))
     return (
         ids.select(*key)
         .join(rows, key, "left")
@@ -92,7 +101,7 @@ def latest(rows: DataFrame, key: Key, seq: Column | str) -> DataFrame:
 def keep_state(rows: DataFrame, catalog: DataFrame, key: Key) -> DataFrame:
     """The rows, with size, status and replications of those the catalog knows."""
     kept = ["size", "status", "replications"]
-    known = catalog.select(*key, *[F.col(c).alias(f"_{c}") for c in kept])
+    known = _of_keys(catalog, rows, key).select(*key, *[F.col(c).alias(f"_{c}") for c in kept])
     return rows.join(known, list(key), "left").select(
         *[F.coalesce(f"_{c}", c).alias(c) if c in kept else F.col(c) for c in CATALOG_COLUMNS]
     )
@@ -137,19 +146,17 @@ def update_existing(
     following = catalog.join(new, key, "left").select(
         *[values[c].alias(c) if c in values else F.col(c) for c in CATALOG_COLUMNS]
     )
-    return Updated(
-        following,
-        catalog.join(rows.select(*key), key, "left_semi").select(*CATALOG_COLUMNS),
-        rows.join(catalog.select(*key), key, "left_anti"),
-    )
+    old = _of_keys(catalog, rows, key).select(*CATALOG_COLUMNS)
+    return Updated(following, old, rows.join(old.select(*key), key, "left_anti"))
 
 
 def remove(catalog: DataFrame, ids: DataFrame, key: Key = ("id",)) -> Removed:
     """Delete by key; give the deleted rows, and the keys that were not there."""
     key = list(key)
     keys = ids.select(*key)
+    removed = _of_keys(catalog, ids, key).select(*CATALOG_COLUMNS)
     return Removed(
         catalog.join(keys, key, "left_anti").select(*CATALOG_COLUMNS),
-        catalog.join(keys, key, "left_semi").select(*CATALOG_COLUMNS),
-        keys.distinct().join(catalog.select(*key), key, "left_anti"),
+        removed,
+        keys.distinct().join(removed.select(*key), key, "left_anti"),
     )

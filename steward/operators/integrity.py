@@ -103,6 +103,7 @@ def repair_plan(bad: DataFrame, providers: DataFrame | None = None) -> DataFrame
         held = (
             providers.filter("ok")
             .select(F.col("id").alias("cid"))
+            .join(bad, "cid", "left_semi")
             .distinct()
             .withColumn("_held", F.lit(True))
         )

@@ -631,8 +631,3 @@ def stream_sync(fx: Fixtures) -> DataFrame:
     )
     query.awaitTermination()
     return tables.read_catalog(fx.spark, root)
-
-
-def flagship(fx: Fixtures) -> DataFrame:
-    """Which files are under-replicated, the neediest of each node first?"""
-    return under_replicated_ranked(fx)

@@ -133,3 +133,16 @@ def test_status_reads_prune_and_push_down(catalog, spark, tmp_path):
 
     assert "PartitionFilters: [isnotnull(status" in plan(cat.by_status(stored, "local"))
     assert "LessThan(modified" in plan(cat.older_than(stored, AS_OF))
+
+
+def test_few_keys_do_not_shuffle_the_catalog(catalog, table, spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    tables.write_catalog(catalog(FAUX, ("a", "x", 1, "local", 1)), root)
+    stored, asked = tables.read_catalog(spark, root), ids(table, "x", "y")
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.schema("id string").parquet(str(tmp_path / "asked"))
+    for df in (
+        cat.lookup(stored, asked), cat.remove(stored, asked).catalog, cat.remove(stored, asked).removed,
+    ):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
