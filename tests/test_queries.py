@@ -48,7 +48,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-def test_outcomes_are_those_worked_out_by_hand(spark):
+def test_outcomes_are_those_in_the_fixture_notes(spark):
     out = queries()["adder_outcomes"](spark, str(DATA / "sf0.01"))
     assert Counter(r.outcome for r in out.collect()) == {
         "no_action": 560, "not_drawn": 459, "pull": 218, "no_room": 76, "size_unknown": 31, "lookup_failed": 6,
