@@ -165,7 +165,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Profiles:
             for batch in batches_of(whole, _TEXTS):
                 vectors = np.rint(bundler().bundle(batch.column(1).to_pylist()) * _UNIT).astype(np.int64)
                 langs = np.array(batch.column(0).to_pylist(), dtype=object)
-                for name in dict.fromkeys(langs.tolist()):
+                for name in dict.fromkeys(langs[vectors.any(axis=1)].tolist()):
                     total = sums.setdefault(name, np.zeros(DIM, dtype=np.int64))
                     total += vectors[langs == name].sum(axis=0)
         if sums:

@@ -6,15 +6,15 @@ _SPACE = r"[^\x20\x09-\x0D]+"
 _QUALITY = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 listed AS (SELECT r, regexp_extract_all(text, '{_SPACE}') AS ws FROM docs),
-words AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS at FROM listed),
+words AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM listed),
 runs AS (
-  SELECT r, at, w, CASE WHEN lead(w, 4) OVER o IS NOT NULL
+  SELECT r, pos, w, CASE WHEN lead(w, 4) OVER o IS NOT NULL
     THEN [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] END AS run
-  FROM words WINDOW o AS (PARTITION BY r ORDER BY at)),
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
 twice AS (SELECT r, run FROM runs WHERE run IS NOT NULL GROUP BY r, run HAVING count(*) > 1),
 marked AS (
-  SELECT a.r, a.at, a.w, max(CASE WHEN t.run IS NOT NULL THEN 1 ELSE 0 END) OVER (
-    PARTITION BY a.r ORDER BY a.at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit
+  SELECT a.r, a.pos, a.w, max(CASE WHEN t.run IS NOT NULL THEN 1 ELSE 0 END) OVER (
+    PARTITION BY a.r ORDER BY a.pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit
   FROM runs a LEFT JOIN twice t ON a.r = t.r AND a.run = t.run),
 counts AS (
   SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(hit) AS n_repeat_words,
@@ -23,7 +23,7 @@ counts AS (
     count(*) FILTER (regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS n_capitals
   FROM marked GROUP BY r),
 lines AS (
-  SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_SPACE}')) AS ls FROM docs),
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM docs),
 measured AS (
   SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -49,8 +49,8 @@ FROM bits
 
 _TOP_K = """
 WITH rows AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),

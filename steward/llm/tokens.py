@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 # Beyond this many words a worker starts its memory anew; results do not depend on it.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_400_000
 
 _LATIN = [chr(c) for c in range(0xA1, 0x250) if c != 0x130]
 _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e" + "".join(_LATIN[:1]) + "-įı-ɏ]")

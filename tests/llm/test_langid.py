@@ -1,0 +1,83 @@
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from steward.llm import langid
+from steward.llm.queries import QUERIES
+
+
+def letter(code):
+    import xxhash
+
+    words = [xxhash.xxh64_intdigest(f"{code} {k}".encode(), langid.SEED) for k in range(langid.DIM // 64)]
+    return np.array([1.0 if w >> (63 - b) & 1 else -1.0 for w in words for b in range(64)])
+
+
+def brute(text):
+    """Every run of three by itself, as the method is defined."""
+    total = np.zeros(langid.DIM)
+    for word in langid._WORDS.findall((text or "").lower()):
+        w = f" {word} "
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            total += np.roll(letter(ord(a)), 2) * np.roll(letter(ord(b)), 1) * letter(ord(c))
+    size = np.linalg.norm(total)
+    return total / size if size else total
+
+
+TEXTS = [None, "", "12 .. !!", "a", "Ein Satz, der ein Satz ist.", "éé naïve œuvre", "日本 語", "x" * 300, "Satz satz"]
+
+
+def test_vectors():
+    got = langid.Bundler().bundle(TEXTS)
+    assert np.allclose(got, np.stack([brute(t) for t in TEXTS]), atol=1e-5)
+    assert not got[:3].any()
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    want = langid.Bundler().bundle(TEXTS)
+    monkeypatch.setattr(langid, "RUNS_KEPT", 10)
+    assert np.allclose(langid.Bundler().bundle(TEXTS), want, atol=1e-5)
+    monkeypatch.setattr(langid, "_PART", 2)
+    assert np.allclose(langid.Bundler().bundle(TEXTS), want, atol=1e-5)
+
+
+def test_held_out_documents_are_told(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op7_language_id"](spark, folder).collect()
+    assert len(rows) == len(langs)
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_edges(spark, documents):
+    train = spark.createDataFrame(
+        [("xx", "aba abab baba ab"), ("yy", "cdc dcd cdcd"), (None, "ababab"), ("zz", None), ("xx", "12")],
+        "lang string, text string",
+    )
+    profiles = langid.learn(train)
+    assert profiles.names == ("xx", "yy")
+    docs = documents((1, None), (2, ""), (3, "123"), (4, "abab"), (4, "abab"), (None, "cdcd"), (5, "cd" * 100_000))
+    rows = langid.predict(docs, profiles).collect()
+    assert sorted(map(repr, ((r.doc_id, r.lang_pred) for r in rows))) == sorted(
+        map(repr, [(1, "und"), (2, "und"), (3, "und"), (4, "xx"), (4, "xx"), (None, "yy"), (5, "yy")])
+    )
+    assert [r.score for r in rows if r.lang_pred == "und"] == [0.0] * 3
+    nothing = langid.learn(train.filter("false"))
+    assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+    assert langid.predict(docs.filter("false"), profiles).count() == 0
+
+
+def test_order_of_rows_does_not_matter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = langid.learn(docs), langid.learn(docs.repartition(5))
+    assert a.names == b.names and np.array_equal(a.vectors, b.vectors)
+
+
+@pytest.mark.parametrize("order", ["abc", "acb", "bca"])
+def test_binding_keeps_order_apart(order):
+    got = langid.Bundler().bundle([order, "abc"])
+    assert (got[0] @ got[1] > 0.9) == (order == "abc")
