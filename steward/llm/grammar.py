@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 from steward.llm.shared import Batches, batches_of, written
 from steward.llm.tokens import encoder
 
-SHARD_TOKENS = 1 << 19
-ROUNDS, PAIRS, LEAST_COUNT = 6, 4096, 12
+SHARD_TOKENS, PART_BYTES = 1 << 19, 16 << 20
+ROUNDS, PAIRS, LEAST_COUNT = 4, 4096, 12
 
 
 def compress(
@@ -143,28 +143,6 @@ class Shard:
         return self._expand(self.symbols[i:j])[start - before : stop - before].astype("<u4")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, ids): token ids with the end id, as little-endian integers of 16 or 32 bits."""
-    kind = docs.schema[id_].dataType.simpleString()
-
-    def step(batches: Batches) -> Batches:
-        library = encoder(tokenizer)
-        width = "<u2" if max(library.size, end + 1) <= 1 << 16 else "<u4"
-        for whole in batches:
-            for batch in batches_of(whole, 512):
-                ids = [np.append(i, np.uint32(end)) for i in library.encode(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([i.astype(width).tobytes() for i in ids], pa.binary()),
-                    ],
-                    [id_, "n", "ids"],
-                )
-
-    return docs.select(id_, F.col(text).alias("_text")).mapInArrow(step, f"`{id_}` {kind}, n bigint, ids binary")
-
-
 def write(
     docs: DataFrame,
     path: str,
@@ -182,26 +160,25 @@ def write(
     ``n_tokens`` counts the ids.
     """
     kind = docs.schema[id_].dataType.simpleString()
-    encoded = tokenized(docs, tokenizer, end, id_, text).withColumn("_row", F.monotonically_increasing_id())
-    stored = written(encoded, "encoded")
-    tokens = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-tokens // (8 * shard_tokens)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(least, -(-size // PART_BYTES))
     key = F.col(id_).asc_nulls_first()
-    ordered = stored.repartitionByRange(parts, key, "_row").sortWithinPartitions(key, "_row")
+    tie = F.monotonically_increasing_id().alias("_tie")
+    narrow = docs.select(id_, F.col(text).alias("_text"), tie)
+    ordered = narrow.repartitionByRange(parts, key, "_tie").sortWithinPartitions(key, "_tie")
     names = ["part", "shard", "keys", "rows", "starts", "whole", "n_tokens", "first", "rules", "lengths", "symbols"]
 
     def step(batches: Batches) -> Batches:
         library = encoder(tokenizer)
         first = max(library.size, end + 1)
-        width = "<u2" if first <= 1 << 16 else "<u4"
         part, number = TaskContext.get().partitionId(), 0
         keys: list = []
         rows: list[int] = []
         starts: list[int] = []
         whole: list[bool] = []
         held: list[np.ndarray] = []
-        size = 0
+        size = done = 0
         arrow = None
 
         def close() -> pa.RecordBatch:
@@ -218,23 +195,26 @@ def write(
             size, number = 0, number + 1
             return pa.RecordBatch.from_arrays(out, names)
 
-        for batch in batches:
-            arrow = batch.schema.field(0).type
-            columns = (batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2))
-            for key, row, data in zip(*columns, strict=True):
-                ids = np.frombuffer(data.as_buffer(), dtype=width)
-                at = 0
-                while at < len(ids):
-                    piece = ids[at : at + shard_tokens - size]
-                    keys.append(key)
-                    rows.append(row)
-                    starts.append(size)
-                    whole.append(len(piece) == len(ids))
-                    held.append(piece)
-                    size += len(piece)
-                    at += len(piece)
-                    if size == shard_tokens:
-                        yield close()
+        for all_rows in batches:
+            for batch in batches_of(all_rows, 512):
+                arrow = batch.schema.field(0).type
+                found = library.encode(batch.column(1).to_pylist())
+                for key, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                    ids = np.append(ids, np.uint32(end))
+                    row = part << 40 | done
+                    done += 1
+                    at = 0
+                    while at < len(ids):
+                        piece = ids[at : at + shard_tokens - size]
+                        keys.append(key)
+                        rows.append(row)
+                        starts.append(size)
+                        whole.append(len(piece) == len(ids))
+                        held.append(piece)
+                        size += len(piece)
+                        at += len(piece)
+                        if size == shard_tokens:
+                            yield close()
         if size:
             yield close()
 

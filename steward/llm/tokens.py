@@ -79,6 +79,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
+        known = self.known
         for text in texts:
             if not text:
                 out.append(np.zeros(0, dtype="<u4"))
@@ -88,14 +89,14 @@ class Encoder:
                 continue
             words = self.split(text.lower() if self.lower else text)
             try:
-                found = b"".join([self.known[w] for w in words])
+                found = b"".join([known[w] for w in words])
             except KeyError:
-                new = list(dict.fromkeys(w for w in words if w not in self.known))
-                if len(self.known) + len(new) > WORDS_KEPT:
-                    self.known.clear()
+                new = list(dict.fromkeys(w for w in words if w not in known))
+                if len(known) + len(new) > WORDS_KEPT:
+                    known.clear()
                     new = list(dict.fromkeys(words))
                 self._learn(new)
-                found = b"".join([self.known[w] for w in words])
+                found = b"".join([known[w] for w in words])
             out.append(np.frombuffer(found, dtype="<u4"))
         return out
 
