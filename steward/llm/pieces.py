@@ -101,20 +101,22 @@ class Pieces:
         rank, none = self.rank.get, len(self.ids)
         agenda = [rank(a + b, none) for a, b in pairwise(parts)]
         places = list(range(len(parts)))
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
+        while agenda and (best := min(agenda)) != none:
             i = agenda.index(best)
-            if bar and _skipped(key, places[i], best, bar):
-                agenda[i] = none
-                continue
-            parts[i] += parts[i + 1]
-            del parts[i + 1], places[i + 1], agenda[i]
+            if bar:  # as _skipped, spelled out where it runs most
+                x = key + places[i] * 0x9E3779B1 + best * 0x85EBCA6B & 0xFFFFFFFF
+                x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                x = (x ^ x >> 12) * 0x297A2D39 & 0xFFFFFFFF
+                if (x ^ x >> 15) < bar:
+                    agenda[i] = none
+                    continue
+            j = i + 1
+            joint = parts[i] = parts[i] + parts[j]
+            del parts[j], places[j], agenda[i]
             if i < len(agenda):
-                agenda[i] = rank(parts[i] + parts[i + 1], none)
+                agenda[i] = rank(joint + parts[j], none)
             if i:
-                agenda[i - 1] = rank(parts[i - 1] + parts[i], none)
+                agenda[i - 1] = rank(parts[i - 1] + joint, none)
         return parts
 
     def _merged_long(self, parts: list[str], bar: int, key: int) -> list[str]:
@@ -159,27 +161,29 @@ class Pieces:
         else:
             which = [0] * n
         known = self.known.setdefault((rate, seed, variants), [{} for _ in range(variants)])
-        try:
-            return np.frombuffer(b"".join([known[v][w] for v, w in zip(which, words, strict=True)]), dtype="<u4")
-        except KeyError:
-            pass
-        out = []
-        for v, w in zip(which, words, strict=True):
-            found = known[v].get(w)
-            if found is None:
-                key = xxhash.xxh32_intdigest(w.encode(), (seed * 0x10001 + v) & 0xFFFFFFFF)
-                found = array("I", self.segment(w, rate, key)).tobytes()
-                if len(w) <= _SHORT:
-                    if self.held >= WORDS_KEPT:
-                        for each in self.known.values():
-                            for words_ in each:
-                                words_.clear()
-                        self.held = 0
-                    known[v][w] = found
-                    self.held += 1
-            out.append(found)
+        gets = [k.get for k in known]
+        out = [gets[v](w) for v, w in zip(which, words, strict=True)]
+        if None in out:
+            for i, found in enumerate(out):
+                # A word new to this text may have come up twice in it.
+                if found is None and (found := gets[which[i]](words[i])) is None:
+                    found = self._learned(words[i], known, which[i], rate, seed)
+                out[i] = found
         return np.frombuffer(b"".join(out), dtype="<u4")
 
+    def _learned(self, word: str, known: list[dict[str, bytes]], variant: int, rate: float, seed: int) -> bytes:
+        key = xxhash.xxh32_intdigest(word.encode(), (seed * 0x10001 + variant) & 0xFFFFFFFF)
+        found = array("I", self.segment(word, rate, key)).tobytes()
+        if len(word) <= _SHORT:
+            if self.held >= WORDS_KEPT:
+                for each in self.known.values():
+                    for words in each:
+                        words.clear()
+                self.held = 0
+            known[variant][word] = found
+            self.held += 1
+        return found
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before the first word is taken off."""
         return b"".join([self.bytes_of[i] for i in ids.tolist()])[1:].decode(errors="replace")
