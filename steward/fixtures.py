@@ -1,6 +1,7 @@
 """The jobs' input tables, derived by Spark from the benchmark tables in a folder.
 
-Fixed parameters: replication factor 5, ``as_of`` 2024-02-01 UTC, seed 7, run 0.
+Fixed parameters: replication factor 5, providers as seen since 2000-11-14, ``as_of`` 2024-02-01
+UTC, seed 7, run 0.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 5
 AS_OF = "2024-02-01 00:00:00"
+SINCE = "2000-11-14 00:00:00"
 SEED, RUN = 7, 0
 
 # Ids derived from row keys are no content ids, so the id check takes this pattern.
@@ -82,7 +84,6 @@ class Fixtures:
     def providers(self) -> DataFrame:
         return (
             self.table("lineitem")
-            .filter(F.col("l_linenumber") == 1)
             .select(
                 F.col("l_partkey").cast("string").alias("id"),
                 F.col("l_suppkey").cast("string").alias("peer_id"),
@@ -160,6 +161,37 @@ class Fixtures:
             .distinct()
         )
 
+    def on_two_nodes(self, blocks: DataFrame) -> DataFrame:
+        return blocks.withColumn("node_id", F.explode(F.array(F.lit("n0"), F.lit("n1"))))
+
+    def node_pins(self) -> DataFrame:
+        """Open orders are pinned on one node, finished ones on the other, all else on both."""
+        status = F.col("o_orderstatus")
+        where = F.when(status == "O", F.array(F.lit("n0"))).when(status == "F", F.array(F.lit("n1")))
+        return self.table("orders").select(
+            F.col("o_orderkey").cast("string").alias("cid"),
+            F.when(status.isin("O", "F"), "recursive").otherwise("direct").alias("pin_type"),
+            F.explode(where.otherwise(F.array(F.lit("n0"), F.lit("n1")))).alias("node_id"),
+        )
+
+    def part_links(self) -> DataFrame:
+        id_ = F.col("p_partkey").cast("string")
+        return self.table("part").select(id_.alias("parent"), F.concat(id_, F.lit("-0")).alias("child"))
+
+    def _copy_of(self):
+        return ((F.col("p_partkey") + 1) % self.table("supplier").select(F.count("*")).scalar()).cast("string")
+
+    def copied_blocks(self) -> DataFrame:
+        id_ = F.col("p_partkey").cast("string")
+        nodes = F.array(self._node_of("p_partkey").cast("string"), self._copy_of())
+        found = self.table("part").select(F.explode(nodes).alias("node_id"), id_.alias("id"))
+        return found.select("node_id", F.explode(F.array("id", F.concat("id", F.lit("-0")))).alias("cid"))
+
+    def copied_pins(self) -> DataFrame:
+        """Of every third part the copy is pinned too."""
+        third = self.table("part").filter(F.col("p_partkey") % 3 == 0)
+        return third.select(self._copy_of().alias("node_id"), F.col("p_partkey").cast("string").alias("cid"))
+
     def tree_links(self) -> DataFrame:
         """A graph four levels deep: nation, customer, order, line."""
         customers = self.table("customer").select(

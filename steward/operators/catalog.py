@@ -76,10 +76,15 @@ def page(
     df: DataFrame,
     limit: int,
     number: int,
-    order: Sequence[str] = ("id",),
+    order: Sequence[str] = (),
     shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
-    """Page ``number`` (from zero) of ``limit`` rows, in a total order."""
+    """Page ``number`` (from zero) of ``limit`` rows.
+
+    The catalog's key follows any order given, so that rows of one id on several nodes fall
+    in the same order on either side of ``shallow_rows``.
+    """
+    order = list(dict.fromkeys([*order, *(c for c in ("id", "node_id") if c in df.columns)]))
     first = limit * number
     if first + limit <= shallow_rows:
         return df.orderBy(*order).offset(first).limit(limit)

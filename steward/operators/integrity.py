@@ -12,8 +12,14 @@ from steward.session import BROADCAST_ROWS, settle
 ROUNDS_PER_PLAN = 8
 
 
+def _key(*tables: DataFrame) -> list[str]:
+    """What names a stored block: the node too, where all tables know it."""
+    scoped = all("node_id" in t.columns for t in tables)
+    return ["node_id", "cid"] if scoped else ["cid"]
+
+
 def scan_pins(pins: DataFrame, pin_type: str = "direct") -> DataFrame:
-    return pins.filter(F.col("pin_type") == pin_type).select("cid")
+    return pins.filter(F.col("pin_type") == pin_type).select(*_key(pins))
 
 
 def unpin_plan(removed: DataFrame, catalog: DataFrame, pins: DataFrame | None = None) -> DataFrame:
@@ -34,16 +40,19 @@ def unpin_plan(removed: DataFrame, catalog: DataFrame, pins: DataFrame | None =
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Every cid on a path from ``roots`` along (parent, child) links, roots included.
 
+    Links are the same everywhere; roots with a ``node_id`` are followed for each node by itself.
     One round per level of the graph; only the ids found last take part in the join.
     """
-    reached = frontier = settle(roots.select("cid").distinct())
+    reached = frontier = settle(roots.select(*_key(roots)).distinct())
     rounds = 0
     while found := frontier.count():
-        parents = frontier.select(F.col("cid").alias("parent"))
+        parents = frontier.withColumnRenamed("cid", "parent")
         if found <= BROADCAST_ROWS:
             parents = F.broadcast(parents)
-        children = links.join(parents, "parent", "left_semi").select(F.col("child").alias("cid"))
-        frontier = settle(children.distinct().join(reached, "cid", "left_anti"))
+        how = "inner" if "node_id" in parents.columns else "left_semi"
+        children = links.select("parent", "child").join(parents, "parent", how).drop("parent")
+        children = children.withColumnRenamed("child", "cid").select(*_key(roots))
+        frontier = settle(children.distinct().join(reached, _key(roots), "left_anti"))
         reached = reached.unionByName(frontier)
         rounds += 1
         if rounds % ROUNDS_PER_PLAN == 0:
@@ -52,10 +61,14 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def sweep(blocks: DataFrame, links: DataFrame, pins: DataFrame) -> DataFrame:
-    """Blocks no pin keeps. A recursive pin keeps all below it, a direct pin only itself."""
-    below = reachable(links, scan_pins(pins, "recursive"))
-    kept = below.unionByName(pins.select("cid"))
-    return blocks.join(kept, "cid", "left_anti")
+    """Blocks no pin keeps. A recursive pin keeps all below it, a direct pin only itself.
+
+    With ``node_id`` in blocks and pins, a pin keeps blocks of its own node only.
+    """
+    key = _key(blocks, pins)
+    below = reachable(links, scan_pins(pins, "recursive").select(*key))
+    kept = below.unionByName(pins.select(*key))
+    return blocks.join(kept, key, "left_anti")
 
 
 def verify_blocks(
@@ -68,18 +81,21 @@ def verify_blocks(
 
     Contents are hashed where they are read; only ids and digests are joined. With
     ``pins`` and ``links`` only blocks under a pin are looked at, and the id given is
-    that of the bad block, not of the pin.
+    that of the bad block, not of the pin. Where the tables have a ``node_id``, each node's
+    copy is judged by itself.
     """
-    actual = stored.select("cid", F.sha2(F.col("content").cast("binary"), 256).alias("_actual"))
-    wanted = expected.select("cid", "digest")
+    key = _key(stored, expected) if pins is None else _key(stored, expected, pins)
+    actual = stored.select(*key, F.sha2(F.col("content").cast("binary"), 256).alias("_actual"))
+    wanted = expected.select(*key, "digest")
     if pins is not None:
-        below = reachable(links, scan_pins(pins, "recursive")) if links is not None else None
-        watched = pins.select("cid") if below is None else below.unionByName(pins.select("cid"))
-        wanted = wanted.join(watched, "cid", "left_semi")
-    bad = wanted.join(actual, "cid", "left").filter(
+        watched = pins.select(*key)
+        if links is not None:
+            watched = reachable(links, scan_pins(pins, "recursive").select(*key)).unionByName(watched)
+        wanted = wanted.join(watched, key, "left_semi")
+    bad = wanted.join(actual, key, "left").filter(
         F.col("_actual").isNull() | ~F.col("digest").eqNullSafe(F.col("_actual"))
     )
-    return bad.select("cid").distinct()
+    return bad.select(*key).distinct()
 
 
 def distinct_bad(verdicts: DataFrame) -> DataFrame:
@@ -90,7 +106,8 @@ def distinct_bad(verdicts: DataFrame) -> DataFrame:
 def repair_plan(bad: DataFrame, providers: DataFrame | None = None) -> DataFrame:
     """Two steps per bad block: unpin it, then pin it again from another node.
 
-    ``repairable`` says whether a provider is known, and is null without ``providers``.
+    ``repairable`` says whether a provider is known, and is null without ``providers``; of a
+    block of one node, the node itself is no provider.
     """
     # The two steps, in order.
     steps = F.array(
@@ -100,14 +117,17 @@ def repair_plan(bad: DataFrame, providers: DataFrame | None = None) -> DataFrame
     if providers is None:
         marked = bad.withColumn("repairable", F.lit(None).cast("boolean"))
     else:
+        # Two peers are enough to know that there is another one.
         held = (
             providers.filter("ok")
-            .select(F.col("id").alias("cid"))
-            .join(bad, "cid", "left_semi")
-            .distinct()
-            .withColumn("_held", F.lit(True))
+            .select(F.col("id").alias("cid"), "peer_id")
+            .join(bad.select("cid").distinct(), "cid", "left_semi")
+            .groupBy("cid")
+            .agg(F.min("peer_id").alias("_one"), F.max("peer_id").alias("_other"))
         )
+        own = F.col("node_id") if "node_id" in bad.columns else F.lit(None)
+        other = ~F.col("_one").eqNullSafe(own) | ~F.col("_other").eqNullSafe(own)
         marked = bad.join(held, "cid", "left").withColumn(
-            "repairable", F.coalesce("_held", F.lit(False))
+            "repairable", F.coalesce(F.col("_one").isNotNull() & other, F.lit(False))
         )
-    return marked.select("cid", "repairable", F.inline(steps))
+    return marked.select(*_key(bad), "repairable", F.inline(steps))

@@ -134,7 +134,7 @@ def _walk(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     order = list(order)
 
     def per_node(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
+        group = group.sort_values(order, kind="stable", na_position="first")
         room = int(group["_room"].iloc[0])
         return group.assign(fits=first_fit(group["size"].tolist(), room))
 

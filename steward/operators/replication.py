@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from steward.operators.joins import lookup_join, small_side
 from steward.operators.running import running
 
-# Fixed value: a lookup asks for this many providers beyond the replication factor.
-EXTRA_PROVIDERS = 15
 
+def seen_since(providers: DataFrame, since: str | Column) -> DataFrame:
+    """The records of lookups at ``since`` or later: who holds a file now."""
+    moment = F.lit(since).cast("timestamp") if isinstance(since, str) else since
+    return providers.filter(F.col("seen_at") >= moment)
 
-def provider_counts(providers: DataFrame) -> DataFrame:
-    """Distinct peers per id, and whether any lookup of it failed.
 
-    The distinct count dedupes (id, peer) pairs before it gathers ids, so an id with a
-    third of all records is spread over its peers first.
+def provider_counts(providers: DataFrame, since: str | Column | None = None) -> DataFrame:
+    """Distinct peers per id that were seen, and whether the last lookup of it failed.
+
+    Records from before ``since`` do not count, and neither do peers of failed lookups.
+    Of lookups at the same time a failed one counts as the last. Pairs of id and peer are
+    gathered first, so an id with a third of all records is spread over its peers.
     """
-    return providers.groupBy("id").agg(
-        F.count_distinct("peer_id").alias("providers"),
-        F.max(~F.coalesce("ok", F.lit(False))).alias("failed"),
+    if since is not None:
+        providers = seen_since(providers, since)
+    lost = ~F.coalesce("ok", F.lit(False))
+    pairs = providers.groupBy("id", "peer_id").agg(
+        F.max(~lost).alias("_seen"), F.max(F.struct("seen_at", lost.alias("failed"))).alias("_last")
+    )
+    return pairs.groupBy("id").agg(
+        F.count(F.when(F.col("_seen"), F.col("peer_id"))).alias("providers"),
+        F.max("_last")["failed"].alias("failed"),
     )
 
 
@@ -39,17 +49,18 @@ def known_facts(
     return provider_counts(providers).join(sizes, "id", "full_outer")
 
 
-def replications_of(threshold: Column) -> Column:
+def replications_of() -> Column:
     """The count to record, from the columns of ``provider_counts``: −1 after a failed lookup."""
-    seen = F.least(F.coalesce("providers", F.lit(0)), threshold + EXTRA_PROVIDERS)
+    seen = F.coalesce("providers", F.lit(0))
     return F.when(F.coalesce("failed", F.lit(False)), F.lit(-1)).otherwise(seen).cast("int")
 
 
-def count_providers(files: DataFrame, providers: DataFrame, threshold: int | Column) -> DataFrame:
-    """The files with fresh ``replications``."""
-    threshold = F.lit(threshold) if isinstance(threshold, int) else threshold
-    counted = lookup_join(files.drop("replications"), provider_counts(providers), "id")
-    return counted.withColumn("replications", replications_of(threshold)).drop(
+def count_providers(
+    files: DataFrame, providers: DataFrame, since: str | Column | None = None
+) -> DataFrame:
+    """The files with fresh ``replications``, counted exactly."""
+    counted = lookup_join(files.drop("replications"), provider_counts(providers, since), "id")
+    return counted.withColumn("replications", replications_of()).drop(
         "providers", "failed"
     )
 

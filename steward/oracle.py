@@ -33,7 +33,7 @@ PARTS: dict[str, str] = {
     "providers": """
         SELECT CAST(l_partkey AS VARCHAR) AS id, CAST(l_suppkey AS VARCHAR) AS peer_id,
                l_shipdate AS seen_at, l_orderkey % 997 <> 0 AS ok
-        FROM lineitem WHERE l_linenumber = 1""",
+        FROM lineitem""",
     "objects": """
         SELECT CAST(p_partkey AS VARCHAR) AS id,
                CASE WHEN p_partkey % 13 = 0 THEN NULL
@@ -84,12 +84,13 @@ PARTS: dict[str, str] = {
               FROM part WHERE p_partkey % 3 = 0)""",
     "asked": "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 5 = 0",
     "counts": """
-        SELECT id, count(DISTINCT peer_id) AS providers, bool_or(NOT ok) AS failed
-        FROM providers GROUP BY id""",
+        SELECT id, count(DISTINCT peer_id) FILTER (ok) AS providers,
+               max(struct_pack(t := seen_at, failed := NOT ok)).failed AS failed
+        FROM providers WHERE seen_at >= TIMESTAMP '2000-11-14 00:00:00' GROUP BY id""",
     "counted": """
         SELECT c.node_id, c.id, c.name, c.size, c.status, c.modified,
                CAST(CASE WHEN coalesce(p.failed, false) THEN -1
-                         ELSE least(coalesce(p.providers, 0), 20) END AS INT) AS replications
+                         ELSE coalesce(p.providers, 0) END AS INT) AS replications
         FROM catalog c LEFT JOIN counts p ON c.id = p.id""",
     "used": """
         SELECT node_id, CAST(coalesce(sum(CASE WHEN status = 'local' THEN size END), 0) AS BIGINT) AS used
@@ -141,7 +142,7 @@ ADDER: dict[str, str] = {
                        WHEN object_size IS NULL THEN 'size_unknown' END AS early
         FROM (SELECT t.*, o.size AS object_size,
                      CAST(CASE WHEN coalesce(p.failed, false) THEN -1
-                               ELSE least(coalesce(p.providers, 0), 20) END AS INT) AS r,
+                               ELSE coalesce(p.providers, 0) END AS INT) AS r,
                      CAST(('0x' || substr(md5('7|0|' || t.node_id || '|' || t.id), 1, 6)) AS INT)
                        / 16777216.0 AS draw
               FROM todo t LEFT JOIN counts p ON t.id = p.id LEFT JOIN objects o ON t.id = o.id)""",
@@ -248,9 +249,8 @@ _READDED = "SELECT b.* FROM rebased b JOIN moved m ON b.id = m.id WHERE m.change
 _EMPTY_ROOMS = ("rooms", "SELECT node_id, limit_bytes AS room FROM nodes")
 _EVICTABLE = (
     "evictable",
-    f"""SELECT c.node_id, c.id, c.size, p.providers AS replications
-        FROM catalog c JOIN counts p ON c.id = p.id
-        WHERE NOT p.failed AND c.status = 'local' AND p.providers > 0.05 * {NODE_COUNT}""",
+    f"""SELECT node_id, id, size, replications FROM counted
+        WHERE status = 'local' AND replications > 0.05 * {NODE_COUNT}""",
 )
 _BEST = (
     "best",
@@ -466,10 +466,19 @@ ORACLE: dict[str, str] = {
     "verify_catalog": _adder(_after("kept"), "SELECT * FROM kept WHERE change = 'add'", _KEPT),
     "verify_unpin": _sql("SELECT node_id, id FROM gone WHERE status = 'local'"),
     "verify_sweep": _adder(
-        "SELECT id AS cid FROM objects"
-        " WHERE id NOT IN (SELECT id FROM decided WHERE outcome = 'pull')"
-        " AND id NOT IN (SELECT id FROM catalog WHERE status = 'local'"
-        "                AND id NOT IN (SELECT id FROM gone))",
+        f"""
+        SELECT node_id, id || tail AS cid
+        FROM (SELECT CAST((p_partkey + shift) % {NODE_COUNT} AS VARCHAR) AS node_id,
+                     CAST(p_partkey AS VARCHAR) AS id
+              FROM part, (VALUES (0), (1)) AS s(shift)) b, (VALUES (''), ('-0')) AS t(tail)
+        WHERE (node_id, id) NOT IN (SELECT (node_id, id) FROM decided WHERE outcome = 'pull')
+          AND (node_id, id) NOT IN (
+            SELECT (node_id, id) FROM (
+              SELECT node_id, id FROM catalog WHERE status = 'local'
+              UNION ALL
+              SELECT CAST((p_partkey + 1) % {NODE_COUNT} AS VARCHAR), CAST(p_partkey AS VARCHAR)
+              FROM part WHERE p_partkey % 3 = 0)
+            WHERE (node_id, id) NOT IN (SELECT (node_id, id) FROM gone WHERE status = 'local'))""",
         "SELECT * FROM kept WHERE change = 'add'",
         _KEPT,
     ),
@@ -483,7 +492,7 @@ ORACLE: dict[str, str] = {
     "swap_plan": _sql(
         "SELECT node_id, id, size, replications, 'evict' AS action FROM best"
         " WHERE node_id IN (SELECT node_id FROM walk WHERE fits)"
-        " UNION ALL SELECT q.node_id, q.id, q.size, CAST(q.replications AS BIGINT), 'pull'"
+        " UNION ALL SELECT q.node_id, q.id, q.size, q.replications, 'pull'"
         " FROM queue q JOIN walk w ON q.node_id = w.node_id AND q.id = w.id WHERE w.fits",
         _EVICTABLE,
         _BEST,
@@ -524,6 +533,22 @@ ORACLE: dict[str, str] = {
         "SELECT cid, cid IN (SELECT 'doc-' || id FROM providers WHERE ok) AS repairable, step, action"
         " FROM bad, (VALUES (CAST(1 AS INT), 'unpin'), (CAST(2 AS INT), 'pin')) AS s(step, action)"
     ),
+    "sweep_nodes": _sql(
+        "SELECT 'n0' AS node_id, child AS cid FROM links WHERE parent NOT IN"
+        " (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O')"
+        " UNION ALL SELECT 'n1', child FROM links WHERE parent NOT IN"
+        " (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')"
+    ),
+    "repair_nodes": """
+        SELECT node_id, 'doc-' || doc_id AS cid,
+               CASE node_id WHEN 'n0' THEN doc_id % 3 = 0 ELSE doc_id % 20 = 0 END AS repairable, step, action
+        FROM documents, (VALUES ('n0', 70), ('n1', 50)) AS n(node_id, every),
+             (VALUES (CAST(1 AS INT), 'unpin'), (CAST(2 AS INT), 'pin')) AS s(step, action)
+        WHERE doc_id % every = 0 AND text <> ''""",
+    "patch_rejects": _sql(
+        "SELECT CASE op WHEN '+' THEN 'add' ELSE 'remove' END AS op, op || id || '  ' || name || ' more' AS value,"
+        " 'invalid_id' AS reason FROM changes WHERE name NOT LIKE 'view%'"
+    ),
     "stream_sync": _sql(
         f"SELECT {ROW} FROM catalog WHERE id NOT IN (SELECT id FROM net WHERE change <> 'none')"
         f" UNION ALL SELECT CAST(NULL AS VARCHAR), id, name, 0, 'remote', {AS_OF}, 0"

@@ -49,7 +49,7 @@ def adder(
     facts = known_facts(providers, objects, files if few else None)
     looked = (
         lookup_join(asked, facts, "id")
-        .withColumn("replications", replications_of(F.col("_factor")))
+        .withColumn("replications", replications_of())
         .withColumn("energy", activation_energy(F.col("replications"), F.col("_factor")))
         .withColumn("draw", draw(seed, run, F.col("node_id"), F.col("id")))
     )

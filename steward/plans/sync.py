@@ -123,10 +123,15 @@ def sync_snapshots(
 def sweep_after(
     synced: Synced, blocks: DataFrame, links: DataFrame, pins: DataFrame
 ) -> DataFrame:
-    """Blocks to delete once the planned files are unpinned and the pulled ones pinned."""
-    kept = pins.join(synced.unpin.select(F.col("id").alias("cid")), "cid", "left_anti")
+    """Blocks to delete once the planned files are unpinned and the pulled ones pinned.
+
+    Blocks and pins are those of nodes: what one node unpins stays pinned on the others.
+    """
+    key = ["node_id", "cid"]
+    gone = synced.unpin.select("node_id", F.col("id").alias("cid"))
     pulled = synced.outcomes.filter(F.col("outcome") == "pull").select(
-        F.col("id").alias("cid"), F.lit("recursive").alias("pin_type")
+        "node_id", F.col("id").alias("cid"), F.lit("recursive").alias("pin_type")
     )
-    return sweep(blocks, links, kept.select("cid", "pin_type").unionByName(pulled))
+    kept = pins.join(gone, key, "left_anti").select(*key, "pin_type")
+    return sweep(blocks, links, kept.unionByName(pulled))
 

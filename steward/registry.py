@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steward.fixtures import ANY_ID, AS_OF, RUN, SEED, THRESHOLD, Fixtures
+from steward.fixtures import ANY_ID, AS_OF, RUN, SEED, SINCE, THRESHOLD, Fixtures
 from steward.functions import (
     activation_energy,
     draw,
@@ -26,7 +26,6 @@ from steward.streaming.changes import stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLEET = ["node_id", "id"]
-ROW = ["node_id", "id", "name", "size", "status", "modified", "replications"]
 
 QUERIES: dict[str, Query] = {}
 
@@ -58,15 +57,12 @@ def _rooms(fx: Fixtures) -> DataFrame:
     return placement.node_room(_limited(fx), placement.used_bytes(fx.catalog()))
 
 
-def _counted(fx: Fixtures) -> DataFrame:
-    return replication.count_providers(fx.catalog(), fx.providers(), THRESHOLD)
+def _seen(fx: Fixtures) -> DataFrame:
+    return replication.seen_since(fx.providers(), SINCE)
 
 
-def _held(fx: Fixtures) -> DataFrame:
-    """The catalog with all known holders of each file, not only as many as matter for a pull."""
-    counts = replication.provider_counts(fx.providers()).filter(~F.col("failed"))
-    held = counts.select("id", F.col("providers").alias("replications"))
-    return fx.catalog().drop("replications").join(held, "id")
+def _counted(fx: Fixtures) -> DataFrame:
+    return replication.count_providers(fx.catalog(), fx.providers(), SINCE)
 
 
 def _wanted(fx: Fixtures) -> DataFrame:
@@ -80,7 +76,7 @@ def _wanted(fx: Fixtures) -> DataFrame:
 
 def _observed(fx: Fixtures) -> sync.Observed:
     return sync.Observed(
-        fx.providers(), fx.objects(), _limited(fx), THRESHOLD, AS_OF, SEED, RUN
+        _seen(fx), fx.objects(), _limited(fx), THRESHOLD, AS_OF, SEED, RUN
     )
 
 
@@ -169,6 +165,13 @@ def scan_patch(fx: Fixtures) -> DataFrame:
     return found.select("op", "id", "name")
 
 
+@_query
+def patch_rejects(fx: Fixtures) -> DataFrame:
+    """Under the usual id rule no key of the feed is a content id."""
+    lines = text.scan_lines(fx.spark, _write_patch(fx), "*.txt")
+    return text.patch_rejects(lines).select("op", "value", "reason")
+
+
 @_query
 def patch_net(fx: Fixtures) -> DataFrame:
     found = text.scan_patch(fx.spark, _write_patch(fx), ANY_ID, "*.txt")
@@ -307,7 +310,7 @@ def attach_threshold(fx: Fixtures) -> DataFrame:
 
 @_query
 def provider_counts(fx: Fixtures) -> DataFrame:
-    return replication.provider_counts(fx.providers())
+    return replication.provider_counts(fx.providers(), SINCE)
 
 
 @_query
@@ -493,7 +496,7 @@ def line_ops(fx: Fixtures) -> DataFrame:
 def adder_outcomes(fx: Fixtures) -> DataFrame:
     remote = cat.by_status(fx.catalog(), "remote")
     outcomes = adding.adder(
-        remote, fx.catalog(), fx.providers(), fx.objects(), _limited(fx), THRESHOLD, SEED, RUN
+        remote, fx.catalog(), _seen(fx), fx.objects(), _limited(fx), THRESHOLD, SEED, RUN
     )
     return outcomes.select(*FLEET, "size", "status", "replications", "outcome")
 
@@ -501,7 +504,7 @@ def adder_outcomes(fx: Fixtures) -> DataFrame:
 @_query
 def rebalance(fx: Fixtures) -> DataFrame:
     following, _ = adding.rebalance(
-        fx.catalog(), fx.providers(), fx.objects(), _limited(fx), THRESHOLD, AS_OF, SEED, RUN
+        fx.catalog(), _seen(fx), fx.objects(), _limited(fx), THRESHOLD, AS_OF, SEED, RUN
     )
     return following
 
@@ -530,13 +533,10 @@ def verify_unpin(fx: Fixtures) -> DataFrame:
 
 @_query
 def verify_sweep(fx: Fixtures) -> DataFrame:
-    synced = _full(fx)
-    pins = cat.by_status(fx.catalog(), "local").select(
-        F.col("id").alias("cid"), F.lit("recursive").alias("pin_type")
-    )
-    objects = fx.objects().select(F.col("id").alias("cid"))
-    links = fx.links().filter("false")
-    return sync.sweep_after(synced, objects, links, pins)
+    """Every part and a block below it lie on its own node and on the next one."""
+    own = cat.by_status(fx.catalog(), "local").select("node_id", F.col("id").alias("cid"))
+    pins = own.unionByName(fx.copied_pins()).withColumn("pin_type", F.lit("recursive"))
+    return sync.sweep_after(_full(fx), fx.copied_blocks(), fx.part_links(), pins)
 
 
 @_query
@@ -566,13 +566,13 @@ def sync_snapshots(fx: Fixtures) -> DataFrame:
 
 @_query
 def evict_candidates(fx: Fixtures) -> DataFrame:
-    held = evict.evict_candidates(_held(fx), fx.nodes(), 0.05)
+    held = evict.evict_candidates(_counted(fx), fx.nodes(), 0.05)
     return held.select(*FLEET, "size", "replications")
 
 
 @_query
 def swap_plan(fx: Fixtures) -> DataFrame:
-    evictable = evict.evict_candidates(_held(fx), fx.nodes(), 0.05)
+    evictable = evict.evict_candidates(_counted(fx), fx.nodes(), 0.05)
     return evict.swap_plan(evictable, _wanted(fx), _rooms(fx))
 
 
@@ -610,6 +610,27 @@ def repair_plan(fx: Fixtures) -> DataFrame:
     return integrity.repair_plan(bad, held)
 
 
+@_query
+def sweep_nodes(fx: Fixtures) -> DataFrame:
+    """Every line on two nodes, each of which pins some of the orders."""
+    links = settle(fx.links())
+    return integrity.sweep(fx.on_two_nodes(links.select(F.col("child").alias("cid"))), links, fx.node_pins())
+
+
+@_query
+def repair_nodes(fx: Fixtures) -> DataFrame:
+    """Each node's bad copies of the documents, and whether another node holds them."""
+    stored = fx.on_two_nodes(fx.blocks().select("cid", "content"))
+    number = F.substring_index("cid", "-", -1).cast("bigint")
+    lost = ((F.col("node_id") == "n0") & (number % 70 == 0)) | ((F.col("node_id") == "n1") & (number % 50 == 0))
+    found = stored.withColumn("content", F.when(lost, "").otherwise(F.col("content")))
+    expected = stored.select("node_id", "cid", F.sha2("content", 256).alias("digest"))
+    bad = integrity.verify_blocks(found, expected)
+    ids = stored.filter(((F.col("node_id") == "n0") & (number % 20 == 0)) | ((F.col("node_id") == "n1") & (number % 3 == 0)))
+    held = ids.select(F.col("cid").alias("id"), F.col("node_id").alias("peer_id"), F.lit(True).alias("ok"))
+    return integrity.repair_plan(bad, held)
+
+
 # --- stream ---------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and not context.master.startswith("local"):
+    alone = re.fullmatch(r"local(\[.*\])?", context.master)  # a local cluster has executors of its own
+    if not configured and not alone:
         raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="steward-"))
     return context.getCheckpointDir()

@@ -37,6 +37,14 @@ def last_commit(spark: SparkSession, root: str, source: str | None = None) -> Co
     return Commit(*row) if row[0] is not None else None
 
 
+def taken_in(spark: SparkSession, root: str, source: str, batch: int) -> bool:
+    """Whether a snapshot records that ``batch`` of ``source`` went into it."""
+    if last_commit(spark, root) is None:
+        return False
+    log = spark.read.schema(COMMIT).parquet(f"{_commits(root)}/*.parquet")
+    return not log.filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()
+
+
 def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The newest snapshot, or a given one; empty where nothing was written yet."""
     if version is None:

@@ -1,12 +1,13 @@
 """Manifests and patches as text.
 
 Spark lists files whose names do not start with a dot or an underscore, and splits large
-ones. A line keeps its place by file, block and position in the task that read it:
+ones; a manifest of another name fails the scan, as its files would count as removed. A line keeps its place by file, block and position in the task that read it:
 ``ORDER`` sorts lines as a walk through the tree meets them.
 """
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,22 @@ def place_lines(raw: DataFrame) -> DataFrame:
     )
 
 
+def refuse_hidden(spark: SparkSession, path: str, pattern: str) -> None:
+    """Fail if a file that fits ``pattern`` lies under a name that Spark does not list."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return
+    root = system.getFileStatus(top).getPath().toUri().getPath()
+    found = system.listFiles(top, True)
+    while found.hasNext():
+        at = found.next().getPath().toUri().getPath()
+        inner = at[len(root) :].strip("/") or at.rsplit("/", 1)[-1]
+        names = inner.split("/")
+        if fnmatch(names[-1], pattern) and any(n.startswith(".") or n.startswith("_") and "=" not in n for n in names):
+            raise ValueError(f"Spark does not list {at}; rename it, or leave it out by the pattern")
+
+
 def scan_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     raw = (
         spark.read.option("recursiveFileLookup", True)
@@ -75,6 +92,7 @@ def scan_manifest(
     id_pattern: str | None = None,
 ) -> Lines:
     """Manifest lines of a whole tree: (manifest, path, block_start, k, id, name), and rejects."""
+    refuse_hidden(spark, path, pattern)
     lines = scan_lines(spark, path, pattern).withColumn("manifest", F.lit(manifest))
     return quarantine_lines(lines, id_pattern)
 
@@ -94,6 +112,15 @@ def parse_patch(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
     )
 
 
+def patch_rejects(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
+    """Lines of a diff that add or remove something ``parse_patch`` refuses, with a reason."""
+    value = F.col("value")
+    id_, name = strip_op(field(value, 0)), field(value, 1)
+    reason = F.when(id_ == "", "blank").when(~valid_id(id_, id_pattern), "invalid_id").when(name == "", "one_field")
+    marked = lines.withColumn("op", change_of(value)).withColumn("reason", reason)
+    return marked.filter(F.col("op").isNotNull() & F.col("reason").isNotNull())
+
+
 def scan_patch(
     spark: SparkSession, path: str, id_pattern: str = ID_PATTERN, pattern: str = "*"
 ) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from steward.functions import ID_PATTERN
 from steward.operators.catalog import Key
 from steward.operators.diff import apply_feed
 from steward.operators.fold import fold_changes
-from steward.sources.tables import last_commit, read_catalog, write_catalog
+from steward.sources.tables import read_catalog, taken_in, write_catalog
 from steward.sources.text import ORDER, parse_patch, place_lines
 
 
@@ -31,8 +32,9 @@ def stream_changes(
     """Apply the patch files that arrived since the last run, oldest first, then stop.
 
     A batch is one patch, as patches do not fold into each other where an id is added
-    again. The batch number is committed with the snapshot it led to, so a batch that
-    is handed over again after a failure is recognised and skipped. ``as_of`` gives the
+    again. A digest of its files (path, size and time) is committed with the snapshot they led
+    to, so a batch that is handed over again, even under another number, is recognised and
+    skipped. No file is too old to be read. ``as_of`` gives the
     time to record for a batch, and ``assign`` may add a ``node_id`` to the changes.
     """
     lines = (
@@ -41,21 +43,30 @@ def stream_changes(
         .option("pathGlobFilter", pattern)
         .option("lineSep", "\n")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", "36500d")
         .text(patches)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .select(
+            "value",
+            "_metadata.file_path",
+            "_metadata.file_block_start",
+            "_metadata.file_size",
+            "_metadata.file_modification_time",
+        )
     )
+    told_apart_by = ["file_path", "file_size", "file_modification_time"]
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        commit = last_commit(session, root, source)
-        if commit and commit.batch is not None and number <= commit.batch:
+        files = batch.select(*told_apart_by).distinct()
+        identity = files.agg(F.bit_xor(F.xxhash64(*told_apart_by))).first()[0]
+        if identity is None or taken_in(session, root, source, identity):
             return
         changes = parse_patch(place_lines(batch), id_pattern)
         if assign is not None:
             changes = assign(changes)
         net = fold_changes(changes, ORDER, key)
         following = apply_feed(read_catalog(session, root), net, as_of(number), key)
-        write_catalog(following, root, number, source)
+        write_catalog(following, root, identity, source)
 
     return (
         lines.writeStream.foreachBatch(apply)

@@ -90,10 +90,18 @@ def test_full_sync(world, table):
     assert rows_of(done.catalog, "id", "name") == [("brand", "brand"), ("r1", "new"), ("r2", "r2.png")]
     assert rows_of(done.unpin) == [("a", "kept")]
     assert rows_of(done.outcomes, "id", "outcome") == [("brand", "no_action")]
-    pins = table("cid string, pin_type string", ("kept", "recursive"), ("r2", "recursive"))
-    blocks = table("cid string", ("kept",), ("kept-1",), ("r2",), ("r2-1",), ("stray",))
+    pins = table(
+        "node_id string, cid string, pin_type string",
+        ("a", "kept", "recursive"), ("a", "r2", "recursive"), ("b", "r2", "recursive"),
+    )
+    blocks = table(
+        "node_id string, cid string",
+        *[(n, c) for n in "ab" for c in ("kept", "kept-1", "r2", "r2-1", "stray")],
+    )
     links = table("parent string, child string", ("kept", "kept-1"), ("r2", "r2-1"))
-    assert rows_of(sync.sweep_after(done, blocks, links, pins)) == [("kept",), ("kept-1",), ("stray",)]
+    assert rows_of(sync.sweep_after(done, blocks, links, pins), "node_id", "cid") == [
+        ("a", "kept"), ("a", "kept-1"), ("a", "stray"), ("b", "kept"), ("b", "kept-1"), ("b", "stray"),
+    ]
 
 
 def test_incremental_sync(world, table):

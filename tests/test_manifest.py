@@ -1,3 +1,5 @@
+import pytest
+
 import random
 
 from conftest import rows_of
@@ -20,7 +22,7 @@ def test_scan_and_quarantine(spark, tmp_path):
     write(tmp_path, {
         "a.ks": "1 one\n\n  2\ttwo extra fields\nlonely\n3 three\r\n",
         "a/x.ks": "4 four\n", "deep/er/y.ks": "5 five",
-        ".hid/z.ks": "6 six\n", "_u.ks": "7 seven\n", "README.md": "8 eight\n",
+        "README.md": "8 eight\n", "_README.md": "9 nine\n",
     })
     good, rejected = text.scan_manifest(spark, str(tmp_path), "m")
     assert rows_of(good, "manifest", "id", "name") == [
@@ -29,6 +31,13 @@ def test_scan_and_quarantine(spark, tmp_path):
     assert rows_of(rejected, "value", "reason") == [("", "blank"), ("lonely", "one_field")]
 
 
+@pytest.mark.parametrize("name", ["_u.ks", ".hid/z.ks", "sub/_d/x.ks"])
+def test_manifests_that_spark_would_skip_fail_the_scan(spark, tmp_path, name):
+    write(tmp_path, {"a.ks": "1 one\n", name: "7 seven\n"})
+    with pytest.raises(ValueError, match="does not list"):
+        text.scan_manifest(spark, str(tmp_path))
+
+
 def test_ids_are_checked_on_request_only(spark, tmp_path):
     write(tmp_path, {"a.ks": f"{QM} one\nnope two\n{B32} three\n"})
     assert text.scan_manifest(spark, str(tmp_path)).good.count() == 3

@@ -8,18 +8,30 @@ from steward.operators.running import running, sliced
 PROVIDER = "id string, peer_id string, seen_at timestamp, ok boolean"
 
 
-def test_counts_are_distinct_capped_and_void_after_a_failure(catalog, table):
+def test_counts_are_distinct_exact_and_void_after_a_failure(catalog, table):
     seen = [("many", f"p{i}", None, True) for i in range(30)]
     seen += [("few", "p1", None, True), ("few", "p1", None, True), ("few", "p2", None, True)]
     seen += [("failed", "p1", None, True), ("failed", None, None, False)]
     seen += [("empty", None, None, True)]
     files = catalog(*[("a", i, 1, "remote", 9) for i in ("many", "few", "failed", "none", "empty")])
-    got = replication.count_providers(files, table(PROVIDER, *seen), 5)
-    want = {"many": 20, "few": 2, "failed": -1, "none": 0, "empty": 0}
+    got = replication.count_providers(files, table(PROVIDER, *seen))
+    want = {"many": 30, "few": 2, "failed": -1, "none": 0, "empty": 0}
     assert dict(rows_of(got, "id", "replications")) == want
     assert rows_of(replication.under_replicated(got, 5), "id") == [("few",)]
 
 
+def test_the_last_lookup_and_the_time_count(spark):
+    rows = [
+        ("back", "p1", "2001-01-01", False), ("back", "p1", "2024-01-01", True), ("back", "p2", "2024-01-01", True),
+        ("lost", "p1", "2023-01-01", True), ("lost", None, "2024-01-01", False), ("old", "p1", "2002-01-01", True),
+    ]
+    df = spark.createDataFrame(rows, "id string, peer_id string, at string, ok boolean")
+    df = df.withColumn("seen_at", F.col("at").cast("timestamp"))
+    got = lambda since: rows_of(replication.provider_counts(df, since), "id", "providers", "failed")
+    assert got(None) == [("back", 2, False), ("lost", 1, True), ("old", 1, False)]
+    assert got("2023-06-01 00:00:00") == [("back", 2, False), ("lost", 0, True)]
+
+
 def test_threshold_per_manifest(catalog, table):
     files = catalog(("a", "x", 1, "remote", 3), ("a", "y", 1, "remote", 3))
     files = files.withColumn("manifest", F.when(F.col("id") == "x", "m1").otherwise("m2"))

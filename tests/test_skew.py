@@ -44,12 +44,13 @@ def providers(spark):
     return spark.range(0, 3000, 1, 4).select(
         F.concat(F.lit("f"), F.col("id") % 900).alias("id"),
         F.col("id").cast("string").alias("peer_id"),
+        F.lit(None).cast("timestamp").alias("seen_at"),
         F.lit(True).alias("ok"),
     )
 
 
 def test_counting_splits_a_hot_id(tiny):
-    assert split_at_runtime(replication.count_providers(files_with_a_hot_id(tiny), providers(tiny), 5))
+    assert split_at_runtime(replication.count_providers(files_with_a_hot_id(tiny), providers(tiny)))
 
 
 def test_sizing_splits_a_hot_id(tiny):

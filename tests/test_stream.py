@@ -22,24 +22,33 @@ def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
             as_of=lambda batch: f"2024-03-{batch + 1:02d} 00:00:00", id_pattern=ANY_ID,
         )
         query.awaitTermination()
-        return tables.last_commit(spark, root, "patches")
+        return tables.last_commit(spark, root, "patches").version
 
     # The second patch, by age, takes back what the first adds; folded together with
     # it they would leave the old row of "x" in place.
     arrive("b.patch", "+x again\n+new one\n", 1_700_000_000)
     arrive("a.patch", "-x again\n context line\n", 1_700_000_100)
     arrive("ignored.txt", "-y y\n", 1_700_000_000)
-    assert run() == (3, 1)
+    assert run() == 3
     now = tables.read_catalog(spark, root)
     assert rows_of(now, "id", "name", "status") == [("new", "one", "remote"), ("y", "y.png", "local")]
 
     # Nothing new: no batch, no snapshot.
-    assert run() == (3, 1)
+    assert run() == 3
 
     arrive("c.patch", "-y y\n", 1_700_000_200)
-    assert run() == (4, 2)
+    assert run() == 4
     assert rows_of(tables.read_catalog(spark, root), "id", "modified")[0][1].day == 1
 
     # With its progress lost the stream hands batches 0 to 2 over again; they are skipped.
-    assert run("fresh") == (4, 2)
+    assert run("fresh") == 4
     assert rows_of(tables.read_catalog(spark, root), "id") == [("new",)]
+
+    # A patch far older than those seen is read, and so is a new one under a used number.
+    arrive("late.patch", "+late one\n", 1_600_000_000)
+    assert run() == 5
+    for old in ("a.patch", "b.patch", "c.patch", "late.patch"):
+        (patches / old).rename(tmp_path / old)
+    arrive("d.patch", "+other one\n", 1_700_000_300)
+    assert run("third") == 6
+    assert rows_of(tables.read_catalog(spark, root), "id") == [("late",), ("new",), ("other",)]
