@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 from zlib import crc32
@@ -35,6 +35,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 42, 4
 WORDS_KEPT = 800_000  # per worker; results do not depend on it
 _MARK = "▁"
 _SHORT = 64  # characters; longer words keep their agenda in a heap, and are not remembered
+_CHARS = 1 << 20  # of texts whose words are looked up together
 _MASK = (1 << 64) - 1
 _WORD = re.compile(r" *[^ ]+| +")
 
@@ -75,9 +76,41 @@ class Pieces:
         best = sorted(self.ids, key=lambda p: (-self.scores[self.ids[p]], self.ids[p]))
         self.rank = {p: r for r, p in enumerate(best) if len(p) > 1}
         self.apart = not any(_MARK in p.lstrip(_MARK) for p in self.ids)
+        self._pair_table(best)
         self.known: dict[tuple, list[dict[str, bytes]]] = {}
         self.held = 0
 
+    def _pair_table(self, best: list[str]) -> None:
+        """What ``_merged_many`` needs: numbers of characters, and the rank of each neighbour pair.
+
+        A piece is numbered by its id, a character that is none by a number beyond; ``none`` is
+        what is in no piece at all, and pairs with nothing.
+        """
+        self.none = len(self.scores)
+        letters = sorted({c for p in self.ids for c in p})
+        beyond = iter(range(self.none + 1, self.none + 1 + len(letters)))
+        number = self.ids | {c: next(beyond) for c in letters if c not in self.ids}
+        self.letters = np.array([ord(c) for c in letters], dtype=np.uint32)
+        self.numbers = np.array([number[c] for c in letters], dtype=np.int64)
+        self.width = self.none + 1 + len(letters)
+        self.made = np.array([self.ids[p] for p in best], dtype=np.int64)
+        found = [
+            (number[a] * self.width + number[b], r)
+            for p, r in self.rank.items()
+            for a, b in ((p[:k], p[k:]) for k in range(1, len(p)))
+            if a in number and b in number
+        ]
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.pair_rank = pairs[:, 0].copy(), np.append(pairs[:, 1], len(best))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what two neighbours make; the number of pieces where that is none."""
+        if not len(self.pairs):
+            return np.full(left.shape, self.pair_rank[-1])
+        asked = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == asked, self.pair_rank[at], self.pair_rank[-1])
+
     def segment(self, word: str, rate: float, key: int) -> list[int]:
         """Ids of one word, a space written as a space."""
         # A mark of its own is no space: it never merges, and is spelled in bytes.
@@ -119,6 +152,59 @@ class Pieces:
                 agenda[i - 1] = rank(parts[i - 1] + joint, none)
         return parts
 
+    def _merged_many(self, words: list[str], bar: int, keys: list[int]) -> list[bytes]:
+        """Ids, as bytes, of many words of at most ``_SHORT`` characters, none of them with a mark of its own.
+
+        As ``_merged``, one step of every word at a time: a row is a word, a column the place
+        of a part's first character.
+        """
+        n, longest = len(words), max(map(len, words))
+        padded = "".join([w.ljust(longest + 1, "\0") for w in words]).replace(" ", _MARK)
+        codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, longest + 1)
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        parts = np.where(self.letters[at] == codes, self.numbers[at], self.none)
+        # The last column belongs to no word, and stands for what is beyond either end.
+        sizes = np.array([len(w) for w in words])
+        parts[np.arange(longest + 1) >= sizes[:, None]] = self.none
+        after = np.tile(np.arange(1, longest + 2), (n, 1))
+        before = np.tile(np.arange(-1, longest), (n, 1))
+        agenda = np.full((n, longest + 1), self.pair_rank[-1])
+        agenda[:, :-1] = self._ranks(parts[:, :-1], parts[:, 1:])
+        key, none = np.array(keys, dtype=np.uint64), self.pair_rank[-1]
+        gone = np.zeros(parts.shape, dtype=bool)
+        low, of = np.uint64(0xFFFFFFFF), np.uint64
+        row = np.arange(n)
+        while len(row):
+            i = agenda[row].argmin(axis=1)
+            merge = agenda[row, i]
+            live = merge != none
+            row, i, merge = row[live], i[live], merge[live]
+            if bar:
+                x = key[row] + i.astype(np.uint64) * of(0x9E3779B1) + merge.astype(np.uint64) * of(0x85EBCA6B) & low
+                x = (x ^ x >> of(15)) * of(0x2C1B3C6D) & low
+                x = (x ^ x >> of(12)) * of(0x297A2D39) & low
+                skip = (x ^ x >> of(15)) < of(bar)
+                agenda[row[skip], i[skip]] = none
+                r, i, merge = row[~skip], i[~skip], merge[~skip]
+            else:
+                r = row
+            j, k = after[r, i], before[r, i]
+            beyond = after[r, j]
+            gone[r, j], agenda[r, j] = True, none
+            parts[r, i], after[r, i], before[r, beyond] = self.made[merge], beyond, i
+            agenda[r, i] = self._ranks(parts[r, i], parts[r, beyond])
+            agenda[r, k] = self._ranks(parts[r, k], parts[r, i])
+        stays = ~gone & (np.arange(longest + 1) < sizes[:, None])
+        flat, ends = parts[stays].astype("<u4").tobytes(), (4 * np.cumsum(stays.sum(axis=1))).tolist()
+        out = [flat[a:b] for a, b in pairwise([0, *ends])]
+        for w in np.flatnonzero((stays & (parts >= self.none)).any(axis=1)).tolist():
+            ids: list[int] = []
+            for place in np.flatnonzero(stays[w]).tolist():
+                i = int(parts[w, place])
+                ids += [i] if i < self.none else [self.byte_ids[v] for v in words[w][place].encode()]
+            out[w] = np.array(ids, dtype="<u4").tobytes()
+        return out
+
     def _merged_long(self, parts: list[str], bar: int, key: int) -> list[str]:
         """The same for long words, with the agenda in a heap."""
         rank, n = self.rank.get, len(parts)
@@ -148,41 +234,74 @@ class Pieces:
 
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, doc: object = None, variants: int = VARIANTS) -> np.ndarray:
         """Ids of a whole text, without any of begin or end."""
+        return self.encode_many([(doc, text)], rate, seed, variants)[0]
+
+    def encode_many(
+        self, docs: list[tuple[object, str]], rate: float = 0.0, seed: int = SEED, variants: int = VARIANTS
+    ) -> list[np.ndarray]:
+        """Ids of whole texts, each with its document's id; words new to all of them are merged together."""
+        known = self.known.setdefault((rate, seed, variants), [{} for _ in range(variants)])
+        gets = [k.get for k in known]
+        texts, asked = [], {}
+        for doc, text in docs:
+            words, which = self._words(doc, text, rate, seed, variants)
+            out = [gets[v](w) for v, w in zip(which, words, strict=True)]
+            new = [i for i, found in enumerate(out) if found is None]
+            at = [(which[i], words[i]) for i in new]
+            asked.update(dict.fromkeys(at))
+            texts.append((out, new, at))
+        learned = self._learned(list(asked), known, rate, seed)
+        ids = []
+        for out, new, at in texts:
+            for i, word in zip(new, at, strict=True):
+                out[i] = learned[word]
+            ids.append(np.frombuffer(b"".join(out), dtype="<u4"))
+        return ids
+
+    def _words(self, doc: object, text: str, rate: float, seed: int, variants: int) -> tuple[list[str], list[int]]:
+        """The words of a text, each with its space, and the variant of each."""
         if not text:
-            return np.zeros(0, dtype="<u4")
+            return [], []
         spaced = " " + text
         words = _WORD.findall(spaced) if self.apart else [spaced]
-        n = len(words)
-        if rate:
-            start = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), seed & _MASK))
-            x = start + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            which = ((x >> np.uint64(33)) % np.uint64(variants)).tolist()
-        else:
-            which = [0] * n
-        known = self.known.setdefault((rate, seed, variants), [{} for _ in range(variants)])
-        gets = [k.get for k in known]
-        out = [gets[v](w) for v, w in zip(which, words, strict=True)]
-        if None in out:
-            for i, found in enumerate(out):
-                # A word new to this text may have come up twice in it.
-                if found is None and (found := gets[which[i]](words[i])) is None:
-                    found = self._learned(words[i], known, which[i], rate, seed)
-                out[i] = found
-        return np.frombuffer(b"".join(out), dtype="<u4")
-
-    def _learned(self, word: str, known: list[dict[str, bytes]], variant: int, rate: float, seed: int) -> bytes:
-        key = xxhash.xxh32_intdigest(word.encode(), (seed * 0x10001 + variant) & 0xFFFFFFFF)
-        found = array("I", self.segment(word, rate, key)).tobytes()
-        if len(word) <= _SHORT:
-            if self.held >= WORDS_KEPT:
-                for each in self.known.values():
-                    for words in each:
-                        words.clear()
-                self.held = 0
-            known[variant][word] = found
-            self.held += 1
-        return found
+        if not rate:
+            return words, [0] * len(words)
+        start = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), seed & _MASK))
+        x = start + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return words, ((x >> np.uint64(33)) % np.uint64(variants)).tolist()
+
+    def _learned(
+        self, asked: list[tuple[int, str]], known: list[dict[str, bytes]], rate: float, seed: int
+    ) -> dict[tuple[int, str], bytes]:
+        """Ids of words per variant, remembered for later texts if short."""
+        bar, out = int(rate * 2**32), {}
+        rows: dict[int, list[tuple[int, str]]] = {}
+        for pair in asked:
+            size = len(pair[1])
+            if size > _SHORT or _MARK in pair[1]:
+                key = self._key(pair, seed)
+                out[pair] = np.array(self.segment(pair[1], rate, key), dtype="<u4").tobytes()
+            else:
+                # Words of like length go together, as every row is as wide as the longest.
+                rows.setdefault(8 if size <= 8 else 12 if size <= 12 else 16 if size <= 16 else _SHORT, []).append(pair)
+        for alike in rows.values():
+            for at in range(0, len(alike), 1 << 13):
+                some = alike[at : at + (1 << 13)]
+                found = self._merged_many([w for _, w in some], bar, [self._key(p, seed) for p in some])
+                if self.held + len(some) > WORDS_KEPT:
+                    for each in self.known.values():
+                        for words in each:
+                            words.clear()
+                    self.held = 0
+                for pair, ids in zip(some, found, strict=True):
+                    out[pair] = known[pair[0]][pair[1]] = ids
+                self.held += len(some)
+        return out
+
+    @staticmethod
+    def _key(pair: tuple[int, str], seed: int) -> int:
+        return xxhash.xxh32_intdigest(pair[1].encode(), (seed * 0x10001 + pair[0]) & 0xFFFFFFFF)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before the first word is taken off."""
@@ -194,6 +313,22 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _encoded(
+    model: Pieces, rows: list[tuple[object, str | None]], rate: float, seed: int, variants: int
+) -> Iterator[np.ndarray | None]:
+    """Ids of each text of ``rows``, null for null; some texts are taken at a time, a very long one by itself."""
+    at = 0
+    while at < len(rows):
+        end, held = at, 0
+        while end < len(rows) and (end == at or held + len(rows[end][1] or "") <= _CHARS):
+            held += len(rows[end][1] or "")
+            end += 1
+        some = rows[at:end]
+        found = iter(model.encode_many([r for r in some if r[1] is not None], rate, seed, variants))
+        yield from [None if text is None else next(found) for _, text in some]
+        at = end
+
+
 def encode(
     docs: DataFrame,
     model: str,
@@ -211,7 +346,7 @@ def encode(
         for whole in batches:
             for batch in batches_of(whole, 256):
                 rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                ids = [None if t is None else model_.encode(t, rate, seed, d, variants) for d, t in rows]
+                ids = list(_encoded(model_, list(rows), rate, seed, variants))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -263,13 +398,13 @@ def round_trip(
         for whole in batches:
             for batch in batches_of(whole, 256):
                 rows = []
-                for key, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if given is None:
+                given = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                for (_, text_), ids in zip(given, _encoded(model_, given, rate, seed, variants), strict=True):
+                    if ids is None:
                         rows.append((0, None, None, True))
                         continue
-                    data = model_.encode(given, rate, seed, key, variants).tobytes()
-                    back = model_.decode(np.frombuffer(data, dtype="<u4"))
-                    rows.append((len(data) // 4, crc32(data), crc32(back.encode()), back == given))
+                    back = model_.decode(ids)
+                    rows.append((len(ids), crc32(ids), crc32(back.encode()), back == text_))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(

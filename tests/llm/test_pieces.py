@@ -50,6 +50,17 @@ def test_both_agendas_agree(model):
         assert model._merged(list(word), bar, key) == model._merged_long(list(word), bar, key)
 
 
+def test_many_words_at_a_time_agree_with_one(model):
+    rng = np.random.default_rng(1)
+    letters = list("abcdetinorsth é日\n\0😀")
+    words = [" " + "".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(400)]
+    keys = rng.integers(2**32, size=len(words)).tolist()
+    for rate in (0.0, 0.1, 0.7):
+        found = model._merged_many(words, int(rate * 2**32), keys)
+        one = [np.array(model.segment(w, rate, k), dtype="<u4").tobytes() for w, k in zip(words, keys, strict=True)]
+        assert found == one
+
+
 def test_share_of_skipped_merges():
     found = [pieces._skipped(k * 7919, p, m, int(0.1 * 2**32)) for k in range(40) for p in range(10) for m in range(0, 4000, 97)]
     assert abs(np.mean(found) - 0.1) < 0.01
