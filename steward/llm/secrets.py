@@ -195,7 +195,12 @@ def redacted(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, tex
     while {blob, spans} & set(names):
         blob, spans = blob + "_", spans + "_"
     found = findings(files.sparkSession, ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    # Where no rule's pattern occurs nothing was found, so such texts need not be moved.
+    hit = F.lit(False)
+    for rule in rules:
+        hit = hit | F.rlike(F.coalesce(F.col(text), F.lit("")), F.lit(rule.pattern))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = files.withColumn(blob, digest).join(found, blob, "left")
+    joined = files.filter(hit).withColumn(blob, digest).join(found, blob, "left")
     masked = F.when(F.col(spans).isNull(), F.col(text)).otherwise(redact(F.col(text), F.col(spans)))
-    return joined.select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    changed = joined.select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    return files.filter(~hit).unionByName(changed)

@@ -23,7 +23,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,19 +226,40 @@ def near_duplicates(
     return prints.join(found, "fp").select(id_, digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def file_place(docs: DataFrame) -> list[Column] | None:
+    """File and row of each document, for a table as it was read from files; else nothing.
+
+    Not for what was joined or exploded since: there one row of a file may be many.
+    """
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place).schema
+    except AnalysisException:
+        return None
+    return place
+
+
+def keep_one(
+    docs: DataFrame, id_: str = "doc_id", text: str = "text", place: list[Column] | None = None
+) -> DataFrame:
     """One row of each component, that with the smallest id (nulls last), with its columns.
 
-    The rows are written once with their fingerprints and a number each, so that exactly
-    one of repeated rows stays.
+    Exactly one of repeated rows stays. ``place`` tells rows apart, in every scan the
+    same, such as ``file_place``; then no text is copied. Without it the rows are written once
+    with their fingerprints and a number each.
     """
     names = docs.columns
     fp, row = "_fp", "_row"
     while fp in names or row in names:
         fp, row = fp + "_", row + "_"
-    numbered = with_fingerprints(docs, fp, text).withColumn(row, F.monotonically_increasing_id())
-    stored = written(numbered, "numbered")
-    narrow = stored.select(F.col(id_).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    if place is None:
+        numbered = with_fingerprints(docs, fp, text).withColumn(row, F.monotonically_increasing_id())
+        stored = written(numbered, "numbered")
+        narrow = stored.select(F.col(id_).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    else:
+        stored = docs.withColumn(row, F.struct(*place))
+        told = stored.select(F.col(id_).alias("id"), F.col(row).alias("row"), F.col(text).alias("_text"))
+        narrow = written(with_fingerprints(told, "fp", "_text").drop("_text"), "fingerprints")
     first = narrow.groupBy("fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")
     )

@@ -104,6 +104,17 @@ def test_one_of_each_group_stays(documents):
     )
 
 
+def test_the_place_in_files_tells_repeated_rows_apart(spark, documents, tmp_path):
+    docs = documents(*EDGES)
+    assert simhash.file_place(docs) is None
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    kept = simhash.keep_one(read, place=simhash.file_place(read))
+    assert kept.columns == docs.columns
+    rows = sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None)
+    assert rows == [(False, 3, ""), (False, 4, "same words here")] and kept.count() == 3
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_of_random_graphs(spark, seed):
     rng = random.Random(seed)
