@@ -551,7 +551,7 @@ ORACLE: dict[str, str] = {
     ),
     "stream_sync": _sql(
         f"SELECT {ROW} FROM catalog WHERE id NOT IN (SELECT id FROM net WHERE change <> 'none')"
-        f" UNION ALL SELECT CAST(NULL AS VARCHAR), id, name, 0, 'remote', {AS_OF}, 0"
+        f" UNION ALL SELECT CAST(CAST(id AS BIGINT) % {NODE_COUNT} AS VARCHAR), id, name, 0, 'remote', {AS_OF}, 0"
         " FROM net WHERE change = 'add'",
         _MARKED,
     ),

@@ -102,9 +102,13 @@ def _asked(fx: Fixtures) -> DataFrame:
     return fx.table("part").filter(key % 5 == 0).select(key.cast("string").alias("id"))
 
 
-def _moves(fx: Fixtures) -> DataFrame:
+def _on_nodes(fx: Fixtures, changes: DataFrame) -> DataFrame:
     node = F.col("id").cast("bigint") % fx.table("supplier").select(F.count("*")).scalar()
-    return fx.changes().withColumn("node_id", node.cast("string"))
+    return changes.withColumn("node_id", node.cast("string"))
+
+
+def _moves(fx: Fixtures) -> DataFrame:
+    return _on_nodes(fx, fx.changes())
 
 
 def _versions(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -648,6 +652,7 @@ def stream_sync(fx: Fixtures) -> DataFrame:
         as_of=lambda batch: AS_OF,
         id_pattern=ANY_ID,
         pattern="*.txt",
+        assign=lambda changes: _on_nodes(fx, changes),
         files_per_batch=1_000_000,
     )
     query.awaitTermination()

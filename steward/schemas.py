@@ -62,6 +62,7 @@ COMMIT = T.StructType(
         T.StructField("version", T.LongType(), False),
         T.StructField("batch", T.LongType()),
         T.StructField("source", T.StringType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 

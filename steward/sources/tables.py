@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Sequence
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +24,50 @@ def _commits(root: str) -> str:
     return f"{root}/commits"
 
 
-def _snapshot(root: str, version: int) -> str:
-    return f"{root}/v={version}"
+class StaleCatalog(RuntimeError):
+    """Another writer recorded a snapshot after the one this catalog was made from."""
 
 
-def last_commit(spark: SparkSession, root: str, source: str | None = None) -> Commit | None:
-    """The newest complete snapshot, and the last batch taken in from ``source``."""
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The records of all snapshots, or nothing where there is none yet."""
     try:
-        log = spark.read.schema(COMMIT).parquet(f"{_commits(root)}/*.parquet")
+        return spark.read.schema(COMMIT).json(f"{_commits(root)}/*.json")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def _record(spark: SparkSession, root: str, commit: dict) -> bool:
+    """Record a snapshot, unless its version is taken: the record is renamed into place, never over another.
+
+    The file system must refuse such a rename as one step, as HDFS does.
+    """
+    hadoop, settings = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = hadoop.Path(_commits(root))
+    files = folder.getFileSystem(settings)
+    files.mkdirs(folder)
+    draft = hadoop.Path(folder, f".{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(json.dumps(commit).encode())
+    out.close()
+    context = hadoop.FileContext.getFileContext(files.makeQualified(folder).toUri(), settings)
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(draft, hadoop.Path(folder, f"{commit['version']:012d}.json"), options)
+    except Py4JJavaError as refused:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" in refused.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def last_commit(spark: SparkSession, root: str, source: str | None = None) -> Commit | None:
+    """The newest complete snapshot, and the last batch taken in from ``source``."""
+    log = _log(spark, root)
+    if log is None:
+        return None
     mine = F.col("source").eqNullSafe(F.lit(source))
     row = log.agg(F.max("version"), F.max(F.when(mine, F.col("batch")))).first()
     return Commit(*row) if row[0] is not None else None
@@ -39,45 +75,70 @@ def last_commit(spark: SparkSession, root: str, source: str | None = None) -> Co
 
 def taken_in(spark: SparkSession, root: str, source: str, batch: int) -> bool:
     """Whether a snapshot records that ``batch`` of ``source`` went into it."""
-    if last_commit(spark, root) is None:
+    log = _log(spark, root)
+    if log is None:
         return False
-    log = spark.read.schema(COMMIT).parquet(f"{_commits(root)}/*.parquet")
     return not log.filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()
 
 
 def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The newest snapshot, or a given one; empty where nothing was written yet."""
-    if version is None:
-        commit = last_commit(spark, root)
-        if commit is None:
-            return spark.createDataFrame([], CATALOG)
-        version = commit.version
-    return spark.read.schema(CATALOG).parquet(_snapshot(root, version)).select(*CATALOG_COLUMNS)
+    """The newest snapshot, or a given one; empty where nothing was written yet, and at version 0."""
+    log = _log(spark, root)
+    if log is None or version == 0:
+        return spark.createDataFrame([], CATALOG)
+    wanted = log if version is None else log.filter(F.col("version") == version)
+    folder = wanted.agg(F.max_by("folder", "version")).first()[0]
+    if folder is None:
+        raise ValueError(f"no snapshot {version} of {root}")
+    return spark.read.schema(CATALOG).parquet(f"{root}/{folder}").select(*CATALOG_COLUMNS)
 
 
 def write_catalog(
-    catalog: DataFrame, root: str, batch: int | None = None, source: str | None = None
+    catalog: DataFrame,
+    root: str,
+    batch: int | None = None,
+    source: str | None = None,
+    key: Sequence[str] = ("node_id", "id"),
+    base: int | None = None,
 ) -> int:
     """Write the next snapshot, then record it; a reader never sees an unrecorded one.
 
+    ``base`` is the version the catalog was made from, 0 for none; by default the newest one
+    as the write begins. Where another snapshot has been recorded since, nothing is and
+    ``StaleCatalog`` is raised. A row without node or id, or a second row of a ``key``, is an error.
+
     Snapshots are laid out by status and sorted by id within files, so that a read by
     status opens only its part and a lookup skips row groups.
     """
     spark = catalog.sparkSession
     commit = last_commit(spark, root)
-    version = commit.version + 1 if commit else 1
+    newest = commit.version if commit else 0
+    base = newest if base is None else base
+    if base != newest:
+        raise StaleCatalog(f"{root} is at {newest}, not at {base}")
+    version = base + 1
+    folder = f"v={version}-{uuid.uuid4().hex}"
     (
         catalog.select(*CATALOG_COLUMNS)
         .sortWithinPartitions("status", "id")
-        .write.mode("overwrite")
-        .partitionBy("status")
-        .parquet(_snapshot(root, version))
+        .write.partitionBy("status")
+        .parquet(f"{root}/{folder}")
     )
-    record = spark.createDataFrame([(version, batch, source)], COMMIT)
-    record.coalesce(1).write.mode("append").parquet(_commits(root))
+    _check_keys(spark.read.schema(CATALOG).parquet(f"{root}/{folder}"), key)
+    if not _record(spark, root, {"version": version, "batch": batch, "source": source, "folder": folder}):
+        raise StaleCatalog(f"{root} has got a version {version} meanwhile")
     return version
 
 
+def _check_keys(stored: DataFrame, key: Sequence[str]) -> None:
+    """Counts combine before the shuffle, so a key repeated often does no harm."""
+    lacks = F.col("node_id").isNull() | F.col("id").isNull()
+    counts = stored.groupBy(*key).agg(F.count("*").alias("rows"), F.max(lacks).alias("lacks"))
+    bad = counts.filter((F.col("rows") > 1) | F.col("lacks")).first()
+    if bad is not None:
+        raise ValueError(f"a catalog needs a node, an id and one row per {tuple(key)}: {bad}")
+
+
 def scan_providers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROVIDERS).parquet(path)
 

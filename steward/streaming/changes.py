@@ -12,7 +12,7 @@ from steward.functions import ID_PATTERN
 from steward.operators.catalog import Key
 from steward.operators.diff import apply_feed
 from steward.operators.fold import fold_changes
-from steward.sources.tables import read_catalog, taken_in, write_catalog
+from steward.sources.tables import last_commit, read_catalog, taken_in, write_catalog
 from steward.sources.text import ORDER, parse_patch, place_lines
 
 
@@ -22,7 +22,7 @@ def stream_changes(
     checkpoint: str,
     root: str,
     as_of: Callable[[int], str],
-    key: Key = ("id",),
+    key: Key = ("node_id", "id"),
     id_pattern: str = ID_PATTERN,
     pattern: str = "*.patch",
     assign: Callable[[DataFrame], DataFrame] | None = None,
@@ -35,8 +35,12 @@ def stream_changes(
     again. A digest of its files (path, size and time) is committed with the snapshot they led
     to, so a batch that is handed over again, even under another number, is recognised and
     skipped. No file is too old to be read. ``as_of`` gives the
-    time to record for a batch, and ``assign`` may add a ``node_id`` to the changes.
+    time to record for a batch, and ``assign`` adds the ``node_id`` of the nodes that follow the
+    patches to the changes. A batch fails where another writer changed the catalog meanwhile, and is
+    applied to the new one when the stream is run again.
     """
+    if assign is None and "node_id" in key:
+        raise ValueError("a catalog by node needs to know whose the changes are: give assign")
     lines = (
         spark.readStream.schema("value string")
         .option("recursiveFileLookup", True)
@@ -65,8 +69,10 @@ def stream_changes(
         if assign is not None:
             changes = assign(changes)
         net = fold_changes(changes, ORDER, key)
-        following = apply_feed(read_catalog(session, root), net, as_of(number), key)
-        write_catalog(following, root, identity, source)
+        commit = last_commit(session, root)
+        base = commit.version if commit else 0
+        following = apply_feed(read_catalog(session, root, base), net, as_of(number), key)
+        write_catalog(following, root, identity, source, key, base)
 
     return (
         lines.writeStream.foreachBatch(apply)

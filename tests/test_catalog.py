@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from conftest import rows_of
 from steward.operators import catalog as cat
 from steward.sources import tables
@@ -123,6 +124,31 @@ def test_snapshots(catalog, spark, tmp_path):
     assert tables.read_catalog(spark, root).count() == 1
 
 
+def test_a_stale_base_changes_nothing(catalog, spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    first, mine, theirs = (catalog(("a", i, 1, "local", 1)) for i in "xyz")
+    assert tables.write_catalog(first, root, base=0) == 1
+    assert tables.write_catalog(theirs, root, base=1) == 2
+    with pytest.raises(tables.StaleCatalog):
+        tables.write_catalog(mine, root, base=1)
+    # Both saw version 1, and the other was faster between the look and the record.
+    record = {"version": 2, "batch": None, "source": None, "folder": "mine"}
+    assert not tables._record(spark, root, record)
+    assert rows_of(tables.read_catalog(spark, root), "id") == [("z",)]
+    assert tables.last_commit(spark, root).version == 2
+
+
+def test_null_and_doubled_keys_are_refused(catalog, spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    tables.write_catalog(catalog(FAUX), root)
+    x, y = ("a", "x", 1, "local", 1), ("b", "x", 1, "local", 1)
+    for rows, key in (([x, x], ("node_id", "id")), ([x, y], ("id",)), ([(None, *x[1:])], ("id",))):
+        with pytest.raises(ValueError, match="one row per"):
+            tables.write_catalog(catalog(*rows), root, key=key)
+    assert tables.read_catalog(spark, root).count() == 1
+    assert tables.write_catalog(catalog(x, y), root) == 2
+
+
 def test_status_reads_prune_and_push_down(catalog, spark, tmp_path):
     root = str(tmp_path / "catalog")
     tables.write_catalog(catalog(FAUX, ("a", "x", 1, "local", 1)), root)

@@ -1,6 +1,7 @@
 import os
 
 from conftest import rows_of
+from pyspark.sql import functions as F
 from steward.fixtures import ANY_ID
 from steward.sources import tables
 from steward.streaming.changes import stream_changes
@@ -9,7 +10,7 @@ from steward.streaming.changes import stream_changes
 def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
     patches, root = tmp_path / "patches", str(tmp_path / "catalog")
     patches.mkdir()
-    tables.write_catalog(catalog((None, "x", 9, "local", 2), (None, "y", 9, "local", 2)), root)
+    tables.write_catalog(catalog(("a", "x", 9, "local", 2), ("a", "y", 9, "local", 2), ("b", "y", 9, "local", 2)), root)
 
     def arrive(name, text, at):
         path = patches / name
@@ -20,6 +21,7 @@ def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
         query = stream_changes(
             spark, str(patches), str(tmp_path / progress), root,
             as_of=lambda batch: f"2024-03-{batch + 1:02d} 00:00:00", id_pattern=ANY_ID,
+            assign=lambda changes: changes.withColumn("node_id", F.lit("a")),
         )
         query.awaitTermination()
         return tables.last_commit(spark, root, "patches").version
@@ -30,8 +32,11 @@ def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
     arrive("a.patch", "-x again\n context line\n", 1_700_000_100)
     arrive("ignored.txt", "-y y\n", 1_700_000_000)
     assert run() == 3
+    other = ("b", "y")  # a node that does not follow these patches
     now = tables.read_catalog(spark, root)
-    assert rows_of(now, "id", "name", "status") == [("new", "one", "remote"), ("y", "y.png", "local")]
+    assert rows_of(now, "node_id", "id", "name", "status") == [
+        ("a", "new", "one", "remote"), ("a", "y", "y.png", "local"), (*other, "y.png", "local"),
+    ]
 
     # Nothing new: no batch, no snapshot.
     assert run() == 3
@@ -42,7 +47,7 @@ def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
 
     # With its progress lost the stream hands batches 0 to 2 over again; they are skipped.
     assert run("fresh") == 4
-    assert rows_of(tables.read_catalog(spark, root), "id") == [("new",)]
+    assert rows_of(tables.read_catalog(spark, root), "node_id", "id") == [("a", "new"), other]
 
     # A patch far older than those seen is read, and so is a new one under a used number.
     arrive("late.patch", "+late one\n", 1_600_000_000)
@@ -51,4 +56,6 @@ def test_each_patch_is_applied_once_and_in_turn(spark, catalog, tmp_path):
         (patches / old).rename(tmp_path / old)
     arrive("d.patch", "+other one\n", 1_700_000_300)
     assert run("third") == 6
-    assert rows_of(tables.read_catalog(spark, root), "id") == [("late",), ("new",), ("other",)]
+    assert rows_of(tables.read_catalog(spark, root), "node_id", "id") == [
+        ("a", "late"), ("a", "new"), ("a", "other"), other,
+    ]
