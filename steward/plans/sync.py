@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steward.operators.catalog import Key
+from steward.operators.catalog import Key, latest
 from steward.operators.diff import (
     apply_feed,
     change_class,
@@ -25,7 +25,11 @@ from steward.session import settle
 
 @dataclass(frozen=True)
 class Observed:
-    """What was seen of the network and the nodes, and the settings of a run."""
+    """What was seen of the network and the nodes, and the settings of a run.
+
+    ``threshold`` may be a column of the manifest or patch lines handed to a sync, such as
+    ``attach_threshold`` adds; a file then has the factor of its last line.
+    """
 
     providers: DataFrame
     objects: DataFrame
@@ -43,12 +47,22 @@ class Synced(NamedTuple):
     unpin: DataFrame
 
 
+def _factors(lines: DataFrame, seen: Observed, order: tuple[str, ...], key: Key) -> DataFrame | None:
+    """The factor each line's file has, one row per key; nothing where one holds for all."""
+    if isinstance(seen.threshold, int):
+        return None
+    rated = lines.select(*key, seen.threshold.alias("_factor"), *order)
+    return latest(rated, key, F.struct(*order)).select(*key, "_factor")
+
+
 def _place_added(
     before: DataFrame,
     base: DataFrame,
     added: DataFrame,
     removed: DataFrame,
     seen: Observed,
+    key: Key,
+    factors: DataFrame | None,
     few: bool = False,
 ) -> Synced:
     """Run the added files through the adder on the catalog that already has them.
@@ -56,9 +70,12 @@ def _place_added(
     Space counts as used by what was stored before: unpinned files lie on the disk
     until they are swept.
     """
+    threshold = seen.threshold
+    if factors is not None:
+        added, threshold = added.join(factors, list(key)), F.col("_factor")
     outcomes = adder(
         added, before, seen.providers, seen.objects, seen.nodes,
-        seen.threshold, seen.seed, seen.run, seen.mode, few=few,
+        threshold, seen.seed, seen.run, seen.mode, few=few,
     )
     following = apply_outcomes(base, outcomes, seen.as_of).catalog
     return Synced(following, outcomes, removed)
@@ -77,7 +94,8 @@ def sync_full(
     base = feed.filter(F.col("change") != REMOVE).select(*CATALOG_COLUMNS)
     added = feed.filter(F.col("change") == ADD).select(*CATALOG_COLUMNS)
     removed = feed.filter(F.col("change") == REMOVE)
-    return _place_added(catalog, base, added, unpin_plan(removed, removed), seen)
+    factors = _factors(lines, seen, order, key)
+    return _place_added(catalog, base, added, unpin_plan(removed, removed), seen, key, factors)
 
 
 verify_catalog = sync_full
@@ -89,16 +107,18 @@ def sync_changes(
     seen: Observed,
     key: Key = FLEET_KEY,
     preserve: bool = False,
+    factors: DataFrame | None = None,
 ) -> Synced:
     """Handle a net feed of adds and removes, one row per key.
 
-    A file added again starts over as remote, of size 0, unless ``preserve`` is set.
+    ``factors`` has the replication factor ``_factor`` of each added key, where not one holds for
+    all. A file added again starts over as remote, of size 0, unless ``preserve`` is set.
     """
     net = settle(net)
     base = apply_feed(catalog, net, seen.as_of, key, preserve)
     added = feed_rows(catalog, net, seen.as_of, key, preserve)
     _, removes = change_class(net)
-    return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen, few=True)
+    return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen, key, factors, few=True)
 
 
 def sync_incremental(
@@ -110,14 +130,19 @@ def sync_incremental(
     preserve: bool = False,
 ) -> Synced:
     """Fold an ordered patch to its net changes and handle those."""
-    return sync_changes(fold_changes(changes, order, key), catalog, seen, key, preserve)
+    factors = _factors(changes.filter(F.col("op") == ADD), seen, order, key)
+    return sync_changes(fold_changes(changes, order, key), catalog, seen, key, preserve, factors)
 
 
 def sync_snapshots(
-    net: DataFrame, catalog: DataFrame, seen: Observed, key: Key = FLEET_KEY
+    net: DataFrame,
+    catalog: DataFrame,
+    seen: Observed,
+    key: Key = FLEET_KEY,
+    factors: DataFrame | None = None,
 ) -> Synced:
     """Handle the difference of two manifest versions from ``snapshot_diff``."""
-    return sync_changes(net, catalog, seen, key)
+    return sync_changes(net, catalog, seen, key, factors=factors)
 
 
 def sweep_after(

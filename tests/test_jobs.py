@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,29 @@ def test_incremental_sync(world, table):
     assert rows_of(same.catalog) == rows_of(files) and same.outcomes.isEmpty()
 
 
+def test_each_manifest_has_its_own_factor(world, table):
+    """With one holder a file is rare under a factor of 5, and enough under a factor of 1."""
+    seen, files = world
+    seen = dataclasses.replace(seen, threshold=F.col("threshold"))
+    before = files.filter("id = 'kept'")
+    low = [f"r{i}" for i in range(30)]
+    high = [f"r{i}" for i in range(30, 60)]
+    listed = [("a", i, i, 1, 1) for i in low] + [("a", i, i, 2, 5) for i in high]
+    lines = table(
+        "node_id string, id string, name string, n int, threshold int",
+        ("a", "kept", "kept", 1, 5), ("a", "r0", "r0", 0, 5), *listed,
+    )
+    changes = lines.filter("id <> 'kept'").withColumn("op", F.lit("add"))
+    for done in (
+        sync.sync_full(lines, before, seen, ("n",)),
+        sync.sync_incremental(changes, before, seen, ("n",)),
+    ):
+        got = {r.id: r.outcome for r in done.outcomes.collect()}
+        assert len(got) == 60 and {got[i] for i in low} == {"no_action"}
+        assert "pull" in {got[i] for i in high} <= {"pull", "not_drawn", "no_room"}
+        assert done.catalog.count() == 61
+
+
 def test_evict_and_swap(catalog, table):
     nodes = table("node_id string", *[(f"n{i}",) for i in range(20)])
     files = catalog(
