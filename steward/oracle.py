@@ -137,8 +137,8 @@ PARTS: dict[str, str] = {
 ADDER: dict[str, str] = {
     "judged": """
         SELECT *, CASE WHEN r < 0 THEN 'lookup_failed'
-                       WHEN r = 0 OR r >= 5 THEN 'no_action'
-                       WHEN CAST(draw AS FLOAT) <= CAST(r AS FLOAT) / CAST(5 AS FLOAT) THEN 'not_drawn'
+                       WHEN r = 0 OR r >= FACTOR THEN 'no_action'
+                       WHEN CAST(draw AS FLOAT) <= CAST(r AS FLOAT) / CAST(FACTOR AS FLOAT) THEN 'not_drawn'
                        WHEN object_size IS NULL THEN 'size_unknown' END AS early
         FROM (SELECT t.*, o.size AS object_size,
                      CAST(CASE WHEN coalesce(p.failed, false) THEN -1
@@ -190,12 +190,12 @@ def _words(sql: str) -> list[str]:
     return "".join(c if c.isalnum() or c == "_" else " " for c in sql).split()
 
 
-def _adder(body: str, todo: str, *own: tuple[str, str]) -> str:
+def _adder(body: str, todo: str, *own: tuple[str, str], factor: str = "5") -> str:
     return _sql(
         body,
         *own,
         ("todo", todo),
-        *ADDER.items(),
+        *[(name, sql.replace("FACTOR", factor)) for name, sql in ADDER.items()],
         recursive=WALK,
         after={"decided": DECIDED},
     )
@@ -459,6 +459,12 @@ ORACLE: dict[str, str] = {
         "SELECT node_id, id, size, status, replications, outcome FROM decided",
         "SELECT * FROM catalog WHERE status = 'remote'",
     ),
+    "adder_by_manifest": _adder(
+        "SELECT node_id, id, size, status, replications, outcome FROM decided",
+        "SELECT c.*, CAST(ascii(right(p_brand, 1)) % 4 + 3 AS INT) AS factor"
+        " FROM catalog c JOIN part ON c.id = CAST(p_partkey AS VARCHAR) WHERE status = 'remote'",
+        factor="factor",
+    ),
     "rebalance": _adder(_after("catalog"), "SELECT * FROM catalog WHERE status = 'remote'"),
     "sync_full": _adder(
         _after("imported"), "SELECT * FROM imported", _EMPTY_ROOMS, ("imported", _FIRST_IMPORT)

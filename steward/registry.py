@@ -505,6 +505,17 @@ def adder_outcomes(fx: Fixtures) -> DataFrame:
     return outcomes.select(*FLEET, "size", "status", "replications", "outcome")
 
 
+@_query
+def adder_by_manifest(fx: Fixtures) -> DataFrame:
+    """As ``adder_outcomes``, with the factor of each file's manifest."""
+    remote = cat.by_status(fx.catalog(), "remote").join(fx.manifest_of(), "id")
+    outcomes = adding.adder(
+        replication.attach_threshold(remote, fx.manifests()), fx.catalog(), _seen(fx), fx.objects(),
+        _limited(fx), F.col("threshold"), SEED, RUN,
+    )
+    return outcomes.select(*FLEET, "size", "status", "replications", "outcome")
+
+
 @_query
 def rebalance(fx: Fixtures) -> DataFrame:
     following, _ = adding.rebalance(
