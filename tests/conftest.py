@@ -44,7 +44,3 @@ def catalog(spark):
         )
 
     return build
-
-
-def rows_of(df, *columns):
-    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())

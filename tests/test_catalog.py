@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import catalog as cat
 from steward.sources import tables
 

@@ -1,4 +1,4 @@
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import diff
 
 AS_OF = "2024-02-01 00:00:00"

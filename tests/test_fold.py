@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators.fold import fold_changes
 
 SCHEMA = "seq bigint, id string, op string, name string"

@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import integrity
 
 LINK, PIN = "parent string, child string", "cid string, pin_type string"

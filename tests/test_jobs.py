@@ -3,7 +3,7 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import nodes as node_ops
 from steward.plans import adder as adding
 from steward.plans import evict, sync

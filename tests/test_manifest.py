@@ -2,7 +2,7 @@ import pytest
 
 import random
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators.diff import latest_line
 from steward.operators.fold import fold_changes
 from steward.sources import text

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import placement
 
 CANDIDATE = "node_id string, id string, replications int, size bigint"

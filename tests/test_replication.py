@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from rows import rows_of
 from steward.operators import replication
 from steward.operators.running import running, sliced
 

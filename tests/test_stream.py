@@ -1,6 +1,6 @@
 import os
 
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 from steward.fixtures import ANY_ID
 from steward.sources import tables
