@@ -59,4 +59,83 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _QUALITY, "op8_top_k": _TOP_K}
+_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (
+  SELECT row_number() OVER () AS r, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+m AS (SELECT r, doc_id, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM d, corpus WHERE len(ts) > 0),
+scored AS (
+  SELECT i.r, item_id, doc_id, m.r AS d,
+    CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+      * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM i JOIN tf USING (t) JOIN df USING (t) JOIN m ON m.r = tf.r, corpus GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+# The checksum of an id goes through its digits bit by bit; a tampered leaf is folded level by level.
+_MERKLE = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, [coalesce(strlen(v) || ':' || v, '-') FOR v IN
+      [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text]] AS f,
+    coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR, '-') AS more,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295::BIGINT) % 7 = 0,
+      false) AS bad
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(array_to_string(f, '')) AS leaf,
+    CASE WHEN bad THEN sha256(f[1] || f[2] || f[3] || more || f[5]) ELSE sha256(array_to_string(f, '')) END AS claim
+  FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+  FROM low WHERE n > 1 GROUP BY tree, level, idx // 2),
+subroots AS (
+  SELECT tree, level AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS top FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, top AS idx, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+  FROM high WHERE n > 1 GROUP BY level, idx // 2),
+roots AS (SELECT level AS top_height, h AS root FROM high WHERE n = 1),
+steps AS (
+  SELECT p.tree, p.idx, l.level, l.h, (p.idx >> l.level) % 2 AS odd
+  FROM placed p JOIN subroots s USING (tree) CROSS JOIN (SELECT unnest(range(64))::INTEGER AS level) v
+  LEFT JOIN low l ON l.tree = p.tree AND l.level = v.level AND l.idx = xor(p.idx >> v.level, 1)
+  WHERE v.level < s.height AND l.h IS NOT NULL
+  UNION ALL
+  SELECT p.tree, p.idx, s.height + l.level, l.h, (s.top >> l.level) % 2
+  FROM placed p JOIN subroots s USING (tree) JOIN high l ON l.idx = xor(s.top >> l.level, 1)),
+proof AS (
+  SELECT tree, idx, sha256(string_agg(h, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY tree, idx),
+fold AS (
+  SELECT p.tree, p.idx, 0 AS level, claim AS h, height + top_height AS height FROM placed p JOIN subroots USING (tree), roots
+  UNION ALL
+  SELECT f.tree, f.idx, f.level + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN odd = 1 THEN s.h || f.h ELSE f.h || s.h END), height
+  FROM fold f LEFT JOIN steps s ON s.tree = f.tree AND s.idx = f.idx AND s.level = f.level WHERE f.level < height)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subroots USING (tree) JOIN fold f ON f.tree = p.tree AND f.idx = p.idx AND f.level = f.height
+LEFT JOIN proof x ON x.tree = p.tree AND x.idx = p.idx, roots
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": _QUALITY,
+    "op8_top_k": _TOP_K,
+    "op11_reversed_search": _SEARCH,
+    "op12_merkle": _MERKLE,
+}

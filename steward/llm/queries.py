@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steward.llm import grammar, html, langid, packing, pieces, quality, secrets, sharding, simhash, topk
+from steward.llm import (
+    grammar, html, langid, merkle, packing, pieces, quality, reversed_search, secrets, sharding, simhash, topk,
+)
 from steward.llm.shared import table
 from steward.session import scratch_path
 
@@ -94,10 +96,23 @@ def op10_piece_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), PIECES)
 
 
+def op11_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's proof; where 7 divides the checksum of the id, the row claims one character more."""
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    told = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claim = merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), told, F.col("text"))
+    return merkle.checked(merkle.manifest(docs.withColumn("claim", claim)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_extraction, op3_packing, op4_simhash, op5_sharding, op6_token_files,
-        op7_language_id, op8_top_k, op9_secret_scans, op10_piece_dropout,
+        op7_language_id, op8_top_k, op9_secret_scans, op10_piece_dropout, op11_reversed_search, op12_merkle,
     )
 }

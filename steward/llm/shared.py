@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from steward.session import scratch_path
 
@@ -35,3 +36,10 @@ def batches_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 def mapped(df: DataFrame, step: Callable[[Batches], Batches], schema: str) -> DataFrame:
     return df.mapInArrow(step, schema)
+
+
+def small_by_bytes(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its bytes are few; beyond that Spark decides."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total = sum(sizes, F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= most else df
