@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steward.llm import (
-    grammar, html, langid, merkle, packing, pieces, quality, reversed_search, secrets, sharding, simhash, topk,
+    grammar, html, langid, maxent, merkle, packing, pieces, quality, reversed_search, secrets, sharding, simhash, topk,
 )
 from steward.llm.shared import table
 from steward.session import scratch_path
@@ -109,10 +109,15 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.checked(merkle.manifest(docs.withColumn("claim", claim)))
 
 
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_extraction, op3_packing, op4_simhash, op5_sharding, op6_token_files,
         op7_language_id, op8_top_k, op9_secret_scans, op10_piece_dropout, op11_reversed_search, op12_merkle,
+        op13_lm_scoring,
     )
 }
