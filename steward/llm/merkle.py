@@ -62,7 +62,7 @@ def parent(*nodes: bytes) -> bytes:
     return sha256(b"".join(n.hex().encode() for n in nodes)).digest()
 
 
-def fold_block(first: int, digests: list[bytes], whole: bool, levels: int = LEVELS) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+def fold_block(first: int, digests: list[bytes], whole: bool, levels: int) -> Iterator[tuple[int, int, bytes, bytes | None]]:
     """Nodes above some consecutive ones: (levels up, index, digest, step to the sibling).
 
     The block that is the ``whole`` tree ends at one node; any other goes ``levels`` up, even with one
@@ -83,12 +83,13 @@ def fold_block(first: int, digests: list[bytes], whole: bool, levels: int = LEVE
 
 def _fold(nodes: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
     """Blocks of one level folded; ``sizes`` has the number of nodes of each tree there."""
-    block = F.expr(f"idx div {1 << LEVELS}")
+    levels = LEVELS
+    block = F.expr(f"idx div {1 << levels}")
 
     def step(keys: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(zip(group["idx"].to_pylist(), group["digest"].to_pylist(), strict=True))
-        tree, whole = keys[0].as_py(), group["n"][0].as_py() <= 1 << LEVELS
-        found = list(fold_block(rows[0][0], [r[1] for r in rows], whole))
+        tree, whole = keys[0].as_py(), group["n"][0].as_py() <= 1 << levels
+        found = list(fold_block(rows[0][0], [r[1] for r in rows], whole, levels))
         columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
         columns[0] = pa.array([level + f[0] for f in found], pa.int32())
         return pa.table([pa.array([tree] * len(found)), *columns], ["tree", "level", "idx", "digest", "seg"])
