@@ -3,7 +3,8 @@
 A byte-pair tokenizer splits a text into words by a fixed pattern and merges within words
 only. So a word's ids do not depend on its neighbours, and a worker keeps those it has seen.
 Texts with characters outside a plain Latin range go to the library whole, so that no
-difference between two Unicode tables can matter.
+difference between two Unicode tables can matter; so do texts that may spell a special token of the
+file, which the library takes for that token.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.marks = sorted({form for token in added for form in (token[:2].lower(), token[:2].upper())})
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         pre = str(self.library.pre_tokenizer)
         if self.library.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False"):
@@ -84,7 +86,7 @@ class Encoder:
             if not text:
                 out.append(np.zeros(0, dtype="<u4"))
                 continue
-            if self.split is None or _PLAIN.search(text):
+            if self.split is None or any(m in text for m in self.marks) or _PLAIN.search(text):
                 out.append(self.whole(text))
                 continue
             words = self.split(text.lower() if self.lower else text)

@@ -3,10 +3,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from steward.llm import packing
 from steward.llm.queries import BYTE_LEVEL, QUERIES
-from steward.llm.tokens import Encoder
 
 
 def checked(rows, size=1024):
@@ -27,9 +27,9 @@ def checked(rows, size=1024):
 def test_every_id_once_and_little_padding(spark, sf):
     rows = QUERIES["op3_packing"](spark, sf).collect()
     docs, lengths = checked(rows)
-    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json")).whole
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        n = len(encode(d.text)) + 1
+        n = len(library.encode(d.text, add_special_tokens=False).ids) + 1
         at = 0
         for r in sorted(docs[d.doc_id], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == n
@@ -40,13 +40,13 @@ def test_every_id_once_and_little_padding(spark, sf):
 
 def test_ids_come_back(documents):
     long = " ".join(f"word{k}" for k in range(9000))
-    given = [(1, None), (2, ""), (3, "short text"), (4, long), (5, "tie"), (6, "tie")]
+    given = [(1, None), (2, ""), (3, "short text"), (4, long), (5, "tie"), (6, "tie"), (7, "x <|endoftext|> y")]
     rows = packing.pack(documents(*given), BYTE_LEVEL, end=0, block=2).collect()
     docs, _ = checked(rows)
-    encode = Encoder(BYTE_LEVEL).whole
+    library = Tokenizer.from_file(BYTE_LEVEL)
     for i, text in given:
         ids = b"".join(r.ids for r in sorted(docs[i], key=lambda r: r.start))
-        assert ids == np.append(encode(text) if text else [], 0).astype("<u4").tobytes()
+        assert ids == np.append(library.encode(text or "", add_special_tokens=False).ids, 0).astype("<u4").tobytes()
 
 
 def test_repeated_rows_null_ids_and_no_rows(documents):

@@ -1,21 +1,22 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from steward.llm import tokens
 
 TEXTS = [
     None, "", " ", "\n\n  x", "a", "It's THE end, isn't it?  \n\tNo!!  ", "déjà-vu Straße ÅNGSTRÖM ½ ²³ 1234",
     "日本語 and Ελληνικά ΣΑΣ", "é combining", "a\xa0b\x85c\x1cd", "<|endoftext|> <|startoftext|>", "x" * 5000,
-    "İstanbul ŒUVRE ŸES", "emoji 🙂 tail", "''s 'll ''", "tab\there\r\nthere",
+    "x <|endoftext|> y", "a<|ENDOFTEXT|>b <|startoftext|", "if a <| b", "İstanbul ŒUVRE ŸES", "emoji 🙂 tail", "''s 'll ''", "tab\there\r\nthere",
 ]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_same_as_library(spark, sf, name, monkeypatch):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    made = tokens.Encoder(public_tokenizers.path(name))
-    want = [made.whole(t) if t else np.zeros(0) for t in texts]
+    made, library = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     for kept in (10**6, 50):  # with and without forgetting
         monkeypatch.setattr(tokens, "WORDS_KEPT", kept)
         for _ in range(2):
