@@ -14,6 +14,8 @@ Rows are judged one by one: repeated rows stay; extra columns are not read.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +32,9 @@ DIM, GRAM, SEED = 512, 3, 7
 UNKNOWN = "und"
 RUNS_KEPT = 40_000  # vectors a worker remembers; results do not depend on it
 _UNIT = 1 << 20  # a unit vector is summed in these steps
-_WORDS = re.compile(r"[^\W\d_]+")
+# What counts as alphanumeric but is neither a letter nor a digit: fractions, Roman numerals, circled numbers.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _PART, _TEXTS = 50_000, 64  # words and texts bundled at a time
 
 

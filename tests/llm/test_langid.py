@@ -2,6 +2,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from steward.llm import langid
 from steward.llm.queries import QUERIES
@@ -81,3 +82,9 @@ def test_order_of_rows_does_not_matter(spark, sf):
 def test_binding_keeps_order_apart(order):
     got = langid.Bundler().bundle([order, "abc"])
     assert (got[0] @ got[1] > 0.9) == (order == "abc")
+
+
+def test_numbers_are_no_letters(documents):
+    profiles = langid.learn(documents((1, "the cat and the dog")).withColumn("lang", F.lit("en")))
+    rows = langid.predict(documents((1, "²½"), (2, "Ⅷ ①"), (3, "12 _"), (4, "ª"), (5, "a½")).select("doc_id", "text"), profiles).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "en"}
