@@ -32,7 +32,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _SKIPPED = re.compile(
-    r"(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
+    r"(?<![\w-])(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
 )
 _ROLE = re.compile(r"role\s*=\s*[\"']?(\w+)", re.I)
 _HIDDEN = re.compile(
@@ -48,6 +48,7 @@ BLOCK = frozenset(
     "pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_TAGS = frozenset(
     "head script style noscript template nav header footer aside form button select option "
     "textarea iframe svg canvas object audio video menu dialog title".split()
@@ -56,14 +57,23 @@ DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar form".split()
 )
-DROPPED_NAMES = frozenset(
+# A class or id names page furniture if all its words are of these two sets and one is of the first.
+FURNITURE = frozenset(
     "ad ads adv advert advertisement advertising adbox banner breadcrumb breadcrumbs comment "
     "comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu "
     "modal nav navbar navigation newsletter notice notices notification outbrain pager pagination "
-    "popup promo promotion related replies reply respond responses share sharing shoutbox sidebar "
-    "sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola "
+    "popup promo promotion related recommended replies reply respond responses share sharing shoutbox "
+    "sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola "
     "toolbar topbar widget widgets".split()
 )
+PLAIN = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards container content cta feed fixed "
+    "form global group holder icons inner inline item items js left link links list lists main more news page "
+    "pages panel post posts primary reader readers right row secondary section site slot stack sticky story stories "
+    "strip thread threads title top unit user users wrap wrapper zone".split()
+)
+# As a class, not as an id: an article may have a part of that name.
+SECTIONS = frozenset("discussion discussions".split())
 # An open element of the left ends where one of the right begins.
 _ENDED_BY = {
     "p": BLOCK,
@@ -81,20 +91,27 @@ SHARE = 0.2  # of the best container's points that a sibling needs
 LINKED = 0.5  # from this share of link text on, a list or box within the article is a menu
 
 
-def _dropped(tag: str, attrs: str) -> bool:
-    if tag in DROPPED_TAGS:
+def _dropped(tag: str, attrs: str, within: bool) -> bool:
+    """Whether an element is page furniture; ``within`` an article its header belongs to it."""
+    if tag in DROPPED_TAGS and not (tag == "header" and within):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag == "article" and _named(attrs)
+    if not attrs or tag in ("html", "body", "main") or tag in HEADINGS:
+        return False
+    if tag == "article":
+        return _named(attrs)
     if (m := _ROLE.search(attrs)) and m[1].lower() in DROPPED_ROLES:
         return True
-    return _named(attrs) or bool(_HIDDEN.search(attrs))
+    return _named(attrs) and not (tag == "header" and within) or bool(_HIDDEN.search(attrs))
 
 
 def _named(attrs: str) -> bool:
-    for a, b, c in _SKIPPED.findall(attrs):
-        if not DROPPED_NAMES.isdisjoint(_PART.split((a or b or c).lower())):
-            return True
+    for kind, a, b, c in _SKIPPED.findall(attrs):
+        for name in (a or b or c).lower().split():
+            words = {w for w in _PART.split(name) if w and not w.isdigit()}
+            if words & FURNITURE and words <= FURNITURE | PLAIN:
+                return True
+            if kind.lower() == "class" and words & SECTIONS and words <= FURNITURE | PLAIN | SECTIONS:
+                return True
     return False
 
 
@@ -139,7 +156,8 @@ class _Tree:
             parent = stack[-1]
             self.tags.append(tag)
             self.parents.append(parent)
-            self.dropped.append(self.dropped[parent] or _dropped(tag, attrs))
+            within = bool(opened.get("article") or opened.get("main"))
+            self.dropped.append(self.dropped[parent] or _dropped(tag, attrs, within))
             self.linked.append(self.linked[parent] or tag == "a")
             stack.append(len(self.tags) - 1)
             opened[tag] = opened.get(tag, 0) + 1
@@ -221,7 +239,7 @@ def _roots(tree: _Tree) -> tuple[list[int], list[bool]]:
     best = max(holders, key=lambda i: (points[i], -i))
     at, whole = best, -1
     while at > 0:
-        if tags[at] in ("article", "main"):
+        if tags[at] == "article":
             whole = at
         at = parents[at]
     if whole >= 0:

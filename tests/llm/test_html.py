@@ -59,6 +59,43 @@ def test_pages(html, want):
     assert main_text(html) == want
 
 
+PARTS = [f"{BODY} Part {k}, of many." for k in range(4)]
+PROSE = "".join(f"<p>{part}</p>" for part in PARTS)
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<div id=page><div class='nav-bar'><a href=a>A</a></div><div class='post ad-free'>{PROSE}</div><div class=sidebar><p>{BODY}</p></div></div>",
+        f"<div class=wrap><div class=story>{PROSE}</div><div class='related-posts'><p>{BODY}</p></div></div>",
+        f"<section class=text>{PROSE}</section><section class='discussion'><p>{BODY}</p><p>{BODY}</p></section>",
+        f"<table><tr><td class='left sidebar'><p>{BODY}</p></td><td class=body>{PROSE}</td></tr></table>",
+        f"<div class=comments-off>{PROSE}</div><div id='user-comments'><p>{BODY}</p></div>",
+        f"<div><div class=entry>{PROSE}</div><ul class=links><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div>",
+        f"<div class=entry>{''.join(f'<div>{part}</div>' for part in PARTS)}</div><div role=complementary><p>{BODY}</p></div>",
+        f"<div class=entry>{PARTS[0]}<p>{PARTS[1]}</p><p>{PARTS[2]}</p><p>{PARTS[3]}</p></div><div class=cookie-notice>{BODY}</div>",
+        f"<center>{PROSE}</center><div class=newsletter-signup><p>{BODY}</p><form><input></form></div>",
+        f"<div class=a><div class=b><div class=c>{PROSE}</div></div></div><div class='site-footer'><p>{BODY}</p></div>",
+    ],
+)
+def test_templates_without_article(inner):
+    assert main_text(page(inner)) == "\n\n".join(PARTS)
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        (f"<article><h2 id='social-impact'>Impact</h2><section id='related-work'>{PROSE}</section></article>", ["Impact", *PARTS]),
+        (f"<article><header><h1>Title</h1><nav><a href=x>x</a></nav></header>{PROSE}</article>", ["Title", *PARTS]),
+        (f"<article>{PROSE}</article><section class=discussion><p>{BODY}</p></section>", PARTS),
+        (f"<article><section id=discussion>{PROSE}</section></article>", PARTS),
+        (f"<main><div class=text>{PROSE}</div><div class=box><h4>You may like</h4><a href=1>One, two</a> <a href=2>Three</a></div></main>", PARTS),
+    ],
+)
+def test_names_alone_drop_no_prose(inner, want):
+    assert main_text(page(inner)).split("\n\n") == want
+
+
 def test_very_deep_and_long():
     assert main_text("<div>" * 20_000 + "deep text here") == "deep text here"
     long = f"<article>{''.join(f'<p>{BODY} {k}</p>' for k in range(5000))}</article>"
