@@ -158,3 +158,24 @@ def apply_feed(
     changed = feed.filter(F.col("change").isin(ADD, REMOVE)).select(*key)
     untouched = catalog.join(changed, key, "left_anti").select(*CATALOG_COLUMNS)
     return untouched.unionByName(feed_rows(catalog, feed, as_of, key, preserve))
+
+
+def feed_changes(
+    catalog: DataFrame,
+    feed: DataFrame,
+    as_of: str | Column,
+    key: Key = ("id",),
+    preserve: bool = False,
+) -> DataFrame:
+    """A net feed as changed rows, with ``gone`` where one goes, for a catalog that keeps deltas.
+
+    ``catalog`` needs to hold the rows of the feed's ids only.
+    """
+    puts = feed_rows(catalog, feed, as_of, key, preserve).withColumn("gone", F.lit(False))
+    adds, removes = change_class(feed)
+    if "node_id" in key:
+        out = removes.select("node_id", "id")
+    else:
+        known = catalog.join(feed.select(*key), list(key), "left_semi").select("node_id", "id")
+        out = known.join(puts.select("node_id", "id"), ["node_id", "id"], "left_anti")
+    return puts.unionByName(out.withColumn("gone", F.lit(True)), allowMissingColumns=True)

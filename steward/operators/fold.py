@@ -3,8 +3,8 @@
 Per id the state is none, add or remove. A ``+`` line moves it one step up and a ``-``
 line one step down, and it stays where it is at the ends, so order counts and no sum
 will do. But any run of lines is a map from the state before it to the state after it,
-and such maps compose. So the feed is folded in chunks of bounded length, and then the
-chunks of each id are folded, in order.
+and such maps compose. So the feed is folded in chunks of bounded length. The maps of an id are
+numbered in order without gaps, and neighbours are composed, level by level, until one is left.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steward.operators.running import running
 from steward.schemas import ADD, REMOVE
+from steward.session import settle
 
-# A chunk spans this many order values, hence at most this many lines of one id. With
-# two levels an id may have CHUNK squared lines before any group outgrows a chunk.
+# A chunk spans this many order values, hence at most this many lines of one id; and so many
+# maps are composed at once.
 CHUNK = 1 << 18
 
 NONE = "none"
@@ -74,43 +76,41 @@ def _ordered(columns: Sequence[str], *payload: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns, *payload)))
 
 
+def _composed(maps: DataFrame, group: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
+    return maps.groupBy(*group).agg(_fold(_ordered(order, "_map"), _through).alias("_map"))
+
+
 def fold_changes(
     changes: DataFrame,
     order: Sequence[str] = ("seq",),
     key: Sequence[str] = ("id",),
     chunk: int = CHUNK,
-    levels: int = 2,
     keep_none: bool = False,
 ) -> DataFrame:
     """Net change per key from rows with ``op`` (add or remove), ``name`` and a unique order.
 
-    The last order column is a whole number. Every group holds at most ``chunk`` rows as
-    long as that number stays below ``chunk`` to the power of ``levels``.
+    The last order column is a whole number. No group holds more than ``chunk`` rows, however many
+    lines, files and blocks a key has.
     """
     key, prefix, last = list(key), list(order[:-1]), order[-1]
     move = F.when(F.col("op") == ADD, 1).when(F.col("op") == REMOVE, -1)
     rows = changes.filter(F.col("op").isin(ADD, REMOVE)).select(
         *key, *prefix, last, move.alias("move"), "name"
     )
-    folded = (
+    maps = settle(
         rows.groupBy(*key, *prefix, F.expr(f"`{last}` div {chunk}").alias("_at"))
         .agg(_ordered([last], "move", "name").alias("_lines"))
         .select(*key, *prefix, "_at", _fold(F.col("_lines"), _step).alias("_map"))
     )
-    for _ in range(levels - 2):
-        folded = (
-            folded.groupBy(*key, *prefix, F.expr(f"_at div {chunk}").alias("_up"))
-            .agg(_ordered(["_at"], "_map").alias("_maps"))
-            .select(
-                *key, *prefix, F.col("_up").alias("_at"),
-                _fold(F.col("_maps"), _through).alias("_map"),
-            )
-        )
-    done = (
-        folded.groupBy(*key)
-        .agg(_ordered([*prefix, "_at"], "_map").alias("_maps"))
-        .select(*key, _fold(F.col("_maps"), _through).alias("_end"))
-    )
+    place = [*prefix, "_at"]
+    most = maps.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if most > chunk:
+        maps, place = running(maps, key, place, rank="_n"), ["_n"]
+    while most > chunk:
+        above = F.expr(f"(_n + {chunk - 1}) div {chunk}").alias("_up")
+        maps = _composed(maps, [*key, above], place).withColumnRenamed("_up", "_n")
+        most = -(-most // chunk)
+    done = _composed(maps, key, place).withColumnRenamed("_map", "_end")
     at = F.col("_end")["zero_at"]
     change = F.when(at == 1, ADD).when(at == -1, REMOVE).otherwise(NONE)
     net = done.select(*key, F.col("_end")["zero_name"].alias("name"), change.alias("change"))

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steward.schemas import LOCAL
-from steward.session import BROADCAST_ROWS, settle
+from steward.session import BROADCAST_ROWS, laid_out, settle
 
 # The union of settled rounds is settled again after this many, to keep its plan short.
 ROUNDS_PER_PLAN = 8
 
+# After so many levels a graph may count as deep: one with this many links for each node of the last level.
+LEVEL_ROUNDS, DEEP = 2, 32
+
+# Steps are doubled as long as they are no more than so many times the links.
+GROWTH = 4
+
 
 def _key(*tables: DataFrame) -> list[str]:
     """What names a stored block: the node too, where all tables know it."""
@@ -37,29 +43,79 @@ def unpin_plan(removed: DataFrame, catalog: DataFrame, pins: DataFrame | None =
     return plan.join(held, same, "left_semi").select("node_id", "id")
 
 
-def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
+def _children(steps: DataFrame, of: DataFrame, found: int, key: list[str]) -> DataFrame:
+    """What one step leads to; a few nodes are sent to the steps, many are shuffled to where those lie."""
+    parents = of.withColumnRenamed("cid", "parent")
+    if found <= BROADCAST_ROWS:
+        parents = F.broadcast(parents)
+    how = "inner" if "node_id" in key else "left_semi"
+    return steps.join(parents, "parent", how).drop("parent").withColumnRenamed("child", "cid").select(*key)
+
+
+def reachable(links: DataFrame, roots: DataFrame, count_rounds: list[int] | None = None) -> DataFrame:
     """Every cid on a path from ``roots`` along (parent, child) links, roots included.
 
-    Links are the same everywhere; roots with a ``node_id`` are followed for each node by itself.
-    One round per level of the graph; only the ids found last take part in the join.
+    Links are the same everywhere; roots with a ``node_id`` are followed for each node by itself. Links are
+    laid out by parent once, so a round moves only what it found last. Rounds follow the graph level by level; when
+    a level holds little beside the links still ahead, the graph is deep, and the step is
+    doubled from then on: a round with steps of length n reaches whatever lies up to 2n - 1 steps
+    off, so a chain takes rounds by the logarithm of its length. Where a graph has so many ways
+    that longer steps outgrow its links, the rest is done level by level. ``count_rounds`` gets a number per round.
     """
-    reached = frontier = settle(roots.select(*_key(roots)).distinct())
-    rounds = 0
+    key = _key(roots)
+    rounds = [] if count_rounds is None else count_rounds
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = laid_out(links.select("parent", "child").distinct(), "parent", parts)
+    total = steps.count()
+    reached = frontier = settle(roots.select(*key).distinct())
+    doubling = True
     while found := frontier.count():
-        parents = frontier.withColumnRenamed("cid", "parent")
-        if found <= BROADCAST_ROWS:
-            parents = F.broadcast(parents)
-        how = "inner" if "node_id" in parents.columns else "left_semi"
-        children = links.select("parent", "child").join(parents, "parent", how).drop("parent")
-        children = children.withColumnRenamed("child", "cid").select(*_key(roots))
-        frontier = settle(children.distinct().join(reached, _key(roots), "left_anti"))
+        if doubling and len(rounds) >= LEVEL_ROUNDS and found * DEEP < total:
+            ahead, doubled = _doubled(steps, total, reached, frontier, key, rounds)
+            reached = settle(reached.unionByName(ahead))
+            if doubled is None:
+                break
+            frontier, doubling = doubled, False
+            continue
+        frontier = settle(_children(steps, frontier, found, key).distinct().join(reached, key, "left_anti"))
         reached = reached.unionByName(frontier)
-        rounds += 1
-        if rounds % ROUNDS_PER_PLAN == 0:
+        rounds.append(1)
+        if len(rounds) % ROUNDS_PER_PLAN == 0:
             reached = settle(reached)
     return reached
 
 
+def _doubled(
+    links: DataFrame, total: int, reached: DataFrame, frontier: DataFrame, key: list[str], rounds: list[int]
+) -> tuple[DataFrame, DataFrame | None]:
+    """(what lies ahead of the frontier, the frontier that is left where steps outgrew the links).
+
+    Before a round all nodes less than ``far`` steps off are found, and ``steps`` has the pairs ``far`` apart. If
+    nothing new lies from there to twice as far, nothing lies beyond.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "node_id" not in key:
+        known = reached.withColumnRenamed("cid", "child")
+        links = laid_out(links.join(known, "child", "left_anti").select("parent", "child"), "parent", parts)
+    steps, far = links, 1
+    near = frontier
+    while True:
+        new = settle(_children(steps, near, near.count(), key).distinct().join(near, key, "left_anti"))
+        rounds.append(2 * far)
+        near = settle(near.unionByName(new))
+        ahead = near.join(reached, key, "left_anti")
+        if new.isEmpty():
+            return ahead, None
+        onward = steps.select(F.col("parent").alias("child"), F.col("child").alias("then"))
+        longer = steps.join(onward, "child").select("parent", F.col("then").alias("child")).distinct()
+        steps, far = laid_out(longer, "parent", parts), 2 * far
+        pairs = steps.count()
+        if pairs == 0:
+            return ahead, None
+        if pairs > GROWTH * total:
+            return ahead, new
+
+
 def sweep(blocks: DataFrame, links: DataFrame, pins: DataFrame) -> DataFrame:
     """Blocks no pin keeps. A recursive pin keeps all below it, a direct pin only itself.
 

@@ -329,7 +329,7 @@ def fold_changes(fx: Fixtures) -> DataFrame:
 
 @_query
 def fold_changes_chunked(fx: Fixtures) -> DataFrame:
-    return fold.fold_changes(fx.changes(), chunk=64, levels=3)
+    return fold.fold_changes(fx.changes(), chunk=16)
 
 
 @_query

@@ -57,12 +57,20 @@ REPORT = T.StructType(
     ]
 )
 
+# A folder of rows, and the buckets for which it still counts.
+FOLDERS = T.ArrayType(
+    T.StructType([T.StructField("folder", T.StringType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+)
+
 COMMIT = T.StructType(
     [
         T.StructField("version", T.LongType(), False),
         T.StructField("batch", T.LongType()),
         T.StructField("source", T.StringType()),
-        T.StructField("folder", T.StringType()),
+        T.StructField("files", T.ArrayType(T.LongType())),
+        T.StructField("buckets", T.IntegerType()),
+        T.StructField("bases", FOLDERS),
+        T.StructField("deltas", FOLDERS),
     ]
 )
 

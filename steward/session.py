@@ -69,3 +69,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def laid_out(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """``df`` written once in buckets by a column, under the shared folder.
+
+    A join by that column with as many partitions leaves it where it is and shuffles the other side alone.
+    """
+    spark = df.sparkSession
+    name = f"laid_out_{uuid.uuid4().hex}"
+    rows = df.repartition(parts, by).write.bucketBy(parts, by).sortBy(by)
+    rows.option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
+    return spark.table(name)

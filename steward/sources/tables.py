@@ -1,18 +1,39 @@
-"""Catalog snapshots and observation tables in Parquet, and report messages as text."""
+"""Catalog snapshots and observation tables in Parquet, and report messages as text.
+
+A catalog lies in buckets by the hash of its ids. A snapshot is a record of folders: bases hold rows by
+bucket and status, and deltas hold what changed since, put or gone, by bucket. A reader takes the last change of a
+key, and its base row where there is none; so a few changes write a few small files, open no more than
+the buckets of their ids, and leave all else in place. ``compact`` makes new bases of buckets with many deltas.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, PINS, PROVIDERS
+from steward.session import settle
+
+# Of a new catalog; it keeps the number it starts with. A bucket should suit a task.
+BUCKETS = 16
+
+GONE = "gone"
+
+_PLACE = [T.StructField("v", T.StringType()), T.StructField("bucket", T.IntegerType())]
+_BASE = T.StructType([*CATALOG.fields, *_PLACE])
+_DELTA = T.StructType(
+    [*[T.StructField(f.name, f.dataType) for f in CATALOG], T.StructField(GONE, T.BooleanType()), *_PLACE]
+)
 
 
 class Commit(NamedTuple):
@@ -20,6 +41,11 @@ class Commit(NamedTuple):
     batch: int | None
 
 
+def bucket_of(ids: Column, buckets: int) -> Column:
+    """Where rows of an id lie; the same on all nodes, so that a change without node finds them."""
+    return F.pmod(F.xxhash64(ids), F.lit(buckets)).cast("int")
+
+
 def _commits(root: str) -> str:
     return f"{root}/commits"
 
@@ -81,16 +107,109 @@ def taken_in(spark: SparkSession, root: str, source: str, batch: int) -> bool:
     return not log.filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()
 
 
-def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The newest snapshot, or a given one; empty where nothing was written yet, and at version 0."""
+def applied_files(spark: SparkSession, root: str, source: str) -> DataFrame:
+    """Identities of the files of ``source`` that went into the catalog so far."""
+    log = _log(spark, root)
+    if log is None:
+        return spark.createDataFrame([], "file bigint")
+    return log.filter(F.col("source") == source).select(F.explode("files").alias("file"))
+
+
+def _state(spark: SparkSession, root: str, version: int | None = None) -> dict | None:
+    """The record of a snapshot, by default the newest."""
     log = _log(spark, root)
     if log is None or version == 0:
-        return spark.createDataFrame([], CATALOG)
+        return None
     wanted = log if version is None else log.filter(F.col("version") == version)
-    folder = wanted.agg(F.max_by("folder", "version")).first()[0]
-    if folder is None:
+    record = wanted.agg(F.max_by(F.struct(*log.columns), "version").alias("r")).first()["r"]
+    if record is None:
         raise ValueError(f"no snapshot {version} of {root}")
-    return spark.read.schema(CATALOG).parquet(f"{root}/{folder}").select(*CATALOG_COLUMNS)
+    return record.asDict(recursive=True)
+
+
+def _folders(spark: SparkSession, root: str, schema: T.StructType, folders: list[dict], only: Iterable[int] | None) -> DataFrame:
+    """Rows of some folders in one scan, of the buckets for which each still counts."""
+    wanted = None if only is None else set(only)
+    live = [(f["folder"], sorted(set(f["buckets"]) if wanted is None else wanted & set(f["buckets"]))) for f in folders]
+    live = [(folder, buckets) for folder, buckets in live if buckets]
+    if not live:
+        return spark.createDataFrame([], schema)
+    counts = reduce(or_, [(F.col("v") == folder[2:]) & F.col("bucket").isin(buckets) for folder, buckets in live])
+    paths = [f"{root}/{folder}" for folder, _ in live]
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths).filter(counts)
+
+
+def _last_changes(changed: DataFrame) -> DataFrame:
+    """The last change of each key, later versions over earlier ones."""
+    row = F.struct(*CATALOG_COLUMNS, GONE)
+    order = F.substring_index("v", "-", 1).cast("bigint")
+    return changed.groupBy(F.col("node_id").alias("_node"), F.col("id").alias("_id")).agg(F.max_by(row, order).alias("r"))
+
+
+def _merged(spark: SparkSession, root: str, state: dict, only: Iterable[int] | None = None) -> DataFrame:
+    base = _folders(spark, root, _BASE, state["bases"], only).select(*CATALOG_COLUMNS)
+    if not any(f["buckets"] for f in state["deltas"]):
+        return base
+    last = _last_changes(_folders(spark, root, _DELTA, state["deltas"], only))
+    same = (F.col("node_id") == F.col("_node")) & (F.col("id") == F.col("_id"))
+    put = last.filter(~F.col(f"r.{GONE}")).select(*[F.col(f"r.{c}").alias(c) for c in CATALOG_COLUMNS])
+    return base.join(last.select("_node", "_id"), same, "left_anti").unionByName(put)
+
+
+def read_catalog(
+    spark: SparkSession, root: str, version: int | None = None, buckets: Iterable[int] | None = None
+) -> DataFrame:
+    """The newest snapshot, or a given one; empty where nothing was written yet, and at version 0.
+
+    With ``buckets`` only those are opened.
+    """
+    state = _state(spark, root, version)
+    return spark.createDataFrame([], CATALOG) if state is None else _merged(spark, root, state, buckets)
+
+
+def touched_buckets(spark: SparkSession, root: str, ids: DataFrame, version: int | None = None) -> list[int]:
+    """The buckets of some rows' ids; at most as many numbers as there are buckets."""
+    state = _state(spark, root, version)
+    buckets = state["buckets"] if state else BUCKETS
+    return sorted(r[0] for r in ids.select(bucket_of(F.col("id"), buckets)).distinct().collect())
+
+
+def _base_version(spark: SparkSession, root: str, base: int | None) -> int:
+    commit = last_commit(spark, root)
+    newest = commit.version if commit else 0
+    if base is not None and base != newest:
+        raise StaleCatalog(f"{root} is at {newest}, not at {base}")
+    return newest
+
+
+def _new_folder(version: int) -> str:
+    return f"v={version}-{uuid.uuid4().hex}"
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no record names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _keep(spark: SparkSession, root: str, record: dict, folder: str | None) -> int:
+    """Record a snapshot; one that comes too late leaves nothing behind."""
+    if not _record(spark, root, record):
+        if folder:
+            _discard(spark, f"{root}/{folder}")
+        raise StaleCatalog(f"{root} has got a version {record['version']} meanwhile")
+    return record["version"]
+
+
+def _write_base(rows: DataFrame, path: str, buckets: int) -> None:
+    """One task and file per bucket and status, unless Spark splits a large one."""
+    (
+        rows.select(*CATALOG_COLUMNS, bucket_of(F.col("id"), buckets).alias("bucket"))
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "status", "id")
+        .write.partitionBy("bucket", "status")
+        .parquet(path)
+    )
 
 
 def write_catalog(
@@ -100,34 +219,87 @@ def write_catalog(
     source: str | None = None,
     key: Sequence[str] = ("node_id", "id"),
     base: int | None = None,
+    buckets: int | None = None,
 ) -> int:
-    """Write the next snapshot, then record it; a reader never sees an unrecorded one.
+    """Write the next snapshot whole, then record it; a reader never sees an unrecorded one.
 
     ``base`` is the version the catalog was made from, 0 for none; by default the newest one
     as the write begins. Where another snapshot has been recorded since, nothing is and
-    ``StaleCatalog`` is raised. A row without node or id, or a second row of a ``key``, is an error.
+    ``StaleCatalog`` is raised. A row without node or id, or a second row of a ``key``, is an error. Neither
+    leaves anything behind.
 
-    Snapshots are laid out by status and sorted by id within files, so that a read by
+    Files are sorted by id within bucket and status, so that a read by
     status opens only its part and a lookup skips row groups.
     """
     spark = catalog.sparkSession
-    commit = last_commit(spark, root)
-    newest = commit.version if commit else 0
-    base = newest if base is None else base
-    if base != newest:
-        raise StaleCatalog(f"{root} is at {newest}, not at {base}")
-    version = base + 1
-    folder = f"v={version}-{uuid.uuid4().hex}"
-    (
-        catalog.select(*CATALOG_COLUMNS)
-        .sortWithinPartitions("status", "id")
-        .write.partitionBy("status")
-        .parquet(f"{root}/{folder}")
-    )
-    _check_keys(spark.read.schema(CATALOG).parquet(f"{root}/{folder}"), key)
-    if not _record(spark, root, {"version": version, "batch": batch, "source": source, "folder": folder}):
-        raise StaleCatalog(f"{root} has got a version {version} meanwhile")
-    return version
+    newest = _base_version(spark, root, base)
+    if buckets is None:
+        state = _state(spark, root, newest)
+        buckets = state["buckets"] if state else BUCKETS
+    version = newest + 1
+    folder = _new_folder(version)
+    _write_base(catalog, f"{root}/{folder}", buckets)
+    bases = [{"folder": folder, "buckets": list(range(buckets))}]
+    try:
+        _check_keys(_folders(spark, root, _BASE, bases, None), key)
+    except ValueError:
+        _discard(spark, f"{root}/{folder}")
+        raise
+    record = {"version": version, "batch": batch, "source": source, "files": [], "buckets": buckets, "bases": bases, "deltas": []}
+    return _keep(spark, root, record, folder)
+
+
+def write_changes(
+    changes: DataFrame,
+    root: str,
+    batch: int | None = None,
+    source: str | None = None,
+    files: Sequence[int] = (),
+    base: int | None = None,
+) -> int:
+    """Record changed rows over the newest snapshot: catalog columns, and ``gone`` where a key is taken out.
+
+    One row per node and id. Only these rows are checked and written, into the buckets of their ids. ``files``
+    are identities of what the changes came from. Without any change the record still counts.
+    """
+    spark = changes.sparkSession
+    newest = _base_version(spark, root, base)
+    state = _state(spark, root, newest) or {"buckets": BUCKETS, "bases": [], "deltas": []}
+    rows = settle(changes.select(*CATALOG_COLUMNS, GONE, bucket_of(F.col("id"), state["buckets"]).alias("bucket")))
+    _check_keys(rows, ("node_id", "id"))
+    touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+    version, folder = newest + 1, None
+    deltas = list(state["deltas"])
+    if touched:
+        folder = _new_folder(version)
+        rows.repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{root}/{folder}")
+        deltas.append({"folder": folder, "buckets": touched})
+    record = {**state, "version": version, "batch": batch, "source": source, "files": list(files), "deltas": deltas}
+    return _keep(spark, root, record, folder)
+
+
+def compact(spark: SparkSession, root: str, least: int = 8) -> list[int]:
+    """New bases for the buckets with ``least`` deltas or more; gives those buckets. No row changes."""
+    newest = _base_version(spark, root, None)
+    state = _state(spark, root, newest)
+    if state is None:
+        return []
+    every = [b for f in state["deltas"] for b in f["buckets"]]
+    full = sorted(b for b in set(every) if every.count(b) >= least)
+    if not full:
+        return []
+    version = newest + 1
+    folder = _new_folder(version)
+    _write_base(_merged(spark, root, state, full), f"{root}/{folder}", state["buckets"])
+
+    def without(folders: list[dict]) -> list[dict]:
+        left = [{**f, "buckets": [b for b in f["buckets"] if b not in full]} for f in folders]
+        return [f for f in left if f["buckets"]]
+
+    bases = [*without(state["bases"]), {"folder": folder, "buckets": full}]
+    record = {**state, "version": version, "batch": None, "source": None, "files": [], "bases": bases, "deltas": without(state["deltas"])}
+    _keep(spark, root, record, folder)
+    return full
 
 
 def _check_keys(stored: DataFrame, key: Sequence[str]) -> None:

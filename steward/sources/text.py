@@ -31,13 +31,14 @@ def _walk_key(path: Column) -> Column:
     return F.translate(readable, "/", "\u0001")
 
 
-def place_lines(raw: DataFrame) -> DataFrame:
+def place_lines(raw: DataFrame, *others: str) -> DataFrame:
     """Add the order columns to lines read with their file path and block start."""
     return raw.select(
         _walk_key(F.col("file_path")).alias("path"),
         F.col("file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("k"),
         "value",
+        *others,
     )
 
 

@@ -56,3 +56,64 @@ def test_unpin(catalog, table):
     assert rows_of(integrity.unpin_plan(removed, files, pins)) == [("a", "x")]
     assert rows_of(integrity.scan_pins(pins)) == [("q",)]
     assert rows_of(integrity.scan_pins(pins, "recursive")) == [("x",)]
+
+
+def walk(links, roots):
+    below = {}
+    for a, b in links:
+        below.setdefault(a, set()).add(b)
+    seen, todo = set(roots), list(roots)
+    while todo:
+        for child in below.get(todo.pop(), ()):
+            if child not in seen:
+                seen.add(child)
+                todo.append(child)
+    return seen
+
+
+def reached(table, links, roots, rounds=None):
+    found = integrity.reachable(table("parent string, child string", *links), table("cid string", *[(r,) for r in roots]), rounds)
+    rows = [r.cid for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_a_chain_of_a_thousand_takes_twelve_rounds(table):
+    links, rounds = [(f"c{k}", f"c{k + 1}") for k in range(999)], []
+    assert reached(table, links, ["c0"], rounds) == {f"c{k}" for k in range(1000)}
+    assert len(rounds) <= 12
+
+
+def test_reachable_on_random_graphs(table, monkeypatch):
+    import random
+
+    for seed, deep, growth in ((1, 0, 4), (2, 32, 4), (3, 32, 0), (4, 1, 1)):
+        draw = random.Random(seed)
+        monkeypatch.setattr(integrity, "DEEP", deep or 1_000_000)
+        monkeypatch.setattr(integrity, "GROWTH", growth)
+        n = 120
+        links = [(f"v{draw.randint(0, n)}", f"v{draw.randint(0, n)}") for _ in range(130)]
+        links += [(f"p{k}", f"p{k + 1}") for k in range(60)] + [("v3", "p0"), ("p60", "v7"), ("p30", "p10")] + links[:5]
+        roots = ["v3", "p5", "nowhere"]
+        assert reached(table, links, roots) == walk(links, roots)
+
+
+def test_deep_chains_on_nodes_of_their_own(table):
+    links = [(f"c{k}", f"c{k + 1}") for k in range(150)]
+    roots = table("node_id string, cid string", ("a", "c0"), ("b", "c100"))
+    found = integrity.reachable(table("parent string, child string", *links), roots)
+    assert sorted(map(tuple, found.select("node_id", "cid").collect())) == sorted(
+        [("a", f"c{k}") for k in range(151)] + [("b", f"c{k}") for k in range(100, 151)]
+    )
+
+
+def test_links_are_laid_out_once(table, spark):
+    from pyspark.sql import functions as F
+
+    from steward.session import laid_out
+
+    links = laid_out(table("parent string, child string", *[(f"{k}", f"{k + 1}") for k in range(50)]), "parent", 4)
+    found = table("parent string", ("3",)).withColumn("parent", F.concat("parent", F.lit("")))
+    joined = links.join(found.hint("shuffle_merge"), "parent", "left_semi")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan  # of what was found alone
