@@ -247,6 +247,39 @@ _VERSIONS = (
 )
 _READDED = "SELECT b.* FROM rebased b JOIN moved m ON b.id = m.id WHERE m.change = 'add'"
 _EMPTY_ROOMS = ("rooms", "SELECT node_id, limit_bytes AS room FROM nodes")
+_LIMITED_ROOMS = (
+    "rooms",
+    """SELECT n.node_id, CAST(CASE WHEN NOT initialised AND limit_bytes > disk_free THEN disk_free ELSE limit_bytes END
+               - coalesce(u.used, 0) AS BIGINT) AS room
+       FROM nodes n LEFT JOIN used u ON n.node_id = u.node_id""",
+)
+_SWEPT = f"""
+    SELECT node_id, id || tail AS cid
+    FROM (SELECT CAST((p_partkey + shift) % {NODE_COUNT} AS VARCHAR) AS node_id, CAST(p_partkey AS VARCHAR) AS id
+          FROM part, (VALUES (0), (1)) AS s(shift)) b, (VALUES (''), ('-0')) AS t(tail)
+    WHERE (node_id, id) NOT IN (SELECT (node_id, id) FROM decided WHERE outcome = 'pull')
+      AND (node_id, id) NOT IN (
+        SELECT (node_id, id) FROM (
+          SELECT node_id, id FROM catalog WHERE status = 'local'
+          UNION ALL
+          SELECT CAST((p_partkey + 1) % {NODE_COUNT} AS VARCHAR), CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 0)
+        WHERE (node_id, id) NOT IN (SELECT (node_id, id) FROM UNPINNED))"""
+_PATCHED = (
+    "changes",
+    """
+        SELECT event_id AS seq,
+               user_id || '|' || CAST(floor(event_id * 5 / ((SELECT max(event_id) FROM events) + 1)) AS INT) AS id,
+               CASE WHEN event_type IN ('purchase', 'error')
+                      OR (event_type = 'click' AND event_id % 2 = 0)
+                    THEN '-' ELSE '+' END AS op,
+               event_type || '-' || event_id AS name
+        FROM events WHERE event_type <> 'view'""",
+)
+# Late: it rests on the net change of each id in each patch.
+_LAST_PATCH = """
+    SELECT split_part(id, '|', 1) AS id, arg_max(name, CAST(split_part(id, '|', 2) AS INT)) AS name,
+           arg_max(change, CAST(split_part(id, '|', 2) AS INT)) AS change
+    FROM net WHERE change <> 'none' GROUP BY 1"""
 _EVICTABLE = (
     "evictable",
     f"""SELECT node_id, id, size, replications FROM counted
@@ -556,9 +589,21 @@ ORACLE: dict[str, str] = {
         " 'invalid_id' AS reason FROM changes WHERE name NOT LIKE 'view%'"
     ),
     "stream_sync": _sql(
-        f"SELECT {ROW} FROM catalog WHERE id NOT IN (SELECT id FROM net WHERE change <> 'none')"
+        f"SELECT {ROW} FROM catalog WHERE id NOT IN (SELECT id FROM last_patch)"
         f" UNION ALL SELECT CAST(CAST(id AS BIGINT) % {NODE_COUNT} AS VARCHAR), id, name, 0, 'remote', {AS_OF}, 0"
-        " FROM net WHERE change = 'add'",
-        _MARKED,
+        " FROM last_patch WHERE change = 'add'",
+        _PATCHED,
+        after={"last_patch": _LAST_PATCH},
+    ),
+    "sync_sweep": _adder(
+        _SWEPT.replace("UNPINNED", "gone WHERE status = 'local'"), "SELECT * FROM kept WHERE change = 'add'", _KEPT, _LIMITED_ROOMS
+    ),
+    "patch_sweep": _adder(
+        _SWEPT.replace("UNPINNED", "unpinned"), _READDED, _MARKED, _REBASED, _LIMITED_ROOMS,
+        (
+            "unpinned",
+            "SELECT c.node_id, c.id FROM catalog c JOIN moved m ON c.id = m.id WHERE m.change = 'remove' AND c.status = 'local'",
+        ),
     ),
+    "patch_catalog": _adder(_after("rebased"), _READDED, _MARKED, _REBASED, _LIMITED_ROOMS),
 }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steward.functions import ID_PATTERN
 from steward.operators.catalog import Key, latest
 from steward.operators.diff import (
     apply_feed,
     change_class,
+    feed_changes,
     feed_rows,
     latest_line,
     reconcile,
@@ -21,6 +24,7 @@ from steward.operators.integrity import sweep, unpin_plan
 from steward.plans.adder import FLEET_KEY, adder, apply_outcomes
 from steward.schemas import ADD, CATALOG_COLUMNS, REMOVE
 from steward.session import settle
+from steward.sources import tables, text
 
 
 @dataclass(frozen=True)
@@ -42,9 +46,23 @@ class Observed:
 
 
 class Synced(NamedTuple):
+    """The catalog that follows, what the adder decided, and what to unpin.
+
+    ``changes`` are the rows that differ from the catalog before, with ``gone``, where a sync is of changes.
+    """
+
     catalog: DataFrame
     outcomes: DataFrame
     unpin: DataFrame
+    changes: DataFrame | None = None
+
+
+class Scope(NamedTuple):
+    """What lies on the nodes: blocks (node_id, cid), links (parent, child) and pins (node_id, cid, pin_type)."""
+
+    blocks: DataFrame
+    links: DataFrame
+    pins: DataFrame
 
 
 def _factors(lines: DataFrame, seen: Observed, order: tuple[str, ...], key: Key) -> DataFrame | None:
@@ -118,7 +136,10 @@ def sync_changes(
     base = apply_feed(catalog, net, seen.as_of, key, preserve)
     added = feed_rows(catalog, net, seen.as_of, key, preserve)
     _, removes = change_class(net)
-    return _place_added(catalog, base, added, unpin_plan(removes, catalog), seen, key, factors, few=True)
+    done = _place_added(catalog, base, added, unpin_plan(removes, catalog), seen, key, factors, few=True)
+    changed = feed_changes(catalog, net, seen.as_of, key, preserve)
+    put = apply_outcomes(changed.filter("NOT gone"), done.outcomes, seen.as_of).catalog.withColumn("gone", F.lit(False))
+    return done._replace(changes=put.unionByName(changed.filter("gone")))
 
 
 def sync_incremental(
@@ -160,3 +181,57 @@ def sweep_after(
     kept = pins.join(gone, key, "left_anti").select(*key, "pin_type")
     return sweep(blocks, links, kept.unionByName(pulled))
 
+
+
+def _lists(synced: Synced, scope: Scope, rejected: DataFrame) -> tuple[Synced, dict[str, DataFrame]]:
+    """What goes on record with the catalog; outcomes and catalog are of one evaluation."""
+    synced = synced._replace(outcomes=settle(synced.outcomes))
+    swept = sweep_after(synced, *scope)
+    return synced, {"outcomes": synced.outcomes, "unpin": synced.unpin, "sweep": swept, "rejects": rejected}
+
+
+def run_full(
+    spark: SparkSession,
+    manifest: str,
+    root: str,
+    seen: Observed,
+    scope: Scope,
+    assign: Callable[[DataFrame], DataFrame],
+    key: Key = FLEET_KEY,
+    pattern: str = text.MANIFEST_FILES,
+    id_pattern: str | None = None,
+) -> int:
+    """From the text of a manifest to the sweep, as one version of the catalog at ``root``.
+
+    ``assign`` adds the ``node_id`` of the nodes that follow the manifest to its lines. With the catalog are
+    recorded the lists ``outcomes``, ``unpin``, ``sweep`` and ``rejects``; a run that fails half way records none
+    of them. Gives the version.
+    """
+    commit = tables.last_commit(spark, root)
+    base = commit.version if commit else 0
+    lines = text.scan_manifest(spark, manifest, pattern=pattern, id_pattern=id_pattern)
+    done = sync_full(assign(lines.good), tables.read_catalog(spark, root, base), seen, text.ORDER, key)
+    done, lists = _lists(done, scope, lines.rejected)
+    return tables.write_catalog(done.catalog, root, key=key, base=base, lists=lists)
+
+
+def run_incremental(
+    spark: SparkSession,
+    patch: str,
+    root: str,
+    seen: Observed,
+    scope: Scope,
+    assign: Callable[[DataFrame], DataFrame],
+    key: Key = FLEET_KEY,
+    pattern: str = "*",
+    id_pattern: str = ID_PATTERN,
+    preserve: bool = False,
+) -> int:
+    """As ``run_full`` from the text of a patch; only the rows that change are written."""
+    commit = tables.last_commit(spark, root)
+    base = commit.version if commit else 0
+    lines = settle(text.scan_lines(spark, patch, pattern))
+    changes = assign(text.parse_patch(lines, id_pattern))
+    done = sync_incremental(changes, tables.read_catalog(spark, root, base), seen, text.ORDER, key, preserve)
+    done, lists = _lists(done, scope, text.patch_rejects(lines, id_pattern))
+    return tables.write_changes(done.changes, root, base=base, lists=lists)

@@ -122,21 +122,30 @@ def _document_lines(fx: Fixtures) -> DataFrame:
     )
 
 
-def _write_patch(fx: Fixtures) -> str:
-    """The event feed as a patch in text parts, with context lines, in feed order."""
+def _patch_line():
     op = (
         F.when(F.col("name").startswith("view"), " ")
         .when(F.col("op") == "add", "+")
         .otherwise("-")
     )
+    return F.concat(op, "id", F.lit("  "), "name", F.lit(" more")).alias("value")
+
+
+def _write_patch(fx: Fixtures) -> str:
+    """The event feed as a patch in text parts, with context lines, in feed order."""
     path = scratch_path(fx.spark, "patch")
-    (
-        fx.changes()
-        .repartitionByRange("seq")
-        .sortWithinPartitions("seq")
-        .select(F.concat(op, "id", F.lit("  "), "name", F.lit(" more")).alias("value"))
-        .write.text(path)
-    )
+    ordered = fx.changes().repartitionByRange("seq").sortWithinPartitions("seq")
+    ordered.select(_patch_line()).write.text(path)
+    return path
+
+
+def _write_patches(fx: Fixtures) -> str:
+    """The event feed as five patches of one file each, one after the other."""
+    path = scratch_path(fx.spark, "patches")
+    last = fx.changes().select(F.max("seq")).scalar()
+    numbered = fx.changes().withColumn("patch", F.floor(F.col("seq") * 5 / (last + 1)).cast("int"))
+    ordered = numbered.repartition("patch").sortWithinPartitions("patch", "seq")
+    ordered.select("patch", _patch_line()).write.partitionBy("patch").text(path)
     return path
 
 
@@ -186,8 +195,11 @@ def patch_net(fx: Fixtures) -> DataFrame:
 def catalog_snapshot(fx: Fixtures) -> DataFrame:
     root = scratch_path(fx.spark, "catalog")
     tables.write_catalog(fx.catalog(), root)
-    current = tables.read_catalog(fx.spark, root)
-    tables.write_catalog(cat.upsert(current, _edits(fx), AS_OF, ("id",), "seq"), root)
+    edits = cat.latest(_edits(fx), ("id",), "seq").withColumn("modified", cat.timestamp(AS_OF))
+    even = F.col("id").cast("bigint") % 2 == 0
+    for some in (even, ~even):
+        tables.write_changes(edits.filter(some).withColumn("gone", F.lit(False)), root)
+    tables.compact(fx.spark, root, least=2)
     return tables.read_catalog(fx.spark, root)
 
 
@@ -651,8 +663,8 @@ def repair_nodes(fx: Fixtures) -> DataFrame:
 
 @_query
 def stream_sync(fx: Fixtures) -> DataFrame:
-    """The patch as a stream into a stored catalog; its parts make up one batch."""
-    patches = _write_patch(fx)
+    """Five numbered patches as a stream into a stored catalog, each in its turn."""
+    patches = _write_patches(fx)
     root = scratch_path(fx.spark, "streamed")
     tables.write_catalog(fx.catalog(), root)
     query = stream_changes(
@@ -664,7 +676,55 @@ def stream_sync(fx: Fixtures) -> DataFrame:
         id_pattern=ANY_ID,
         pattern="*.txt",
         assign=lambda changes: _on_nodes(fx, changes),
-        files_per_batch=1_000_000,
+        files_per_batch=2,
+        number=r"patch=(\d+)/",
     )
     query.awaitTermination()
     return tables.read_catalog(fx.spark, root)
+
+
+# --- from text to sweep ---------------------------------------------------------------
+
+
+def _effective(fx: Fixtures) -> sync.Observed:
+    """As ``_observed``, with each node's limit as it takes effect."""
+    return sync.Observed(_seen(fx), fx.objects(), nodes.with_limits(fx.nodes()), THRESHOLD, AS_OF, SEED, RUN)
+
+
+def _scope(fx: Fixtures) -> sync.Scope:
+    """Every part and a block below it lie on its own node and on the next one."""
+    own = cat.by_status(fx.catalog(), "local").select("node_id", F.col("id").alias("cid"))
+    pins = own.unionByName(fx.copied_pins()).withColumn("pin_type", F.lit("recursive"))
+    return sync.Scope(fx.copied_blocks(), fx.part_links(), pins)
+
+
+@_query
+def sync_sweep(fx: Fixtures) -> DataFrame:
+    """What is to be deleted after a sync from the text of the manifest, as recorded with it."""
+    path, root = scratch_path(fx.spark, "manifest"), scratch_path(fx.spark, "synced")
+    fx.manifest().select(F.concat("id", F.lit(" "), "name").alias("value")).write.text(path)
+    tables.write_catalog(fx.catalog(), root)
+    sync.run_full(fx.spark, path, root, _effective(fx), _scope(fx), lambda lines: _on_nodes(fx, lines), pattern="*.txt")
+    return tables.read_list(fx.spark, root, "sweep")
+
+
+def _patched(fx: Fixtures) -> str:
+    root = scratch_path(fx.spark, "patched")
+    tables.write_catalog(fx.catalog(), root)
+    sync.run_incremental(
+        fx.spark, _write_patch(fx), root, _effective(fx), _scope(fx), lambda lines: _on_nodes(fx, lines), pattern="*.txt",
+        id_pattern=ANY_ID,
+    )
+    return root
+
+
+@_query
+def patch_sweep(fx: Fixtures) -> DataFrame:
+    """What is to be deleted after a sync from the text of a patch."""
+    return tables.read_list(fx.spark, _patched(fx), "sweep")
+
+
+@_query
+def patch_catalog(fx: Fixtures) -> DataFrame:
+    """The catalog that sync leaves: the one before, and a delta."""
+    return tables.read_catalog(fx.spark, _patched(fx))

@@ -71,6 +71,7 @@ COMMIT = T.StructType(
         T.StructField("buckets", T.IntegerType()),
         T.StructField("bases", FOLDERS),
         T.StructField("deltas", FOLDERS),
+        T.StructField("lists", T.StringType()),
     ]
 )
 

@@ -186,17 +186,34 @@ def _new_folder(version: int) -> str:
     return f"v={version}-{uuid.uuid4().hex}"
 
 
-def _discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that no record names."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _discard(spark: SparkSession, root: str, folders: Sequence[str | None]) -> None:
+    """Delete folders that no record names."""
+    for folder in filter(None, folders):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _keep(spark: SparkSession, root: str, record: dict, folder: str | None) -> int:
+def _write_lists(root: str, version: int, lists: dict[str, DataFrame] | None) -> str | None:
+    if not lists:
+        return None
+    folder = f"lists-{_new_folder(version)}"
+    for name, rows in lists.items():
+        rows.write.parquet(f"{root}/{folder}/{name}")
+    return folder
+
+
+def read_list(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table that a snapshot, by default the newest, was recorded with."""
+    state = _state(spark, root, version)
+    if state is None or state["lists"] is None:
+        raise ValueError(f"no lists with snapshot {version or 'of'} {root}")
+    return spark.read.parquet(f"{root}/{state['lists']}/{name}")
+
+
+def _keep(spark: SparkSession, root: str, record: dict, made: Sequence[str | None]) -> int:
     """Record a snapshot; one that comes too late leaves nothing behind."""
     if not _record(spark, root, record):
-        if folder:
-            _discard(spark, f"{root}/{folder}")
+        _discard(spark, root, made)
         raise StaleCatalog(f"{root} has got a version {record['version']} meanwhile")
     return record["version"]
 
@@ -220,6 +237,7 @@ def write_catalog(
     key: Sequence[str] = ("node_id", "id"),
     base: int | None = None,
     buckets: int | None = None,
+    lists: dict[str, DataFrame] | None = None,
 ) -> int:
     """Write the next snapshot whole, then record it; a reader never sees an unrecorded one.
 
@@ -228,7 +246,8 @@ def write_catalog(
     ``StaleCatalog`` is raised. A row without node or id, or a second row of a ``key``, is an error. Neither
     leaves anything behind.
 
-    Files are sorted by id within bucket and status, so that a read by
+    ``lists`` are tables that belong to the snapshot, such as what is to be unpinned; they count once it is
+    recorded. Files are sorted by id within bucket and status, so that a read by
     status opens only its part and a lookup skips row groups.
     """
     spark = catalog.sparkSession
@@ -238,15 +257,20 @@ def write_catalog(
         buckets = state["buckets"] if state else BUCKETS
     version = newest + 1
     folder = _new_folder(version)
-    _write_base(catalog, f"{root}/{folder}", buckets)
     bases = [{"folder": folder, "buckets": list(range(buckets))}]
+    made = [folder]
     try:
+        _write_base(catalog, f"{root}/{folder}", buckets)
         _check_keys(_folders(spark, root, _BASE, bases, None), key)
-    except ValueError:
-        _discard(spark, f"{root}/{folder}")
+        made.append(_write_lists(root, version, lists))
+    except Exception:
+        _discard(spark, root, made)
         raise
-    record = {"version": version, "batch": batch, "source": source, "files": [], "buckets": buckets, "bases": bases, "deltas": []}
-    return _keep(spark, root, record, folder)
+    record = {
+        "version": version, "batch": batch, "source": source, "files": [], "buckets": buckets, "bases": bases, "deltas": [],
+        "lists": made[1],
+    }
+    return _keep(spark, root, record, made)
 
 
 def write_changes(
@@ -256,11 +280,13 @@ def write_changes(
     source: str | None = None,
     files: Sequence[int] = (),
     base: int | None = None,
+    lists: dict[str, DataFrame] | None = None,
 ) -> int:
     """Record changed rows over the newest snapshot: catalog columns, and ``gone`` where a key is taken out.
 
     One row per node and id. Only these rows are checked and written, into the buckets of their ids. ``files``
-    are identities of what the changes came from. Without any change the record still counts.
+    are identities of what the changes came from. Without any change the record still counts. ``lists`` as
+    for ``write_catalog``.
     """
     spark = changes.sparkSession
     newest = _base_version(spark, root, base)
@@ -268,14 +294,20 @@ def write_changes(
     rows = settle(changes.select(*CATALOG_COLUMNS, GONE, bucket_of(F.col("id"), state["buckets"]).alias("bucket")))
     _check_keys(rows, ("node_id", "id"))
     touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
-    version, folder = newest + 1, None
-    deltas = list(state["deltas"])
-    if touched:
-        folder = _new_folder(version)
-        rows.repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{root}/{folder}")
-        deltas.append({"folder": folder, "buckets": touched})
-    record = {**state, "version": version, "batch": batch, "source": source, "files": list(files), "deltas": deltas}
-    return _keep(spark, root, record, folder)
+    version = newest + 1
+    deltas, made = list(state["deltas"]), [None, None]
+    try:
+        if touched:
+            made[0] = _new_folder(version)
+            ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "id")
+            ordered.write.partitionBy("bucket").parquet(f"{root}/{made[0]}")
+            deltas.append({"folder": made[0], "buckets": touched})
+        made[1] = _write_lists(root, version, lists)
+    except Exception:
+        _discard(spark, root, made)
+        raise
+    record = {**state, "version": version, "batch": batch, "source": source, "files": list(files), "deltas": deltas, "lists": made[1]}
+    return _keep(spark, root, record, made)
 
 
 def compact(spark: SparkSession, root: str, least: int = 8) -> list[int]:
@@ -297,8 +329,8 @@ def compact(spark: SparkSession, root: str, least: int = 8) -> list[int]:
         return [f for f in left if f["buckets"]]
 
     bases = [*without(state["bases"]), {"folder": folder, "buckets": full}]
-    record = {**state, "version": version, "batch": None, "source": None, "files": [], "bases": bases, "deltas": without(state["deltas"])}
-    _keep(spark, root, record, folder)
+    record = {**state, "version": version, "batch": None, "source": None, "files": [], "bases": bases, "deltas": without(state["deltas"]), "lists": None}
+    _keep(spark, root, record, [folder])
     return full
 
 
