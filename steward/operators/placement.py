@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 from steward.operators.joins import lookup_join, small_side
 from steward.operators.running import running, running_over_slices, sliced, without_slices
 from steward.schemas import LOCAL
-from steward.session import BROADCAST_ROWS, settle
+from steward.session import BROADCAST_ROWS, scratch_path, settle
 
 NEED_ORDER = ("replications", "id")
 
@@ -90,7 +94,7 @@ def _fit_greedy(placed: DataFrame, order: Sequence[str], group_rows: int) -> Dat
 
     Room only shrinks, so a file as large as the room at the start never fits. Where all
     others fit together, they all do. What is left is walked per node if it is short,
-    and otherwise in rounds over all its slices.
+    and otherwise by an index over its slices.
     """
     able = F.col("size") < F.col("_room")
     way = (
@@ -142,103 +146,139 @@ def _walk(placed: DataFrame, order: Sequence[str]) -> DataFrame:
     return placed.groupBy("node_id").applyInPandas(per_node, schema)
 
 
-def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int) -> DataFrame:
-    """The same walk for nodes too large for one task, in at most 63 rounds.
+# Candidates of long nodes are stored in at most so many parts, of which a round opens some.
+PARTS = 1024
 
-    Let the room be at least 2^j and below 2^(j+1), and ``cut`` be 2^j, or just above the
-    largest file if that is less. As long as the room is at least ``cut`` every file
-    below ``cut`` fits, so running totals say how the room shrinks; and of the files not
-    below ``cut`` only the first that fits can be taken, since the room is below 2^j
-    afterwards. A round ends at that file or where the room falls below ``cut``. Either
-    way the room at least halves, and with it goes what could still fit. Once few enough
-    files of a node are left, they are walked.
+_SPANS = "node_id string, _from bigint, _to bigint, _cut bigint, _open bigint, _room bigint"
+
+
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """0 for 0, and k for sizes from 2^(k-1) to 2^k - 1."""
+    powers = np.array([1 << k for k in range(63)], dtype=np.int64)
+    return np.searchsorted(powers, sizes, side="right")
+
+
+def index_of(sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """Per size class: (class, bytes, the room from which on a file of the class is taken).
+
+    With a room of that class, all files of lower classes are taken on the way as long as the room stays in it. So a file needs
+    its own size and theirs, of those before it, and the file that needs least tells for all.
     """
-    ranked = settle(
-        running_over_slices(sliced(placed, ["node_id"], order), ["node_id"], order, rank="_pos")
-    )
-    files = ranked.drop("_room")
-    start = F.lit(0).cast("bigint").alias("_after")
-    state = small_side(
-        ranked.groupBy("node_id").agg(F.max("_room").alias("_room")).select("*", start)
+    classes = size_class(sizes)
+    out = []
+    for k in np.unique(classes).tolist():
+        mine = classes == k
+        before = np.cumsum(np.where(classes < k, sizes, 0))
+        out.append((k, int(sizes[mine].sum()), int((sizes + before)[mine].min())))
+    return out
+
+
+def next_event(index: list[tuple[int, int, int, int]], room: int, start: int) -> tuple[list[tuple[int, int, int]], int | None, int]:
+    """Skip slices in which nothing but files of lower classes than the room's are taken.
+
+    ``index`` has rows (slice, class, bytes, need) in order. Gives spans (from, to, cut), within which files
+    below ``cut`` are taken and no others, the slice to open, if any, and the room at its start.
+    """
+    if not index or start > index[-1][0]:
+        return [], None, room
+    if room <= 0:
+        return [(start, index[-1][0] + 1, 0)], None, room
+    klass = room.bit_length()
+    cut = 1 << (klass - 1)
+    for at, rows in groupby((r for r in index if r[0] >= start), key=itemgetter(0)):
+        rows = list(rows)
+        small = sum(r[2] for r in rows if r[1] < klass)
+        need = next((r[3] for r in rows if r[1] == klass), None)
+        if room - small < cut or need is not None and need < room:
+            return [(start, at, cut)] if at > start else [], at, room
+        room -= small
+    return [(start, index[-1][0] + 1, cut)], None, room
+
+
+def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int, opened: list[int] | None = None) -> DataFrame:
+    """The same walk for nodes too large for one task: an index says which slices need one.
+
+    The files of a node are cut into slices of ``group_rows``, in order. Let the room be at least 2^j and below 2^(j+1).
+    As long as it stays so, every file below 2^j fits; of the others only the first that fits can be taken, since the room is below 2^j
+    afterwards. An index by slice and size class tells in which slice the room leaves its class; all
+    before it are decided by their sizes alone. That slice is opened and walked, and the room has
+    at least halved after it, so a node opens 63 slices at most. A round opens one of each node.
+    ``opened`` gets the rows of the parts read per round.
+    """
+    spark = placed.sparkSession
+    group_rows = max(1, group_rows)
+    n_parts = min(PARTS, placed.count() // group_rows + 1)
+    slice_of = F.expr(f"(_pos - 1) div {group_rows}")
+    ranked = running_over_slices(sliced(placed, ["node_id"], order), ["node_id"], order, rank="_pos")
+    part = F.pmod(F.xxhash64("node_id", "_slice_no"), F.lit(n_parts)).cast("int")
+    path = scratch_path(spark, "candidates")
+    numbered = without_slices(ranked, ["node_id"]).withColumn("_slice_no", slice_of).withColumn("_part", part)
+    numbered.repartition("_part").sortWithinPartitions("_part", "node_id", "_pos").write.partitionBy("_part").parquet(path)
+    files = spark.read.schema(numbered.schema).parquet(path)
+
+    def per_slice(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = index_of(group.sort_values("_pos")["size"].to_numpy(dtype=np.int64))
+        return pd.DataFrame([(keys[0], keys[1], *f) for f in found], columns=["node_id", "_slice_no", "_class", "_bytes", "_need"])
+
+    index = settle(
+        files.select("node_id", "_slice_no", "_pos", "size")
+        .groupBy("node_id", "_slice_no")
+        .applyInPandas(per_slice, "node_id string, _slice_no bigint, _class int, _bytes bigint, _need bigint")
     )
-    log: list[DataFrame] = []
-    tails: list[DataFrame] = []
-    open_still = (F.col("_pos") > F.col("_after")) & (F.col("size") < F.col("_room"))
-    small = F.col("size") < F.col("_cut")
-    power = F.expr("shiftleft(1L, length(bin(_room)) - 1)")
+
+    def per_node(keys: tuple, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(states):
+            columns = ["_slice_no", "_class", "_bytes", "_need"]
+            known = [tuple(map(int, r)) for r in rows.sort_values(["_slice_no", "_class"])[columns].to_numpy()]
+            start = int(states["_after"].iloc[0])
+            spans, at, room = next_event(known, int(states["_room"].iloc[0]), start)
+            out = [(keys[0], *span, None, None) for span in spans]
+            if at is not None:
+                out.append((keys[0], None, None, None, at, room))
+        names = ["node_id", "_from", "_to", "_cut", "_open", "_room"]
+        return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names[1:]})
+
+    def per_open(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_pos")
+        fits = first_fit(group["size"].tolist(), int(group["_room"].iloc[0]))
+        return group[["node_id", "_slice_no", "_pos", "size", "_room"]].assign(_fits=fits)
+
+    walked_schema = "node_id string, _slice_no bigint, _pos bigint, size bigint, _room bigint, _fits boolean"
+    state = files.groupBy("node_id").agg(F.max("_room").alias("_room")).withColumn("_after", F.lit(0).cast("bigint"))
+    spans, walks = [], []
     while True:
-        cuts = settle(
-            files.join(state, "node_id")
-            .filter(open_still)
-            .groupBy("node_id", "_room", "_after")
-            .agg(F.max("size").alias("_peak"), (F.count("*") > group_rows).alias("_long"))
-            .withColumn("_cut", F.least(F.col("_peak") + 1, power))
-            .drop("_peak")
+        step = settle(
+            state.groupBy("node_id").cogroup(index.groupBy("node_id")).applyInPandas(per_node, _SPANS)
         )
-        nodes = {row["_long"]: row["count"] for row in cuts.groupBy("_long").count().collect()}
-        if False in nodes:
-            tails.append(cuts.filter(~F.col("_long")).select("node_id", "_room", "_after"))
-        if True not in nodes:
+        spans.append(step.filter(F.col("_from").isNotNull()).select("node_id", "_from", "_to", "_cut"))
+        to_open = step.filter(F.col("_open").isNotNull()).select("node_id", F.col("_open").alias("_slice_no"), "_room")
+        parts = [r[0] for r in to_open.select(part).distinct().collect()]
+        if not parts:
             break
-        cuts = cuts.filter("_long").drop("_long")
-        few = F.broadcast(cuts) if nodes[True] <= BROADCAST_ROWS else cuts
-        summed = running_over_slices(
-            files.join(few, "node_id").filter(open_still),
-            ["node_id"],
-            ["_pos"],
-            totals={"_sum": F.when(small, F.col("size")).otherwise(F.lit(0))},
+        some = files.filter(F.col("_part").isin(parts)).select("node_id", "_slice_no", "_pos", "size")
+        if opened is not None:
+            opened.append(some.count())
+        walk = settle(
+            some.join(to_open, ["node_id", "_slice_no"])
+            .groupBy("node_id", "_slice_no")
+            .applyInPandas(per_open, walked_schema)
         )
-        left = F.col("_room") - F.col("_sum")
-        ends = (small & (left < F.col("_cut"))) | (~small & (F.col("size") < left))
-        after = F.when(small, left).otherwise(left - F.col("size"))
-        stops = (
-            summed.filter(ends)
-            .groupBy("node_id")
-            .agg(F.min("_pos").alias("_stop"), F.min_by(after, "_pos").alias("_next"))
+        walks.append(walk.select("node_id", "_pos", "_fits"))
+        taken = F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))), F.lit(0))
+        state = walk.groupBy("node_id").agg(
+            (F.max("_room") - taken).alias("_room"), (F.max("_slice_no") + 1).alias("_after")
         )
-        done = settle(cuts.join(stops, "node_id", "left"))
-        log.append(done)
-        state = done.filter(F.col("_stop").isNotNull()).select(
-            "node_id", F.col("_next").alias("_room"), F.col("_stop").alias("_after")
-        )
-    return _read_rounds(ranked, log, tails, order)
+    per_span = reduce(DataFrame.unionByName, spans).groupBy("node_id").agg(
+        F.collect_list(F.struct("_from", "_to", "_cut")).alias("_spans")  # 64 a node at most
+    )
+    rows = files.join(small_side(per_span), "node_id", "left")
 
+    def below(span):
+        return (F.col("_slice_no") >= span["_from"]) & (F.col("_slice_no") < span["_to"]) & (F.col("size") < span["_cut"])
 
-def _read_rounds(
-    ranked: DataFrame, log: list[DataFrame], tails: list[DataFrame], order: Sequence[str]
-) -> DataFrame:
-    """What the rounds took, by their cuts and stops, and a walk over what they left open."""
-    no_steps = "node_id string, _after bigint, _stop bigint, _room bigint, _cut bigint"
-    no_tails = "node_id string, _room bigint, _after bigint"
-    session = ranked.sparkSession
-    steps = session.createDataFrame([], no_steps)
-    for done in log:
-        steps = steps.unionByName(done.select("node_id", "_after", "_stop", "_room", "_cut"))
-    open_from = session.createDataFrame([], no_tails)
-    for tail in tails:
-        open_from = open_from.unionByName(tail)
-    per_node = small_side(
-        steps.groupBy("node_id")
-        .agg(F.collect_list(F.struct("_after", "_stop", "_room", "_cut")).alias("_steps"))
-        .join(
-            open_from.select("node_id", F.struct("_room", "_after").alias("_tail")), "node_id", "full"
-        )
-    )
-    pos, size, tail = F.col("_pos"), F.col("size"), F.col("_tail")
-
-    def taken(step):
-        within = (pos > step["_after"]) & (step["_stop"].isNull() | (pos <= step["_stop"]))
-        chosen = (size < step["_cut"]) | step["_stop"].eqNullSafe(pos)
-        return within & (size < step["_room"]) & chosen
-
-    rows = without_slices(ranked.drop("_room").join(per_node, "node_id", "left"), ["node_id"])
-    still_open = F.coalesce((pos > tail["_after"]) & (size < tail["_room"]), F.lit(False))
-    fits = F.coalesce(F.exists("_steps", taken), F.lit(False))
-    decided = rows.filter(~still_open).withColumn("fits", fits).drop("_steps", "_tail", "_pos")
-    if not tails:
-        return decided
-    walked = _walk(
-        rows.filter(still_open).withColumn("_room", tail["_room"]).drop("_steps", "_tail", "_pos"),
-        order,
-    )
-    return decided.unionByName(walked.drop("_room"))
+    by_size = F.coalesce(F.exists("_spans", below), F.lit(False))
+    if walks:
+        rows = rows.join(reduce(DataFrame.unionByName, walks), ["node_id", "_pos"], "left")
+        by_size = F.coalesce("_fits", by_size)
+    return rows.withColumn("fits", by_size).select(*[c for c in placed.columns if c != "_room"], "fits")

@@ -48,8 +48,8 @@ def cases():
     return candidates, rooms
 
 
-# All nodes walked; rounds to the end; rounds and then a walk over what they leave.
-@pytest.mark.parametrize("group_rows", [1000, 0, 40])
+# All nodes walked; slices of one file, of a few, and of a third of a node.
+@pytest.mark.parametrize("group_rows", [1000, 0, 7, 40])
 def test_walk_and_rounds_match_a_plain_loop(table, group_rows):
     candidates, rooms = cases()
     got = fitted(table, candidates, rooms, group_rows=group_rows)
@@ -59,6 +59,47 @@ def test_walk_and_rounds_match_a_plain_loop(table, group_rows):
     assert 0 < sum(got.values()) < len(got)
 
 
+def test_rounds_open_few_slices(table):
+    rng = random.Random(3)
+    files = [("a", f"{i:05d}", 1, int(2 ** rng.uniform(0, 30))) for i in range(3000)]
+    placed = table(CANDIDATE + ", _room bigint", *[(*f, 1 << 31) for f in files])
+    opened = []
+    rows = placement._rounds(placed, placement.NEED_ORDER, 20, opened).collect()
+    assert {(r.node_id, r.id): r.fits for r in rows} == greedy(files, [("a", 1 << 31)])
+    assert len(opened) <= 32 and max(opened) <= 120 and sum(opened) < len(files) / 2, opened
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_index_tells_where_the_room_leaves_its_class(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    top = rng.choice([3, 10, 40, 62])
+    sizes = [int(2 ** rng.uniform(0, top)) - rng.randint(0, 1) for _ in range(200)]
+    width, room, taken = rng.choice([1, 3, 16]), int(2 ** rng.uniform(0, top + 0.9)), []
+    slices = [sizes[k : k + width] for k in range(0, len(sizes), width)]
+    index = [(n, *row) for n, part in enumerate(slices) for row in placement.index_of(np.array(part, dtype=np.int64))]
+    start, events, left = 0, 0, room
+    while True:
+        spans, at, left = placement.next_event(index, left, start)
+        for first, end, cut in spans:
+            taken += [size < cut for part in slices[first:end] for size in part]
+        if at is None:
+            break
+        fits = placement.first_fit(slices[at], left)
+        taken += fits
+        left -= sum(s for s, f in zip(slices[at], fits) if f)
+        start, events = at + 1, events + 1
+    assert taken == placement.first_fit(sizes, room) and events <= 63
+
+
+def test_size_classes():
+    import numpy as np
+
+    sizes = [0, 1, 2, 3, 4, 7, 8, (1 << 53) + 1, (1 << 62) - 1, 1 << 62, (1 << 63) - 1]
+    assert placement.size_class(np.array(sizes, dtype=np.int64)).tolist() == [s.bit_length() for s in sizes]
+
+
 def test_prefix_counts_skipped_files(table):
     files = [("a", "1", 1, 6), ("a", "2", 1, 5), ("a", "3", 2, 3), ("a", "4", 2, 50)]
     got = fitted(table, files, [("a", 10)], mode="prefix")
