@@ -5,13 +5,15 @@ per failed rule; policies, which are versioned sets of rules, and questions such
 would one rule less let through?" are bitwise work on that ledger and never read a text.
 
 Null and empty texts have no words. Rows are judged one by one, so repeated rows and ties
-are all kept; a null id stays null. Columns other than the id and the text are not read.
+are all kept; a null id stays null. Very long texts are measured whole, and an empty table gives an empty
+ledger. Columns other than the id and the text are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steward.llm.shared import Batches
+from steward.llm.shared import Batches, written
 
 # White space is what ASCII has of it: space and the five controls 9 to 13.
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -93,17 +95,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-# The place of a rule is its bit and never changes; new rules are added at the end.
-RULES = {
-    "few_words": "n_words < 10",
-    "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "capitals": "10 * n_capitals > 3 * n_words",
-    "marks": "2 * n_marks > n_words",
-    "letterless": "10 * n_lettered < 7 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 40 * n_lines",
-    "few_distinct": "n_words >= 50 and 10 * n_distinct_words < 3 * n_words",
+# A rule tells from the measurements, which it is handed by name, whether a document fails it.
+Measures = Callable[[str], Column]
+
+# The place of a rule is its bit and never changes; new rules are added at the end, with a new version.
+RULES: dict[str, Callable[[Measures], Column]] = {
+    "few_words": lambda m: m("n_words") < 10,
+    "repeated_words": lambda m: 100 * m("n_repeat_words") > 20 * m("n_words"),
+    "symbols": lambda m: 10 * m("n_symbols") > m("n_words"),
+    "capitals": lambda m: 10 * m("n_capitals") > 3 * m("n_words"),
+    "marks": lambda m: 2 * m("n_marks") > m("n_words"),
+    "letterless": lambda m: 10 * m("n_lettered") < 7 * m("n_words"),
+    "repeated_lines": lambda m: 100 * m("n_dup_lines") > 40 * m("n_lines"),
+    "few_distinct": lambda m: (m("n_words") >= 50) & (10 * m("n_distinct_words") < 3 * m("n_words")),
 }
+RULES_VERSION = 1
 
 
 @dataclass(frozen=True)
@@ -135,19 +141,24 @@ def _measured(id_: str) -> object:
     return step
 
 
+def failed_bits(measures: Measures) -> Column:
+    """One bit per failed rule."""
+    bits = [F.when(rule(measures), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, rule in enumerate(RULES.values())]
+    return reduce(Column.bitwiseOR, bits).cast("bigint")
+
+
 def ledger(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its id, the measurements, and ``failed`` with a bit per failed rule."""
+    """Per document: its id, the measurements, ``failed`` with a bit per failed rule, and the rules' version."""
     narrow = docs.select(id_, F.col(text).alias("text"))
     kind = docs.schema[id_].dataType.simpleString()
     schema = ", ".join([f"`{id_}` {kind}", *(f"{m} bigint" for m in MEASURES)])
-    bits = [
-        F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
-        for bit, rule in enumerate(RULES.values())
-    ]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return narrow.mapInArrow(_measured(id_), schema).withColumn("failed", failed)
+    measured = narrow.mapInArrow(_measured(id_), schema)
+    return measured.withColumn("failed", failed_bits(F.col)).withColumn("rules_version", F.lit(RULES_VERSION))
+
+
+def stored_ledger(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger, evaluated and written once; any number of policies and ablations read it."""
+    return written(ledger(docs, id_, text), "quality-ledger")
 
 
 def kept(policy: Policy, failed: Column | None = None) -> Column:
@@ -206,7 +217,8 @@ def failures_by(book: DataFrame, *keys: str) -> DataFrame:
 def keep_clean(docs: DataFrame, policy: Policy = CLEAN, text: str = "text") -> DataFrame:
     """The documents that ``policy`` keeps, with all columns they came with.
 
-    The measurements ride along with the row, so no join is needed to filter.
+    The measurements ride along with the row, so no join is needed: the same bits as in the ledger
+    are set, and the policy's mask is held against them.
     """
     found = "_measured"
     while found in docs.columns:
@@ -224,7 +236,4 @@ def keep_clean(docs: DataFrame, policy: Policy = CLEAN, text: str = "text") -> D
 
     kind = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
     judged = docs.mapInArrow(step, T.StructType([*docs.schema.fields, T.StructField(found, kind)]))
-    for rule in policy.rules:
-        within = re.sub(r"\bn_\w+", lambda m: f"`{found}`.{m[0]}", RULES[rule])
-        judged = judged.filter(~F.expr(within))
-    return judged.drop(found)
+    return judged.filter(kept(policy, failed_bits(lambda m: F.col(found)[m]))).drop(found)

@@ -20,7 +20,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    book = quality.ledger(table(spark, folder, "documents"))
+    book = quality.stored_ledger(table(spark, folder, "documents"))
     base = quality.kept(quality.BASE)
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -36,7 +36,7 @@ def brute(text):
 
 def judged(m):
     named = dict(zip(quality.MEASURES, m, strict=True))
-    return sum(1 << k for k, rule in enumerate(quality.RULES.values()) if eval(rule, {}, named))
+    return sum(1 << k for k, rule in enumerate(quality.RULES.values()) if rule(named.__getitem__))
 
 
 def test_measurements_and_bits(documents):
@@ -101,3 +101,14 @@ def test_keep_clean_leaves_columns(documents):
 @pytest.mark.parametrize("operator", [quality.ledger, quality.keep_clean])
 def test_empty_table(documents, operator):
     assert operator(documents((1, "x")).filter("false")).count() == 0
+
+
+def test_clean_rows_are_those_of_the_stored_ledger(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    book = quality.stored_ledger(docs)
+    assert {r.rules_version for r in book.select("rules_version").distinct().collect()} == {quality.RULES_VERSION}
+    clean = {r.doc_id for r in book.filter(quality.kept(quality.CLEAN)).collect()}
+    assert 0 < len(clean) < docs.count()
+    assert {r.doc_id for r in quality.keep_clean(docs).select("doc_id").collect()} == clean
+    one = quality.Policy("one", 1, ("symbols",))
+    assert quality.keep_clean(docs, one).count() == book.filter(quality.kept(one)).count()
