@@ -82,7 +82,7 @@ def test_stages_on_odd_rows(spark, sf):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cursor = con.execute(ORACLE[name])
