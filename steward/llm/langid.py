@@ -33,8 +33,16 @@ UNKNOWN = "und"
 RUNS_KEPT = 40_000  # vectors a worker remembers; results do not depend on it
 _UNIT = 1 << 20  # a unit vector is summed in these steps
 # What counts as alphanumeric but is neither a letter nor a digit: fractions, Roman numerals, circled numbers.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    if not text.isascii() and _NUMBERS.search(text):
+        text = _NUMBERS.sub(" ", text)
+    return _WORDS.findall(text)
 _PART, _TEXTS = 50_000, 64  # words and texts bundled at a time
 
 
@@ -107,7 +115,7 @@ class Bundler:
         totals = np.zeros((len(texts), DIM))
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for i, text in enumerate(texts):
-            words = _WORDS.findall(text.lower()) if text else []
+            words = words_of(text) if text else []
             for k in range(0, len(words), _PART):
                 spaced = f" {' '.join(words[k : k + _PART])} "
                 points = np.frombuffer(spaced.encode("utf-32-le"), dtype="<u4").astype(np.int64)
