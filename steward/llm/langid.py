@@ -33,15 +33,15 @@ UNKNOWN = "und"
 RUNS_KEPT = 40_000  # vectors a worker remembers; results do not depend on it
 _UNIT = 1 << 20  # a unit vector is summed in these steps
 # What counts as alphanumeric but is neither a letter nor a digit: fractions, Roman numerals, circled numbers.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
     text = text.lower()
-    if not text.isascii() and _NUMBERS.search(text):
-        text = _NUMBERS.sub(" ", text)
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
     return _WORDS.findall(text)
 _PART, _TEXTS = 50_000, 64  # words and texts bundled at a time
 
