@@ -2,8 +2,9 @@
 
 Documents are ordered by id and cut into shards; a shard is a row of the file with a grammar of
 its own. Its ids are rewritten by replacing frequent neighbours by a new symbol, again and
-again: in each round the most frequent pairs that cannot overlap are taken, where no symbol
-is the left of one and the right of another, so their counts hold while all are replaced at once.
+again until no pair is frequent enough to pay for its rule. In each round the most frequent
+pairs that cannot overlap are taken, where no symbol is the left of one and the right of
+another, so their counts hold while all are replaced at once. A run of one symbol is paired from its start.
 The file keeps the rules, the length each symbol expands to, the rewritten ids, and where
 documents start. Any range of ids is decoded by finding the symbols that cover it from these
 lengths and expanding those alone.
@@ -29,65 +30,81 @@ from pyspark.sql.window import Window
 from steward.llm.shared import Batches, batches_of, written
 from steward.llm.tokens import encoder
 
-SHARD_TOKENS, PART_BYTES = 1 << 19, 16 << 20
-ROUNDS, PAIRS, LEAST_COUNT = 4, 4096, 12
+SHARD_TOKENS, PART_BYTES = 1 << 19, 128 << 20
+# A rule takes twelve bytes of the file and an occurrence saves four, so a pair pays from four times on.
+LEAST_COUNT = 4
 
 
-def compress(
-    ids: np.ndarray,
-    end: int,
-    first: int,
-    rounds: int = ROUNDS,
-    pairs: int = PAIRS,
-    least: int = LEAST_COUNT,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule k, a pair of symbols, is the meaning of symbol ``first + k``.
+def _overlapping(equal: np.ndarray) -> np.ndarray:
+    """Of the ascending places of pairs of two equal symbols, which are at odd places of their run."""
+    runs = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
+    return (equal - np.repeat(equal[runs], np.diff(np.append(runs, len(equal))))) % 2 == 1
+
+
+def _counted(now: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs found ``least`` times, the most frequent first; places without overlaps; their pairs)."""
+    keys = now[places] << 32 | now[places + 1]
+    equal = np.flatnonzero(now[places] == now[places + 1])
+    if len(equal):
+        odd = equal[_overlapping(places[equal])]
+        places, keys = np.delete(places, odd), np.delete(keys, odd)
+    ordered = np.sort(keys)
+    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
+    counts = np.diff(np.append(edges, len(ordered)))
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    return ordered[edges[often]], places, keys
 
-    Pairs with ``end`` are never taken, so no symbol reaches across documents.
+
+def _apart(frequent: np.ndarray) -> np.ndarray:
+    """The pairs of ``frequent``, in order, without those that could overlap with one before them.
+
+    A pair of equal symbols is both the left and the right of itself, so it shares with no other.
     """
-    now = ids.astype(np.int64)
-    rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        keys = now[:-1] << 32 | now[1:]
-        inner = (now[:-1] != end) & (now[1:] != end) & (now[:-1] != now[1:])
-        ordered = np.sort(keys[inner])
-        if not len(ordered):
-            break
-        edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[edges, len(ordered)])
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        often = often[np.lexsort((ordered[edges[often]], -counts[often]))][: 4 * pairs]
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        taken: list[int] = []
-        for key in ordered[edges[often]].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
-            if a in rights or b in lefts:
-                continue
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    taken: list[int] = []
+    for key, a, b in zip(frequent.tolist(), (frequent >> 32).tolist(), (frequent & 0xFFFFFFFF).tolist(), strict=True):
+        if a not in rights and b not in lefts:
             lefts.add(a)
             rights.add(b)
             taken.append(key)
-            if len(taken) == pairs:
-                break
-        start = first + len(rules)
-        rules += [(k >> 32, k & 0xFFFFFFFF) for k in taken]
-        known = np.sort(np.array(taken, dtype=np.int64))
-        number = np.argsort(np.argsort(np.array(taken, dtype=np.int64)))
-        symbol = np.empty(len(taken), dtype=np.int64)
-        symbol[number] = start + np.arange(len(taken))
-        is_left = np.zeros(start + 1, dtype=bool)
-        is_right = np.zeros(start + 1, dtype=bool)
-        is_left[list(lefts)] = True
-        is_right[list(rights)] = True
-        maybe = np.flatnonzero(is_left[now[:-1]] & is_right[now[1:]])
-        at = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
-        hit = known[at] == keys[maybe]
-        places = maybe[hit]
-        now[places] = symbol[at[hit]]
-        now = np.delete(now, places + 1)
-    return np.array(rules, dtype=np.int64).reshape(-1, 2), now
+    return np.array(taken, dtype=np.int64)
+
+
+def compress(ids: np.ndarray, end: int, first: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rule k, a pair of symbols, is the meaning of symbol ``first + k``.
+
+    It goes on until no pair occurs ``least`` times. Pairs with ``end`` are never taken, so no
+    symbol reaches across documents. Each round takes one pair at least, the most frequent. Counts
+    only fall, so after the first round a pair can be frequent only if it was before or holds a new
+    symbol; the others are not looked at again.
+    """
+    now = ids.astype(np.int64)
+    rules: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
+    start, old = first, 0
+    begins, follows = np.zeros((2, first), dtype=bool)
+    while True:
+        fresh, inner = now >= old, now != end
+        look = fresh[:-1] | fresh[1:] | begins[now[:-1]] & follows[now[1:]]
+        places = np.flatnonzero(look & inner[:-1] & inner[1:])
+        frequent, places, keys = _counted(now, places, max(least, 2))
+        if not len(frequent):
+            return np.concatenate(rules), now
+        taken = _apart(frequent)
+        rules.append(np.stack([taken >> 32, taken & 0xFFFFFFFF], axis=1))
+        order = np.argsort(taken)
+        known = taken[order]
+        old, start = start, start + len(taken)
+        begins, follows = np.zeros((2, start), dtype=bool)
+        begins[frequent >> 32] = True
+        follows[frequent & 0xFFFFFFFF] = True
+        maybe = begins[keys >> 32] & follows[keys & 0xFFFFFFFF]
+        places, keys = places[maybe], keys[maybe]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        now[places[hit]] = old + order[at[hit]]
+        now = np.delete(now, places[hit] + 1)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:

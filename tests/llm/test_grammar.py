@@ -1,3 +1,4 @@
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -33,15 +34,72 @@ def test_compress_and_decode_anywhere(seed):
         assert np.array_equal(shard.decode(a, b), ids[a:b])
 
 
-def test_pairs_of_a_round_never_overlap():
-    ids = np.array([5, 6, 7] * 50 + [5, 5] * 50 + [END])
-    rules, symbols = grammar.compress(ids, END, 10, rounds=1, least=2)
-    lefts, rights = set(rules[:, 0].tolist()), set(rules[:, 1].tolist())
-    assert not lefts & rights
-    shard = grammar.Shard(10, rules, grammar.lengths_of(rules, 10), symbols)
+def counted(symbols):
+    """Occurrences of each pair, those of one run of a symbol without overlaps."""
+    found, i, last = {}, 0, None
+    for a, b in pairwise(symbols):
+        i += 1
+        if END in (a, b) or (a == b and last == (a, i - 1)):
+            continue
+        last = (a, i) if a == b else None
+        found[a, b] = found.get((a, b), 0) + 1
+    return found
+
+
+def repair(ids, first, least):
+    """Re-Pair in rounds, written plainly: one pass over the symbols per pair."""
+    rules, now = [], list(ids)
+    while frequent := {p: n for p, n in counted(now).items() if n >= least}:
+        lefts, rights, taken = set(), set(), []
+        for a, b in sorted(frequent, key=lambda p: (-frequent[p], p)):
+            if a not in rights and b not in lefts:
+                lefts.add(a)
+                rights.add(b)
+                taken.append((a, b))
+        for pair in taken:
+            out, i = [], 0
+            while i < len(now):
+                if tuple(now[i : i + 2]) == pair:
+                    out.append(first + len(rules))
+                    i += 2
+                else:
+                    out.append(now[i])
+                    i += 1
+            now = out
+            rules.append(pair)
+    return rules, now
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("least", [2, 4])
+def test_as_plain_rounds(seed, least):
+    rng = np.random.default_rng(seed)
+    kinds, size = int(rng.integers(1, 12)), int(rng.integers(0, 600))
+    ids = rng.choice([END, *range(2, 2 + kinds)], size)
+    ids = np.repeat(ids, rng.integers(1, 5, size)) if seed % 2 else ids
+    rules, symbols = grammar.compress(ids, END, 20, least=least)
+    plain_rules, plain_symbols = repair(ids.tolist(), 20, least)
+    assert list(map(tuple, rules.tolist())) == plain_rules
+    assert symbols.tolist() == plain_symbols
+    assert all(n < least for n in counted(plain_symbols).values())
+    shard = grammar.Shard(20, rules, grammar.lengths_of(rules, 20), symbols)
     assert np.array_equal(shard.decode(), ids)
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(2, 5000, 100)
+    ids = np.concatenate([np.minimum(rng.zipf(1.3, 60_000) + 1, 5000), *[passage] * 20, [END]])
+    rules, symbols = grammar.compress(ids, END, 5001)
+    assert max(counted(symbols.tolist()).values()) < grammar.LEAST_COUNT
+    assert grammar.lengths_of(rules, 5001).max() > 16
+
+
+def test_equal_ids_halve():
+    rules, symbols = grammar.compress(np.append(np.full(4096, 7), END), END, 10)
+    assert len(rules) <= 12 and len(symbols) <= 4
+
+
 @pytest.mark.parametrize("ids", [[], [END], [4], [4, 4, 4, 4], [END] * 9])
 def test_small_inputs(ids):
     ids = np.array(ids, dtype=np.int64)
