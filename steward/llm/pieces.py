@@ -1,17 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and its decoding.
 
 Merges wait in an agenda, the best score first and the leftmost of equals. Each one
-taken from it is skipped if a keyed hash of seed, variant, word, merge and place falls below
-the dropout rate, as if that neighbourhood had never been there. So the segmentation varies
-with seed and variant, is the same whenever it is run again, and always decodes to
-the text. With rate 0 it is the library's own.
+taken from it is skipped if a keyed hash of seed, document, the word's place in it, merge and place
+in the word falls below the dropout rate, as if that neighbourhood had never been there. So
+every occurrence of a word has draws of its own; the segmentation is the same whenever
+it is run again, and always decodes to the text. With rate 0 it is the library's own.
 
-A word's variant follows from the document's id and the word's place in it; there are
-``VARIANTS`` of them, so that a worker meets a segmentation again and need not redo it.
+A worker keeps, per word, the tree of agendas its draws have led to: a node is the merge on
+top, its two children follow from taking and from skipping it, a leaf is a segmentation. All
+occurrences in a slice of words go down their trees together, one merge at a time; those
+that leave the known part are merged anew and extend it.
 
 A null text has no ids and decodes to null; an empty text has none and decodes to the
 empty text. The mark that stands for a space is spelled in bytes where a text holds it itself.
-Repeated rows are encoded as often as they occur; extra columns are not read.
+Repeated rows are encoded as often as they occur, alike where their ids are alike, as are rows
+without an id; extra columns, whatever their names, are not read. Very long texts are worked
+off in slices of words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from pyspark.sql import functions as F
 
 from steward.llm.shared import Batches, batches_of
 
-DROPOUT, SEED, VARIANTS = 0.1, 42, 4
-WORDS_KEPT = 800_000  # per worker; results do not depend on it
+DROPOUT, SEED = 0.1, 42
+LEAVES_KEPT = 600_000  # per worker; results do not depend on it
 _MARK = "▁"
 _SHORT = 64  # characters; longer words keep their agenda in a heap, and are not remembered
 _CHARS = 1 << 20  # of texts whose words are looked up together
+_WORDS = 1 << 17  # that go down their trees together
 _MASK = (1 << 64) - 1
 _WORD = re.compile(r" *[^ ]+| +")
 
@@ -48,6 +53,82 @@ def _skipped(key: int, place: int, merge: int, bar: int) -> bool:
     return (x ^ x >> 15) < bar
 
 
+def _drawn(key: np.ndarray, place: np.ndarray, merge: np.ndarray, bar: int) -> np.ndarray:
+    """``_skipped`` for many at a time."""
+    low, of = np.uint64(0xFFFFFFFF), np.uint64
+    x = key + place.astype(np.uint64) * of(0x9E3779B1) + merge.astype(np.uint64) * of(0x85EBCA6B) & low
+    x = (x ^ x >> of(15)) * of(0x2C1B3C6D) & low
+    x = (x ^ x >> of(12)) * of(0x297A2D39) & low
+    return (x ^ x >> of(15)) < of(bar)
+
+
+def _keys(doc: object, n: int, seed: int) -> np.ndarray:
+    """A key of 32 bits for each of a document's ``n`` words."""
+    start = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), seed & _MASK))
+    x = start + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x >> np.uint64(32)
+
+
+class Trees:
+    """Per word, the agendas that draws have led to so far.
+
+    Node k offers merge ``merge[k]`` at ``place[k]``; taking it leads to node ``child[k]``, skipping it to
+    the next one. A node not reached yet has merge ``NEW``; one with nothing left to merge has
+    ``LEAF``, and ``child`` is then the number of its segmentation.
+    """
+
+    NEW, LEAF = -1, -2
+
+    def __init__(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.leaves: list[bytes] = [b""]
+        self.used = 0
+        self.place, self.child = np.zeros((2, 1 << 12), dtype=np.int32)
+        self.merge = np.full(1 << 12, self.NEW, dtype=np.int32)
+
+    def _nodes(self, n: int) -> int:
+        """The first of ``n`` new nodes."""
+        first, self.used = self.used, self.used + n
+        if self.used > len(self.merge):
+            more = max(self.used, 2 * len(self.merge)) - len(self.merge)
+            self.place, self.child = (np.append(x, np.zeros(more, dtype=np.int32)) for x in (self.place, self.child))
+            self.merge = np.append(self.merge, np.full(more, self.NEW, dtype=np.int32))
+        return first
+
+    def root(self, word: str) -> int:
+        self.roots[word] = at = self._nodes(1)
+        return at
+
+    def step(self, node: np.ndarray, place: np.ndarray, merge: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Where ``node`` leads; new ones, all of them different, get their merge and two new nodes."""
+        new = self.merge[node] == self.NEW
+        made = node[new]
+        first = self._nodes(2 * len(made))
+        self.place[made], self.merge[made] = place[new], merge[new]
+        self.child[made] = first + 2 * np.arange(len(made))
+        return self.child[node] + skip
+
+    def end(self, node: np.ndarray, found: list[bytes]) -> None:
+        self.merge[node] = self.LEAF
+        self.child[node] = len(self.leaves) + np.arange(len(found))
+        self.leaves += found
+
+    def descend(self, node: np.ndarray, going: np.ndarray, key: np.ndarray, bar: int) -> np.ndarray:
+        """Move ``node`` of those ``going`` down by their draws; gives those that came to a new node."""
+        stuck = [going[:0]]
+        while len(going):
+            at = node[going]
+            merge = self.merge[at]
+            inner = merge >= 0
+            if not inner.all():
+                stuck.append(going[merge == self.NEW])
+                going, at, merge = going[inner], at[inner], merge[inner]
+            skip = _drawn(key[going], self.place[at], merge, bar) if bar else 0
+            node[going] = self.child[at] + skip
+        return np.concatenate(stuck)
+
+
 class Pieces:
     """The vocabulary of a byte-pair model with byte fallback, and its merges."""
 
@@ -77,8 +158,7 @@ class Pieces:
         self.rank = {p: r for r, p in enumerate(best) if len(p) > 1}
         self.apart = not any(_MARK in p.lstrip(_MARK) for p in self.ids)
         self._pair_table(best)
-        self.known: dict[tuple, list[dict[str, bytes]]] = {}
-        self.held = 0
+        self.trees = Trees()
 
     def _pair_table(self, best: list[str]) -> None:
         """What ``_merged_many`` needs: numbers of characters, and the rank of each neighbour pair.
@@ -152,11 +232,14 @@ class Pieces:
                 agenda[i - 1] = rank(parts[i - 1] + joint, none)
         return parts
 
-    def _merged_many(self, words: list[str], bar: int, keys: list[int]) -> list[bytes]:
+    def _merged_many(
+        self, words: list[str], bar: int, keys: np.ndarray, trees: Trees | None = None, node: np.ndarray | None = None
+    ) -> list[bytes]:
         """Ids, as bytes, of many words of at most ``_SHORT`` characters, none of them with a mark of its own.
 
         As ``_merged``, one step of every word at a time: a row is a word, a column the place
-        of a part's first character.
+        of a part's first character. With ``trees``, what each word's draws lead to is added below
+        ``node``, its root; no two words may leave the known part at one node.
         """
         n, longest = len(words), max(map(len, words))
         padded = "".join([w.ljust(longest + 1, "\0") for w in words]).replace(" ", _MARK)
@@ -170,9 +253,8 @@ class Pieces:
         before = np.tile(np.arange(-1, longest), (n, 1))
         agenda = np.full((n, longest + 1), self.pair_rank[-1])
         agenda[:, :-1] = self._ranks(parts[:, :-1], parts[:, 1:])
-        key, none = np.array(keys, dtype=np.uint64), self.pair_rank[-1]
+        key, none = np.asarray(keys, dtype=np.uint64), self.pair_rank[-1]
         gone = np.zeros(parts.shape, dtype=bool)
-        low, of = np.uint64(0xFFFFFFFF), np.uint64
         row = np.arange(n)
         while len(row):
             i = agenda[row].argmin(axis=1)
@@ -180,14 +262,15 @@ class Pieces:
             live = merge != none
             row, i, merge = row[live], i[live], merge[live]
             if bar:
-                x = key[row] + i.astype(np.uint64) * of(0x9E3779B1) + merge.astype(np.uint64) * of(0x85EBCA6B) & low
-                x = (x ^ x >> of(15)) * of(0x2C1B3C6D) & low
-                x = (x ^ x >> of(12)) * of(0x297A2D39) & low
-                skip = (x ^ x >> of(15)) < of(bar)
+                skip = _drawn(key[row], i, merge, bar)
+                if trees:
+                    node[row] = trees.step(node[row], i, merge, skip)
                 agenda[row[skip], i[skip]] = none
                 r, i, merge = row[~skip], i[~skip], merge[~skip]
             else:
                 r = row
+                if trees:
+                    node[row] = trees.step(node[row], i, merge, np.zeros(len(row), dtype=bool))
             j, k = after[r, i], before[r, i]
             beyond = after[r, j]
             gone[r, j], agenda[r, j] = True, none
@@ -203,6 +286,8 @@ class Pieces:
                 i = int(parts[w, place])
                 ids += [i] if i < self.none else [self.byte_ids[v] for v in words[w][place].encode()]
             out[w] = np.array(ids, dtype="<u4").tobytes()
+        if trees:
+            trees.end(node, out)
         return out
 
     def _merged_long(self, parts: list[str], bar: int, key: int) -> list[str]:
@@ -232,76 +317,70 @@ class Pieces:
         parts[:] = [p for p in parts if p]
         return parts
 
-    def encode(self, text: str, rate: float = 0.0, seed: int = SEED, doc: object = None, variants: int = VARIANTS) -> np.ndarray:
+    def encode(self, text: str, rate: float = 0.0, seed: int = SEED, doc: object = None) -> np.ndarray:
         """Ids of a whole text, without any of begin or end."""
-        return self.encode_many([(doc, text)], rate, seed, variants)[0]
-
-    def encode_many(
-        self, docs: list[tuple[object, str]], rate: float = 0.0, seed: int = SEED, variants: int = VARIANTS
-    ) -> list[np.ndarray]:
-        """Ids of whole texts, each with its document's id; words new to all of them are merged together."""
-        known = self.known.setdefault((rate, seed, variants), [{} for _ in range(variants)])
-        gets = [k.get for k in known]
-        texts, asked = [], {}
+        return self.encode_many([(doc, text)], rate, seed)[0]
+
+    def encode_many(self, docs: list[tuple[object, str]], rate: float = 0.0, seed: int = SEED) -> list[np.ndarray]:
+        """Ids of whole texts, each with its document's id."""
+        words: list[str] = []
+        keys, ends = [np.zeros(0, dtype=np.uint64)], [0]
         for doc, text in docs:
-            words, which = self._words(doc, text, rate, seed, variants)
-            out = [gets[v](w) for v, w in zip(which, words, strict=True)]
-            new = [i for i, found in enumerate(out) if found is None]
-            at = [(which[i], words[i]) for i in new]
-            asked.update(dict.fromkeys(at))
-            texts.append((out, new, at))
-        learned = self._learned(list(asked), known, rate, seed)
-        ids = []
-        for out, new, at in texts:
-            for i, word in zip(new, at, strict=True):
-                out[i] = learned[word]
-            ids.append(np.frombuffer(b"".join(out), dtype="<u4"))
-        return ids
-
-    def _words(self, doc: object, text: str, rate: float, seed: int, variants: int) -> tuple[list[str], list[int]]:
-        """The words of a text, each with its space, and the variant of each."""
+            found = self._words(text)
+            words += found
+            keys.append(_keys(doc, len(found), seed))
+            ends.append(len(words))
+        key, parts = np.concatenate(keys), []
+        for at in range(0, len(words), _WORDS):
+            parts += self._segmented(words[at : at + _WORDS], rate, key[at : at + _WORDS])
+        return [np.frombuffer(b"".join(parts[a:b]), dtype="<u4") for a, b in pairwise(ends)]
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, each with its space."""
         if not text:
-            return [], []
+            return []
         spaced = " " + text
-        words = _WORD.findall(spaced) if self.apart else [spaced]
-        if not rate:
-            return words, [0] * len(words)
-        start = np.uint64(xxhash.xxh64_intdigest(str(doc).encode(), seed & _MASK))
-        x = start + np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        return words, ((x >> np.uint64(33)) % np.uint64(variants)).tolist()
-
-    def _learned(
-        self, asked: list[tuple[int, str]], known: list[dict[str, bytes]], rate: float, seed: int
-    ) -> dict[tuple[int, str], bytes]:
-        """Ids of words per variant, remembered for later texts if short."""
-        bar, out = int(rate * 2**32), {}
-        rows: dict[int, list[tuple[int, str]]] = {}
-        for pair in asked:
-            size = len(pair[1])
-            if size > _SHORT or _MARK in pair[1]:
-                key = self._key(pair, seed)
-                out[pair] = np.array(self.segment(pair[1], rate, key), dtype="<u4").tobytes()
-            else:
-                # Words of like length go together, as every row is as wide as the longest.
-                rows.setdefault(8 if size <= 8 else 12 if size <= 12 else 16 if size <= 16 else _SHORT, []).append(pair)
-        for alike in rows.values():
-            for at in range(0, len(alike), 1 << 13):
-                some = alike[at : at + (1 << 13)]
-                found = self._merged_many([w for _, w in some], bar, [self._key(p, seed) for p in some])
-                if self.held + len(some) > WORDS_KEPT:
-                    for each in self.known.values():
-                        for words in each:
-                            words.clear()
-                    self.held = 0
-                for pair, ids in zip(some, found, strict=True):
-                    out[pair] = known[pair[0]][pair[1]] = ids
-                self.held += len(some)
+        return _WORD.findall(spaced) if self.apart else [spaced]
+
+    def _segmented(self, words: list[str], rate: float, key: np.ndarray) -> list[bytes]:
+        """Ids, as bytes, of each occurrence of a word, by its own draws."""
+        trees, bar = self.trees, int(rate * 2**32)
+        if len(trees.leaves) > LEAVES_KEPT:
+            trees = self.trees = Trees()
+        get = trees.roots.get
+        roots = [get(w) for w in words]
+        alone = []
+        for k, w in enumerate(words):
+            if roots[k] is None:
+                if len(w) > _SHORT or _MARK in w:
+                    roots[k] = -1
+                    alone.append(k)
+                else:
+                    roots[k] = trees.root(w)
+        node = np.array(roots, dtype=np.int64)
+        first = node.copy()
+        going = np.flatnonzero(node >= 0)
+        while len(going):
+            stuck = trees.descend(node, going, key, bar)
+            _, one = np.unique(node[stuck], return_index=True)
+            self._grow([words[k] for k in stuck[one].tolist()], bar, key[stuck[one]], first[stuck[one]])
+            going = stuck
+        at = trees.child[node]
+        at[alone] = 0
+        out = list(map(trees.leaves.__getitem__, at.tolist()))
+        for k in alone:
+            out[k] = np.array(self.segment(words[k], rate, int(key[k])), dtype="<u4").tobytes()
         return out
 
-    @staticmethod
-    def _key(pair: tuple[int, str], seed: int) -> int:
-        return xxhash.xxh32_intdigest(pair[1].encode(), (seed * 0x10001 + pair[0]) & 0xFFFFFFFF)
+    def _grow(self, words: list[str], bar: int, key: np.ndarray, root: np.ndarray) -> None:
+        """Add what these occurrences' draws lead to; words of like length go together, as rows are as wide as the longest."""
+        size = np.array(list(map(len, words)), dtype=np.int64)
+        kind = np.searchsorted([8, 12, 16], size)
+        for k in range(4):
+            alike = np.flatnonzero(kind == k)
+            for a in range(0, len(alike), 1 << 13):
+                some = alike[a : a + (1 << 13)]
+                self._merged_many([words[i] for i in some.tolist()], bar, key[some], self.trees, root[some])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space put before the first word is taken off."""
@@ -314,7 +393,7 @@ def pieces(path: str) -> Pieces:
 
 
 def _encoded(
-    model: Pieces, rows: list[tuple[object, str | None]], rate: float, seed: int, variants: int
+    model: Pieces, rows: list[tuple[object, str | None]], rate: float, seed: int
 ) -> Iterator[np.ndarray | None]:
     """Ids of each text of ``rows``, null for null; some texts are taken at a time, a very long one by itself."""
     at = 0
@@ -324,7 +403,7 @@ def _encoded(
             held += len(rows[end][1] or "")
             end += 1
         some = rows[at:end]
-        found = iter(model.encode_many([r for r in some if r[1] is not None], rate, seed, variants))
+        found = iter(model.encode_many([r for r in some if r[1] is not None], rate, seed))
         yield from [None if text is None else next(found) for _, text in some]
         at = end
 
@@ -336,7 +415,6 @@ def encode(
     seed: int = SEED,
     id_: str = "doc_id",
     text: str = "text",
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """(id, n_tokens, ids): ids as little-endian unsigned 32-bit integers; null for a null text."""
     kind = docs.schema[id_].dataType.simpleString()
@@ -346,7 +424,7 @@ def encode(
         for whole in batches:
             for batch in batches_of(whole, 256):
                 rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                ids = list(_encoded(model_, list(rows), rate, seed, variants))
+                ids = list(_encoded(model_, list(rows), rate, seed))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -383,7 +461,6 @@ def round_trip(
     seed: int = SEED,
     id_: str = "doc_id",
     text: str = "text",
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """Per row: id, ``n_tokens``, checksums of ids and of the decoded text, and ``lossless``.
 
@@ -399,7 +476,7 @@ def round_trip(
             for batch in batches_of(whole, 256):
                 rows = []
                 given = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                for (_, text_), ids in zip(given, _encoded(model_, given, rate, seed, variants), strict=True):
+                for (_, text_), ids in zip(given, _encoded(model_, given, rate, seed), strict=True):
                     if ids is None:
                         rows.append((0, None, None, True))
                         continue
