@@ -416,7 +416,9 @@ ORACLE: dict[str, str] = {
         " WHERE replications >= 1 AND replications < threshold"
     ),
     "provider_counts": _sql("SELECT id, providers, failed FROM counts"),
+    "provider_counts_kept": _sql("SELECT id, providers, failed FROM counts"),
     "count_providers": _sql("SELECT node_id, id, replications FROM counted"),
+    "count_providers_kept": _sql("SELECT node_id, id, replications FROM counted"),
     "fold_changes": _sql("SELECT id, name, change FROM net"),
     "fold_changes_chunked": _sql("SELECT id, name, change FROM net WHERE change <> 'none'"),
     "used_bytes": _sql("SELECT node_id, used FROM used"),

@@ -329,6 +329,31 @@ def provider_counts(fx: Fixtures) -> DataFrame:
     return replication.provider_counts(fx.providers(), SINCE)
 
 
+def _kept(fx: Fixtures) -> DataFrame:
+    """Lookups kept in three batches that overlap, as they would arrive over time."""
+    root = scratch_path(fx.spark, "seen")
+    seen = fx.providers()
+    kind = F.pmod(F.xxhash64("id", "peer_id", "seen_at"), F.lit(3))
+    for batch in (0, 1, 2):
+        part = seen.filter((kind == batch) | (kind == (batch + 1) % 3))
+        tables.write_seen(replication.last_seen(part), root)
+    return tables.read_seen(fx.spark, root)
+
+
+@_query
+def provider_counts_kept(fx: Fixtures) -> DataFrame:
+    return replication.counts_kept(_kept(fx), SINCE)
+
+
+@_query
+def count_providers_kept(fx: Fixtures) -> DataFrame:
+    """Counts from kept lookups, after they were settled into one row per id and peer."""
+    root = scratch_path(fx.spark, "settled")
+    tables.write_seen(replication.settled_seen(_kept(fx), SINCE), root)
+    counts = replication.counts_kept(tables.read_seen(fx.spark, root), SINCE)
+    return replication.with_counts(fx.catalog(), counts).select("node_id", "id", "replications")
+
+
 @_query
 def count_providers(fx: Fixtures) -> DataFrame:
     return _counted(fx).select(*FLEET, "replications")

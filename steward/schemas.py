@@ -23,6 +23,18 @@ PROVIDERS = T.StructType(
     ]
 )
 
+# What is kept of lookups: per id and peer when it was last seen and last looked up, by period.
+SEEN = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("peer_id", T.StringType()),
+        T.StructField("ok_at", T.TimestampType()),
+        T.StructField("last_at", T.TimestampType()),
+        T.StructField("failed", T.BooleanType()),
+        T.StructField("period", T.IntegerType()),
+    ]
+)
+
 PINS = T.StructType(
     [
         T.StructField("node_id", T.StringType()),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, PINS, PROVIDERS
+from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, PINS, PROVIDERS, SEEN
 from steward.session import settle
 
 # Of a new catalog; it keeps the number it starts with. A bucket should suit a task.
@@ -347,6 +347,33 @@ def scan_providers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROVIDERS).parquet(path)
 
 
+def write_seen(seen: DataFrame, root: str) -> None:
+    """Add rows of ``replication.last_seen`` to those kept at ``root``, a folder per period.
+
+    Nothing kept before is read. A period with most of the rows is split over tasks and files.
+    """
+    seen.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(root)
+
+
+def read_seen(spark: SparkSession, root: str) -> DataFrame:
+    """All rows kept at ``root``; a filter by ``period`` leaves the folders of others unopened."""
+    return spark.read.schema(SEEN).parquet(root)
+
+
+def forget_seen(spark: SparkSession, root: str, period: int) -> list[int]:
+    """Delete the folders of periods before ``period`` that counts need no more; gives those."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for at in files.listStatus(top):
+        name = at.getPath().getName()
+        number = name.removeprefix("period=")
+        if name != number and number.lstrip("-").isdigit() and int(number) < period:
+            files.delete(at.getPath(), True)
+            gone.append(int(number))
+    return sorted(gone)
+
+
 def read_pins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PINS).parquet(path)
 

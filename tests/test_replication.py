@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rows import rows_of
 from steward.operators import replication
 from steward.operators.running import running, sliced
+from steward.sources import tables
 
 PROVIDER = "id string, peer_id string, seen_at timestamp, ok boolean"
 
@@ -32,6 +33,68 @@ def test_the_last_lookup_and_the_time_count(spark):
     assert got("2023-06-01 00:00:00") == [("back", 2, False), ("lost", 0, True)]
 
 
+def lookups(spark, n, seed):
+    """Random lookups over 288 days; some failed, some without peer or time, a third of one id."""
+    draw = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k))
+    hour = F.lit("2023-06-01 00:00:00").cast("timestamp") + F.make_interval(days=draw("t", 288), hours=draw("h", 24))
+    rows = spark.range(n)
+    return rows.select(
+        F.when(draw("i", 3) == 0, "hot").otherwise(F.concat(F.lit("i"), draw("j", 20))).alias("id"),
+        F.when(draw("p", 12) > 0, F.concat(F.lit("p"), draw("q", 9))).alias("peer_id"),
+        F.when(draw("n", 40) > 0, hour).alias("seen_at"),
+        F.when(draw("n", 31) > 0, draw("o", 5) > 0).alias("ok"),
+    )
+
+
+def test_kept_counts_equal_the_full_count_after_random_batches(spark, tmp_path):
+    root, settled = str(tmp_path / "seen"), str(tmp_path / "settled")
+    batches = [lookups(spark, n, seed) for n, seed in ((400, 1), (0, 2), (150, 3), (600, 4))]
+    batches.append(batches[0])  # one comes again, after later ones
+    full = None
+    for k, batch in enumerate(batches):
+        tables.write_seen(replication.last_seen(batch), root)
+        full = batch if full is None else full.unionByName(batch)
+        if k < 2:
+            continue
+        kept = tables.read_seen(spark, root)
+        for since in ("1970-01-01 00:00:00", "2023-09-30 05:00:00", "2024-04-01 00:00:00"):
+            want = rows_of(replication.provider_counts(full, since), "id", "providers", "failed")
+            assert rows_of(replication.counts_kept(kept, since), "id", "providers", "failed") == want
+    since = "2023-09-30 05:00:00"
+    tables.write_seen(replication.settled_seen(tables.read_seen(spark, root), since), settled)
+    small = tables.read_seen(spark, settled)
+    assert small.count() == small.select("id", "peer_id").distinct().count()
+    for later in (since, "2024-01-03 00:00:00"):
+        want = rows_of(replication.provider_counts(full, later), "id", "providers", "failed")
+        assert rows_of(replication.counts_kept(small, later), "id", "providers", "failed") == want
+
+
+def test_old_periods_are_neither_opened_nor_kept(spark, tmp_path):
+    root, since = str(tmp_path / "seen"), "2024-01-02 12:00:00"
+    tables.write_seen(replication.last_seen(lookups(spark, 2000, 5)), root)
+    period = spark.range(1).select(replication.period_of(F.lit(since).cast("timestamp"))).first()[0]
+    recent = replication._kept_since(tables.read_seen(spark, root), since)
+    opened = {f.split("period=")[1].split("/")[0] for f in recent.inputFiles()}
+    assert opened and recent.count() == tables.read_seen(spark, root).filter(F.col("last_at") >= since).count()
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "period#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    want = rows_of(replication.counts_kept(tables.read_seen(spark, root), since), "id", "providers", "failed")
+    gone = tables.forget_seen(spark, root, period)
+    assert gone and max(gone) < period
+    left = tables.read_seen(spark, root)
+    assert left.agg(F.min("period")).first()[0] == period
+    assert rows_of(replication.counts_kept(left, since), "id", "providers", "failed") == want
+
+
+def test_counts_reach_the_files(spark, catalog, table, tmp_path):
+    at = "timestamp'2024-01-01 00:00:00'"
+    rows = table("id string, peer_id string, ok boolean", ("x", "p", True), ("x", "q", True), ("y", "p", False))
+    tables.write_seen(replication.last_seen(rows.withColumn("seen_at", F.expr(at))), str(tmp_path))
+    counts = replication.counts_kept(tables.read_seen(spark, str(tmp_path)), "2023-01-01 00:00:00")
+    files = catalog(*[("a", i, 1, "remote", 9) for i in "xyz"])
+    assert rows_of(replication.with_counts(files, counts), "id", "replications") == [("x", 2), ("y", -1), ("z", 0)]
+
+
 def test_threshold_per_manifest(catalog, table):
     files = catalog(("a", "x", 1, "remote", 3), ("a", "y", 1, "remote", 3))
     files = files.withColumn("manifest", F.when(F.col("id") == "x", "m1").otherwise("m2"))
