@@ -67,11 +67,12 @@ def find_removed(manifest: DataFrame, catalog: DataFrame, key: Key = ("id",)) ->
 
 
 def reconcile(
-    manifest: DataFrame, catalog: DataFrame, as_of: str | Column, key: Key = ("id",)
+    manifest: DataFrame, catalog: DataFrame, as_of: str | Column, key: Key = ("id",), renamed_only: bool = False
 ) -> DataFrame:
     """Added, touched and removed rows from one full outer join.
 
-    Both sides hold one row per key, so no key can be heavier than another.
+    Both sides hold one row per key, so no key can be heavier than another. With ``renamed_only`` a row
+    that is in both is touched only if its name changes.
     """
     key = list(key)
     node = F.col("node_id") if "node_id" in manifest.columns else F.lit(None).cast("string")
@@ -80,6 +81,8 @@ def reconcile(
     )
     known = catalog.withColumn("_known", F.lit(True))
     both = known.join(listed, key, "full_outer")
+    if renamed_only:
+        both = both.filter(F.col("_known").isNull() | F.col("_listed").isNull() | ~F.col("name").eqNullSafe(F.col("_name")))
     is_new, is_gone = F.col("_known").isNull(), F.col("_listed").isNull()
     values = {
         "name": F.when(is_gone, F.col("name")).otherwise(F.col("_name")),

@@ -390,6 +390,10 @@ ORACLE: dict[str, str] = {
     ),
     "find_removed": _sql("SELECT *, 'remove' AS change FROM gone"),
     "reconcile": _sql("SELECT * FROM listed"),
+    "reconcile_kept": _sql(
+        "SELECT l.* FROM listed l LEFT JOIN catalog c ON c.id = l.id AND c.node_id = l.node_id"
+        " WHERE l.change <> 'touch' OR l.name IS DISTINCT FROM c.name"
+    ),
     "snapshot_diff": _sql(
         "SELECT id, max_by(name, path || lpad(CAST(line_no AS VARCHAR), 12, '0')) AS name, 'add' AS change"
         " FROM snapshot WHERE line_no % 10 <> 1"
@@ -505,6 +509,18 @@ ORACLE: dict[str, str] = {
         _after("imported"), "SELECT * FROM imported", _EMPTY_ROOMS, ("imported", _FIRST_IMPORT)
     ),
     "verify_catalog": _adder(_after("kept"), "SELECT * FROM kept WHERE change = 'add'", _KEPT),
+    "verify_kept": _adder(
+        f"SELECT * REPLACE (replace(name, ' ', '_') AS name) FROM ({_after('renamed')})",
+        "SELECT * FROM kept WHERE change = 'add'",
+        _KEPT,
+        _LIMITED_ROOMS,
+        (
+            "renamed",
+            """SELECT k.* REPLACE (CASE WHEN k.change = 'touch' AND k.name IS NOT DISTINCT FROM c.name
+                                       THEN c.modified ELSE k.modified END AS modified)
+               FROM kept k LEFT JOIN catalog c ON c.id = k.id AND c.node_id = k.node_id""",
+        ),
+    ),
     "verify_unpin": _sql("SELECT node_id, id FROM gone WHERE status = 'local'"),
     "verify_sweep": _adder(
         f"""

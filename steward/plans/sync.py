@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from steward.functions import ID_PATTERN
 from steward.operators.catalog import Key, latest
 from steward.operators.diff import (
+    TOUCH,
     apply_feed,
     change_class,
     feed_changes,
@@ -21,10 +22,12 @@ from steward.operators.diff import (
 )
 from steward.operators.fold import fold_changes
 from steward.operators.integrity import sweep, unpin_plan
+from steward.operators.joins import small_side
 from steward.plans.adder import FLEET_KEY, adder, apply_outcomes
 from steward.schemas import ADD, CATALOG_COLUMNS, REMOVE
 from steward.session import settle
 from steward.sources import tables, text
+from steward.sources.digests import differing, leaf_digests
 
 
 @dataclass(frozen=True)
@@ -119,6 +122,32 @@ def sync_full(
 verify_catalog = sync_full
 
 
+def reconcile_kept(
+    spark: SparkSession,
+    lines: DataFrame,
+    root: str,
+    as_of: str | Column,
+    order: tuple[str, ...],
+    key: Key = FLEET_KEY,
+    version: int | None = None,
+) -> DataFrame | None:
+    """What a manifest adds, renames and removes in the catalog kept at ``root``, or nothing if they agree.
+
+    ``lines`` are manifest lines with a ``node_id``. The manifest is digested by leaf and held against the digests kept
+    with the catalog. Only leaves that differ are joined, and only their buckets opened; where
+    none does, no data file of the catalog is. Rows that are in both under one name are not touched: their time stays.
+    """
+    kept, buckets = tables.catalog_digests(spark, root, version)
+    listed = leaf_digests(latest_line(lines, order, key), buckets)
+    differ = small_side(differing(listed, kept))
+    opened = [r[0] for r in differ.select("bucket").distinct().collect()]  # no more than there are buckets
+    if not opened:
+        return None
+    part = tables.rows_of_leaves(tables.read_catalog(spark, root, version, opened), differ, buckets)
+    manifest = latest_line(tables.rows_of_leaves(lines, differ, buckets), order, key)
+    return reconcile(manifest, part, as_of, key, renamed_only=True)
+
+
 def sync_changes(
     net: DataFrame,
     catalog: DataFrame,
@@ -235,3 +264,35 @@ def run_incremental(
     done = sync_incremental(changes, tables.read_catalog(spark, root, base), seen, text.ORDER, key, preserve)
     done, lists = _lists(done, scope, text.patch_rejects(lines, id_pattern))
     return tables.write_changes(done.changes, root, base=base, lists=lists)
+
+
+def run_verify(
+    spark: SparkSession,
+    manifest: str,
+    root: str,
+    seen: Observed,
+    scope: Scope,
+    assign: Callable[[DataFrame], DataFrame],
+    key: Key = FLEET_KEY,
+    pattern: str = text.MANIFEST_FILES,
+    id_pattern: str | None = None,
+) -> int:
+    """The periodic check of the catalog at ``root`` against the text of a manifest, by digests.
+
+    What differs is handled as a sync of changes, and renamed files follow the manifest. The lists are those of
+    ``run_full``. A manifest the catalog agrees with records nothing. Gives the version that holds then.
+    """
+    commit = tables.last_commit(spark, root)
+    base = commit.version if commit else 0
+    lines = text.scan_manifest(spark, manifest, pattern=pattern, id_pattern=id_pattern)
+    assigned = assign(lines.good)
+    feed = reconcile_kept(spark, assigned, root, seen.as_of, text.ORDER, key, base)
+    if feed is None:
+        return base
+    feed = settle(feed)
+    factors = _factors(assigned, seen, text.ORDER, key)
+    net = feed.filter(F.col("change") != TOUCH).select(*key, "name", "change")
+    done = sync_changes(net, tables.read_catalog(spark, root, base), seen, key, factors=factors)
+    done, lists = _lists(done, scope, lines.rejected)
+    renamed = feed.filter(F.col("change") == TOUCH).select(*CATALOG_COLUMNS, F.lit(False).alias("gone"))
+    return tables.write_changes(done.changes.unionByName(renamed), root, base=base, lists=lists)

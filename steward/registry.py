@@ -288,6 +288,22 @@ def reconcile(fx: Fixtures) -> DataFrame:
     return diff.reconcile(fx.manifest(), fx.catalog(), AS_OF, FLEET)
 
 
+@_query
+def reconcile_kept(fx: Fixtures) -> DataFrame:
+    """By digests, against a catalog that was written in turns, some of them wrong at first."""
+    root = scratch_path(fx.spark, "kept")
+    key = F.col("id").cast("bigint")
+    tables.write_catalog(fx.catalog().filter(key % 3 != 0), root)
+    wrong = fx.catalog().filter(key % 4 == 0).withColumn("name", F.lit("wrong"))
+    tables.write_changes(wrong.withColumn("gone", key % 3 == 2), root)
+    right = fx.catalog().filter((key % 3 == 0) | (key % 4 == 0))
+    tables.write_changes(right.withColumn("gone", F.lit(False)), root)
+    lines = fx.manifest().withColumn("line_no", F.col("id").cast("bigint"))
+    found = sync.reconcile_kept(fx.spark, lines, root, AS_OF, ("line_no",))
+    none = fx.catalog().filter("false").withColumn("change", F.lit(""))
+    return none if found is None else found
+
+
 @_query
 def snapshot_diff(fx: Fixtures) -> DataFrame:
     return diff.snapshot_diff(*_versions(fx), order=("path", "line_no"))
@@ -753,3 +769,14 @@ def patch_sweep(fx: Fixtures) -> DataFrame:
 def patch_catalog(fx: Fixtures) -> DataFrame:
     """The catalog that sync leaves: the one before, and a delta."""
     return tables.read_catalog(fx.spark, _patched(fx))
+
+
+@_query
+def verify_kept(fx: Fixtures) -> DataFrame:
+    """The catalog after a check by digests against the text of the manifest."""
+    path, root = scratch_path(fx.spark, "manifest"), scratch_path(fx.spark, "verified")
+    one_word = F.translate("name", " ", "_")
+    fx.manifest().select(F.concat("id", F.lit(" "), one_word).alias("value")).write.text(path)
+    tables.write_catalog(fx.catalog().withColumn("name", one_word), root)
+    sync.run_verify(fx.spark, path, root, _effective(fx), _scope(fx), lambda lines: _on_nodes(fx, lines), pattern="*.txt")
+    return tables.read_catalog(fx.spark, root)

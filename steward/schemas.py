@@ -84,6 +84,18 @@ COMMIT = T.StructType(
         T.StructField("bases", FOLDERS),
         T.StructField("deltas", FOLDERS),
         T.StructField("lists", T.StringType()),
+        T.StructField("digests", T.ArrayType(T.StringType())),
+    ]
+)
+
+# What the rows of a leaf of a catalog come to.
+DIGEST = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("leaf", T.IntegerType()),
+        T.StructField("held", T.LongType()),
+        T.StructField("one", T.LongType()),
+        T.StructField("other", T.LongType()),
     ]
 )
 

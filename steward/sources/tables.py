@@ -4,6 +4,7 @@ A catalog lies in buckets by the hash of its ids. A snapshot is a record of fold
 bucket and status, and deltas hold what changed since, put or gone, by bucket. A reader takes the last change of a
 key, and its base row where there is none; so a few changes write a few small files, open no more than
 the buckets of their ids, and leave all else in place. ``compact`` makes new bases of buckets with many deltas.
+With each snapshot go digests of its leaves, kept up by every write, which tell where another list of files differs.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, PINS, PROVIDERS, SEEN
+from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, DIGEST, PINS, PROVIDERS, SEEN
 from steward.session import settle
+from steward.sources.digests import bucket_of, combined, leaf_digests, placed
 
 # Of a new catalog; it keeps the number it starts with. A bucket should suit a task.
 BUCKETS = 16
@@ -41,11 +43,6 @@ class Commit(NamedTuple):
     batch: int | None
 
 
-def bucket_of(ids: Column, buckets: int) -> Column:
-    """Where rows of an id lie; the same on all nodes, so that a change without node finds them."""
-    return F.pmod(F.xxhash64(ids), F.lit(buckets)).cast("int")
-
-
 def _commits(root: str) -> str:
     return f"{root}/commits"
 
@@ -174,6 +171,36 @@ def touched_buckets(spark: SparkSession, root: str, ids: DataFrame, version: int
     return sorted(r[0] for r in ids.select(bucket_of(F.col("id"), buckets)).distinct().collect())
 
 
+def catalog_digests(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, int]:
+    """(digests of the leaves of a snapshot, its number of buckets); no data file of the catalog is opened.
+
+    A snapshot recorded without digests has them made from its rows.
+    """
+    state = _state(spark, root, version)
+    if state is None:
+        return spark.createDataFrame([], DIGEST), BUCKETS
+    if state["digests"] is None:
+        return leaf_digests(_merged(spark, root, state), state["buckets"]), state["buckets"]
+    return _digests(spark, root, state["digests"]), state["buckets"]
+
+
+def _digests(spark: SparkSession, root: str, folders: Sequence[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], DIGEST)
+    return combined(spark.read.schema(DIGEST).parquet(*[f"{root}/{f}" for f in folders]))
+
+
+def _write_digests(digests: DataFrame, root: str, folder: str) -> str:
+    name = f"digests-{folder}"
+    digests.write.parquet(f"{root}/{name}")
+    return name
+
+
+def rows_of_leaves(rows: DataFrame, leaves: DataFrame, buckets: int) -> DataFrame:
+    """Those ``rows`` that lie in some leaves; ``leaves`` is a small table of bucket and leaf."""
+    return placed(rows, buckets).join(leaves, ["bucket", "leaf"], "left_semi").drop("bucket", "leaf")
+
+
 def _base_version(spark: SparkSession, root: str, base: int | None) -> int:
     commit = last_commit(spark, root)
     newest = commit.version if commit else 0
@@ -261,14 +288,16 @@ def write_catalog(
     made = [folder]
     try:
         _write_base(catalog, f"{root}/{folder}", buckets)
-        _check_keys(_folders(spark, root, _BASE, bases, None), key)
+        stored = _folders(spark, root, _BASE, bases, None)
+        _check_keys(stored, key)
+        made.append(_write_digests(leaf_digests(stored, buckets), root, folder))
         made.append(_write_lists(root, version, lists))
     except Exception:
         _discard(spark, root, made)
         raise
     record = {
         "version": version, "batch": batch, "source": source, "files": [], "buckets": buckets, "bases": bases, "deltas": [],
-        "lists": made[1],
+        "lists": made[2], "digests": [made[1]],
     }
     return _keep(spark, root, record, made)
 
@@ -290,23 +319,30 @@ def write_changes(
     """
     spark = changes.sparkSession
     newest = _base_version(spark, root, base)
-    state = _state(spark, root, newest) or {"buckets": BUCKETS, "bases": [], "deltas": []}
+    state = _state(spark, root, newest) or {"buckets": BUCKETS, "bases": [], "deltas": [], "digests": []}
     rows = settle(changes.select(*CATALOG_COLUMNS, GONE, bucket_of(F.col("id"), state["buckets"]).alias("bucket")))
     _check_keys(rows, ("node_id", "id"))
     touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
     version = newest + 1
-    deltas, made = list(state["deltas"]), [None, None]
+    deltas, digests, made = list(state["deltas"]), state["digests"], [None, None, None]
     try:
         if touched:
             made[0] = _new_folder(version)
             ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "id")
             ordered.write.partitionBy("bucket").parquet(f"{root}/{made[0]}")
             deltas.append({"folder": made[0], "buckets": touched})
+            if digests is not None:
+                before = _merged(spark, root, state, touched).join(rows.select("node_id", "id"), ["node_id", "id"], "left_semi")
+                turned = leaf_digests(rows.filter(~F.col(GONE)), state["buckets"]).unionByName(
+                    leaf_digests(before, state["buckets"], sign=-1)
+                )
+                made[2] = _write_digests(combined(turned), root, made[0])
+                digests = [*digests, made[2]]
         made[1] = _write_lists(root, version, lists)
     except Exception:
         _discard(spark, root, made)
         raise
-    record = {**state, "version": version, "batch": batch, "source": source, "files": list(files), "deltas": deltas, "lists": made[1]}
+    record = {**state, "version": version, "batch": batch, "source": source, "files": list(files), "deltas": deltas, "lists": made[1], "digests": digests}
     return _keep(spark, root, record, made)
 
 
@@ -323,14 +359,18 @@ def compact(spark: SparkSession, root: str, least: int = 8) -> list[int]:
     version = newest + 1
     folder = _new_folder(version)
     _write_base(_merged(spark, root, state, full), f"{root}/{folder}", state["buckets"])
+    made, digests = [folder], state["digests"]
+    if digests is not None:
+        made.append(_write_digests(_digests(spark, root, digests), root, folder))
+        digests = made[1:]
 
     def without(folders: list[dict]) -> list[dict]:
         left = [{**f, "buckets": [b for b in f["buckets"] if b not in full]} for f in folders]
         return [f for f in left if f["buckets"]]
 
     bases = [*without(state["bases"]), {"folder": folder, "buckets": full}]
-    record = {**state, "version": version, "batch": None, "source": None, "files": [], "bases": bases, "deltas": without(state["deltas"]), "lists": None}
-    _keep(spark, root, record, [folder])
+    record = {**state, "version": version, "batch": None, "source": None, "files": [], "bases": bases, "deltas": without(state["deltas"]), "lists": None, "digests": digests}
+    _keep(spark, root, record, made)
     return full
 
 
