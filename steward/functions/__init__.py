@@ -1,6 +1,7 @@
 """Column expressions shared by the jobs."""
 
 from steward.functions.expr import (  # noqa: F401
+    ID_DECODED,
     ID_PATTERN,
     activation_energy,
     change_of,

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from steward.functions.cid import decoded
 from steward.schemas import ADD, REMOVE
 
 # The two textual forms of a content id. This is a syntax check, not a
 # decoder: it lets some strings through that a decoder would refuse.
 ID_PATTERN = "^(Qm[1-9A-HJ-NP-Za-km-z]{44}|b[a-z2-7]{58,})$"
 
+# In place of a pattern: the id is decoded, in any of its bases.
+ID_DECODED = "decoded"
+
 # Byte units, decimal and binary, in lower case.
 BYTE_UNITS = {
     "": 1,
@@ -44,7 +48,8 @@ def strip_op(field: Column) -> Column:
 
 
 def valid_id(column: Column, pattern: str = ID_PATTERN) -> Column:
-    return column.rlike(pattern)
+    """Whether an id fits a pattern or, with ``ID_DECODED``, is a content id that can be decoded; a null then is none."""
+    return decoded(column).isNotNull() if pattern == ID_DECODED else column.rlike(pattern)
 
 
 def change_of(line: Column) -> Column:

@@ -366,6 +366,15 @@ ORACLE: dict[str, str] = {
                   WHEN 2 THEN 'Qm' || replace(substr(d, 1, 44), '0', 'G')
                   ELSE substr('Qm' || replace(d, '0', 'G'), 1, 20) END AS id
               FROM (SELECT doc_id, sha256(text) AS d FROM documents))""",
+    "decoded_ids": """
+        SELECT doc_id, id, CASE WHEN whole THEN 1 END AS version, CASE WHEN whole THEN '55' END AS codec,
+               CASE WHEN whole THEN '12' END AS hash, CASE WHEN whole THEN d END AS digest
+        FROM (SELECT doc_id, d, doc_id % 6 < 4 AS whole,
+                CASE doc_id % 6 WHEN 0 THEN 'f' || raw WHEN 1 THEN 'F' || upper(raw) WHEN 2 THEN 'm' || b64
+                  WHEN 3 THEN 'u' || translate(b64, '+/', '-_') WHEN 4 THEN 'f' || substr(raw, 1, 70)
+                  ELSE 'f' || raw || '00' END AS id
+              FROM (SELECT *, rtrim(to_base64(unhex(raw)), '=') AS b64
+                    FROM (SELECT doc_id, d, '01551220' || d AS raw FROM (SELECT doc_id, sha256(text) AS d FROM documents))))""",
     "catalog_lookup": _sql(
         "SELECT c.node_id, a.id, c.name, c.size, c.status, c.modified, c.replications,"
         " c.id IS NOT NULL AS found FROM asked a LEFT JOIN catalog c ON a.id = c.id"

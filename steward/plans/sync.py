@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steward.functions import ID_PATTERN
+from steward.functions import ID_DECODED
 from steward.operators.catalog import Key, latest
 from steward.operators.diff import (
     TOUCH,
@@ -253,7 +253,7 @@ def run_incremental(
     assign: Callable[[DataFrame], DataFrame],
     key: Key = FLEET_KEY,
     pattern: str = "*",
-    id_pattern: str = ID_PATTERN,
+    id_pattern: str = ID_DECODED,
     preserve: bool = False,
 ) -> int:
     """As ``run_full`` from the text of a patch; only the rows that change are written."""

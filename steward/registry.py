@@ -16,6 +16,7 @@ from steward.functions import (
     strip_op,
     valid_id,
 )
+from steward.functions.cid import decoded
 from steward.operators import catalog as cat
 from steward.operators import diff, fold, integrity, nodes, placement, replication
 from steward.plans import adder as adding
@@ -238,6 +239,25 @@ def valid_ids(fx: Fixtures) -> DataFrame:
     return ids.withColumn("valid", valid_id(F.col("id")))
 
 
+@_query
+def decoded_ids(fx: Fixtures) -> DataFrame:
+    """The documents' digests as ids in several bases, some of them cut short, and decoded again."""
+    digest = F.sha2("text", 256)
+    raw = F.concat(F.lit("01551220"), digest)
+    b64 = F.rtrim(F.base64(F.unhex(raw)), F.lit("="))
+    kind = F.col("doc_id") % 6
+    id_ = (
+        F.when(kind == 0, F.concat(F.lit("f"), raw))
+        .when(kind == 1, F.concat(F.lit("F"), F.upper(raw)))
+        .when(kind == 2, F.concat(F.lit("m"), b64))
+        .when(kind == 3, F.concat(F.lit("u"), F.translate(b64, "+/", "-_")))
+        .when(kind == 4, F.concat(F.lit("f"), F.substring(raw, 1, 70)))
+        .otherwise(F.concat(F.lit("f"), raw, F.lit("00")))
+    )
+    ids = fx.table("documents").select("doc_id", id_.alias("id"))
+    return ids.withColumn("d", decoded(F.col("id"))).select("doc_id", "id", "d.version", "d.codec", "d.hash", "d.digest")
+
+
 @_query
 def catalog_lookup(fx: Fixtures) -> DataFrame:
     return cat.lookup(fx.catalog(), _asked(fx))

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steward.functions import ID_PATTERN, change_of, field, strip_op, valid_id
+from steward.functions import ID_DECODED, ID_PATTERN, change_of, field, strip_op, valid_id
 
 ORDER = ("path", "block_start", "k")
 
@@ -71,7 +71,7 @@ def scan_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def quarantine_lines(lines: DataFrame, id_pattern: str | None = None) -> Lines:
     """Split lines into (id, name) rows and rejects with a reason.
 
-    Ids are only checked when a pattern is given.
+    Ids are only checked when a pattern is given, or ``ID_DECODED``.
     """
     value = F.col("value")
     read = lines.withColumn("id", field(value, 0)).withColumn("name", field(value, 1))
@@ -98,10 +98,11 @@ def scan_manifest(
     return quarantine_lines(lines, id_pattern)
 
 
-def parse_patch(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
+def parse_patch(lines: DataFrame, id_pattern: str = ID_DECODED) -> DataFrame:
     """Added and removed files from the lines of a unified diff.
 
-    Context lines, headers and anything whose first field is no id are dropped.
+    Context lines, headers and anything whose first field is no id are dropped. Ids are decoded, in any
+    base, or held against a pattern where one is given.
     """
     value = F.col("value")
     others = [c for c in lines.columns if c != "value"]
@@ -113,7 +114,7 @@ def parse_patch(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
     )
 
 
-def patch_rejects(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
+def patch_rejects(lines: DataFrame, id_pattern: str = ID_DECODED) -> DataFrame:
     """Lines of a diff that add or remove something ``parse_patch`` refuses, with a reason."""
     value = F.col("value")
     id_, name = strip_op(field(value, 0)), field(value, 1)
@@ -123,6 +124,6 @@ def patch_rejects(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
 
 
 def scan_patch(
-    spark: SparkSession, path: str, id_pattern: str = ID_PATTERN, pattern: str = "*"
+    spark: SparkSession, path: str, id_pattern: str = ID_DECODED, pattern: str = "*"
 ) -> DataFrame:
     return parse_patch(scan_lines(spark, path, pattern), id_pattern)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from steward.functions import ID_PATTERN
+from steward.functions import ID_DECODED
 from steward.operators.catalog import Key, latest
 from steward.operators.diff import feed_changes
 from steward.operators.fold import NONE, fold_changes
@@ -98,7 +98,7 @@ def stream_changes(
     root: str,
     as_of: Callable[[int], str],
     key: Key = ("node_id", "id"),
-    id_pattern: str = ID_PATTERN,
+    id_pattern: str = ID_DECODED,
     pattern: str = "*.patch",
     assign: Callable[[DataFrame], DataFrame] | None = None,
     source: str = "patches",

@@ -1,14 +1,15 @@
-import pytest
-
+import base64
 import random
 
+import pytest
+
 from rows import rows_of
 from steward.operators.diff import latest_line
 from steward.operators.fold import fold_changes
 from steward.sources import text
 
 QM = "Qm" + "a" * 44
-B32 = "b" + "a" * 58
+B32 = "b" + base64.b32encode(b"\x01\x55\x12\x20" + b"a" * 32).decode().lower().rstrip("=")
 
 
 def write(root, files):
