@@ -4,8 +4,9 @@ Every version of a file is addressed by the digest of its content, so one conten
 however many paths and versions hold it. The ledger records which blob has been scanned
 under which version of which rule, and what was found. A scan reads the text of those blobs alone
 for which a pair of blob and rule version is missing; findings are then joined back to all
-paths. Findings are written before the record of the scan, so a job that fails between
-the two scans again and finds the same.
+paths. The ledger also keeps which paths have ever held which blob, so that a secret is reported at a path
+whose content has changed since. Findings and paths are written before the record of the scan, so a job that fails between
+them scans again and finds the same.
 
 Matches are found leftmost first, without overlap, per rule: ``split`` gives the lengths of
 what lies between matches and ``regexp_extract_all`` the matches, and running sums over both give
@@ -81,7 +82,7 @@ def versions(files: DataFrame, path: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def _read(spark: SparkSession, ledger: str, name: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, ledger: str, name: str, schema: str | T.StructType) -> DataFrame:
     """A table of the ledger; one that was never written is empty."""
     path = os.path.join(ledger, name)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -141,10 +142,27 @@ def scan(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: s
     placed = hits.select("blob", "hit.*", end.alias("end")).filter("good")
     found = placed.select("blob", "rule", (F.col("end") - F.col("size")).alias("start"), "end").distinct()
     found.write.mode("append").parquet(os.path.join(ledger, "found"))
+    _keep_paths(paths, ledger)
     due.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(os.path.join(ledger, "scanned"))
     return paths
 
 
+def _keep_paths(paths: DataFrame, ledger: str) -> None:
+    """Add the pairs of path and blob that the ledger does not know yet."""
+    known = _read(paths.sparkSession, ledger, "paths", paths.schema)
+    same = paths["path"].eqNullSafe(known["path"]) & (paths["blob"] == known["blob"])
+    paths.join(known, same, "left_anti").distinct().write.mode("append").parquet(os.path.join(ledger, "paths"))
+
+
+def history(files: DataFrame, ledger: str, path: str = "doc_id") -> DataFrame:
+    """(path, blob) of every version any scan into the ledger has seen, each once; ``by_path`` adds what was found.
+
+    Of ``files`` only the type of ``path`` is taken.
+    """
+    kind = T.StructType([T.StructField("path", files.schema[path].dataType), T.StructField("blob", T.BinaryType())])
+    return _read(files.sparkSession, ledger, "paths", kind).distinct()
+
+
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, spans) of the current rule versions; spans sorted by start, then by rule."""
     number = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])

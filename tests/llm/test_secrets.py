@@ -92,6 +92,26 @@ def test_only_unseen_pairs_are_scanned(spark, documents, tmp_path):
     assert due() == before
 
 
+def test_history_keeps_paths_whose_content_has_changed(documents, tmp_path):
+    """A secret taken out of a file, a file that is gone, a null path: all are still reported, each version once."""
+    ledger = str(tmp_path / "ledger")
+    first = documents((1, f"a {KEY}"), (2, "b"), (2, "b"), (None, f"a {KEY}"))
+    assert secrets.history(first, ledger).isEmpty()
+    for _ in range(2):
+        secrets.scan(first, ledger)
+    later = documents((1, "a"), (3, f"a {KEY}"), (None, f"a {KEY}"))
+    now = secrets.scan(later, ledger)
+    hit = "access:2:22"
+    assert spans_of(secrets.by_path(now, ledger)) == [("1", ""), ("3", hit), ("None", hit)]
+    past = secrets.history(later, ledger)
+    assert past.dtypes == [("path", "bigint"), ("blob", "binary")]
+    assert spans_of(secrets.by_path(past, ledger)) == [("1", ""), ("1", hit), ("2", ""), ("3", hit), ("None", hit)]
+    # A new rule finds in blobs of this scan alone; what it would find in texts that are gone nobody can tell.
+    rules = (*secrets.RULES, secrets.Rule("letter", 1, "^[ab]"))
+    secrets.scan(later, ledger, rules)
+    assert ("1", "letter:0:1,access:2:22") in spans_of(secrets.by_path(secrets.history(later, ledger), ledger, rules))
+
+
 def test_no_rows(documents, tmp_path):
     ledger = str(tmp_path / "ledger")
     docs = documents((1, "x")).filter("false")
