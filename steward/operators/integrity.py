@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steward.schemas import LOCAL
 from steward.session import BROADCAST_ROWS, laid_out, settle
+from steward.sources.tables import read_digests
 
 # The union of settled rounds is settled again after this many, to keep its plan short.
 ROUNDS_PER_PLAN = 8
@@ -135,13 +136,15 @@ def verify_blocks(
 ) -> DataFrame:
     """Ids of blocks whose content is gone or does not match its digest.
 
-    Contents are hashed where they are read; only ids and digests are joined. With
+    Contents are hashed where they are read; only ids and digests are joined. ``stored`` may come with digests
+    in place of contents, as ``kept_digests`` gives them. With
     ``pins`` and ``links`` only blocks under a pin are looked at, and the id given is
     that of the bad block, not of the pin. Where the tables have a ``node_id``, each node's
     copy is judged by itself.
     """
     key = _key(stored, expected) if pins is None else _key(stored, expected, pins)
-    actual = stored.select(*key, F.sha2(F.col("content").cast("binary"), 256).alias("_actual"))
+    content = F.sha2(F.col("content").cast("binary"), 256) if "content" in stored.columns else F.col("digest")
+    actual = stored.select(*key, content.alias("_actual"))
     wanted = expected.select(*key, "digest")
     if pins is not None:
         watched = pins.select(*key)
@@ -154,6 +157,42 @@ def verify_blocks(
     return bad.select(*key).distinct()
 
 
+def kept_digests(stored: DataFrame, root: str) -> DataFrame:
+    """The blocks of ``stored`` with their ``digest``; only contents that the ledger at ``root`` lacks are read.
+
+    ``stored`` has size, modified and content, as the table of a node's blocks or a scan of its files as binary ones
+    (``length`` and ``modificationTime`` renamed; such a scan leaves out empty files). The ledger knows a block by node, cid, size and time, so a block that
+    was written anew is read again; one that changed without either shows only to a verification without ledger. What is
+    unseen spans a range of times and sizes, and that range reaches the scan: files or row groups outside it are not
+    opened, and where nothing is unseen no content is. Contents are hashed before the join. A block whose content is
+    null has no digest and is read each time; a null size or time is one like others; a block listed twice under one size and time must have one content.
+    """
+    spark, key = stored.sparkSession, _key(stored)
+    known = read_digests(spark, root)
+    node = F.col("node_id") if "node_id" in key else F.lit("")
+    slim = ["node_id", "cid", "size", "modified"]
+    listed = stored.select(node.alias("node_id"), "cid", "size", "modified").distinct()
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({c: f"_{c}" for c in slim})
+
+    sure = [F.col(c) == F.col(f"_{c}") for c in ("node_id", "cid")]
+    same = [*sure, *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("size", "modified")]]
+    due = settle(listed.join(named(known).drop("digest"), same, "left_anti"))
+    unsure = F.col("size").isNull() | F.col("modified").isNull()
+    ends = [f(c) for c in ("modified", "size") for f in (F.min, F.max)]
+    since, until, least, most, some_unsure = due.agg(*ends, F.max(unsure)).first()
+    if some_unsure is not None:
+        within = F.col("modified").between(since, until) & F.col("size").between(least, most)
+        if some_unsure:
+            within = within | unsure
+        digest = F.sha2(F.col("content").cast("binary"), 256).alias("digest")
+        read = stored.filter(within).select(node.alias("node_id"), "cid", "size", "modified", digest)
+        found = read.join(named(due), same).select(*slim, "digest")
+        found.filter(F.col("digest").isNotNull()).distinct().write.mode("append").parquet(root)
+    return listed.join(named(read_digests(spark, root)), same, "left").select(*key, "size", "modified", "digest")
+
+
 def distinct_bad(verdicts: DataFrame) -> DataFrame:
     """Each bad block once, from rows of a pin and its array of bad nodes."""
     return verdicts.select(F.explode("bad_nodes").alias("cid")).distinct()

@@ -575,6 +575,7 @@ ORACLE: dict[str, str] = {
         recursive=WALK.replace("FROM rooms", "FROM widened"),
     ),
     "verify_blocks": _sql("SELECT cid FROM bad"),
+    "verify_twice": _sql("SELECT cid FROM bad"),
     "verify_pinned": _sql(
         "SELECT cid FROM bad WHERE cid IN (SELECT child FROM shelf_links"
         " WHERE parent LIKE 'src-src1%' OR parent IN ('lang-fr', 'lang-es'))",

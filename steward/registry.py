@@ -672,6 +672,19 @@ def verify_blocks(fx: Fixtures) -> DataFrame:
     return integrity.verify_blocks(fx.blocks(), fx.blocks())
 
 
+@_query
+def verify_twice(fx: Fixtures) -> DataFrame:
+    """With a ledger of digests: some blocks are seen empty first, then whole, and the rest for the first time."""
+    number = F.substring_index("cid", "-", -1).cast("bigint")
+    early = F.col("cid").isNotNull() & (number % 3 == 0)
+    blocks = fx.blocks().withColumn("size", F.octet_length("content").cast("bigint"))
+    first = blocks.filter(early).withColumn("content", F.lit("")).withColumn("modified", cat.timestamp("2024-01-01"))
+    day = F.when(early, cat.timestamp("2024-01-03")).otherwise(cat.timestamp("2024-01-02"))
+    root = scratch_path(fx.spark, "digests")
+    integrity.kept_digests(first, root)
+    return integrity.verify_blocks(integrity.kept_digests(blocks.withColumn("modified", day), root), blocks)
+
+
 @_query
 def verify_pinned(fx: Fixtures) -> DataFrame:
     return integrity.verify_blocks(fx.blocks(), fx.blocks(), fx.shelf_pins(), fx.shelf_links())

@@ -88,6 +88,17 @@ COMMIT = T.StructType(
     ]
 )
 
+# Digests of blocks by node, id, size and time.
+DIGESTS = T.StructType(
+    [
+        T.StructField("node_id", T.StringType()),
+        T.StructField("cid", T.StringType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
+        T.StructField("digest", T.StringType()),
+    ]
+)
+
 # What the rows of a leaf of a catalog come to.
 DIGEST = T.StructType(
     [

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, DIGEST, PINS, PROVIDERS, SEEN
+from steward.schemas import CATALOG, CATALOG_COLUMNS, COMMIT, DIGEST, DIGESTS, PINS, PROVIDERS, SEEN
 from steward.session import settle
 from steward.sources.digests import bucket_of, combined, leaf_digests, placed
 
@@ -414,6 +414,16 @@ def forget_seen(spark: SparkSession, root: str, period: int) -> list[int]:
     return sorted(gone)
 
 
+def read_digests(spark: SparkSession, root: str) -> DataFrame:
+    """Digests of blocks kept at ``root``, each once though a job that failed may have added some twice; none at first."""
+    try:
+        return spark.read.schema(DIGESTS).parquet(root).distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], DIGESTS)
+
+
 def read_pins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PINS).parquet(path)
 

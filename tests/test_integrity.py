@@ -1,5 +1,8 @@
+import datetime
 import hashlib
+import os
 
+from pyspark.sql import functions as F
 from rows import rows_of
 from steward.operators import integrity
 
@@ -117,3 +120,59 @@ def test_links_are_laid_out_once(table, spark):
     joined = links.join(found.hint("shuffle_merge"), "parent", "left_semi")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1, plan  # of what was found alone
+
+
+def test_contents_are_read_once(table, spark, tmp_path):
+    """Files of a node: a second run reads none, a new or changed one is read, others stay unopened."""
+    folder, root = tmp_path / "files", str(tmp_path / "ledger")
+    folder.mkdir()
+
+    def put(name, content, time):
+        (folder / name).write_bytes(content)
+        os.utime(folder / name, (time, time))
+
+    def run():
+        files = spark.read.format("binaryFile").load(str(folder))
+        stored = files.select(
+            F.lit("n").alias("node_id"), F.element_at(F.split("path", "/"), -1).alias("cid"), F.col("length").alias("size"),
+            F.col("modificationTime").alias("modified"), "content",
+        )
+        return dict(rows_of(integrity.kept_digests(stored, root), "cid", "digest"))
+
+    def digest(content):
+        return hashlib.sha256(content).hexdigest()
+
+    put("a", b"one", 1_000_000)
+    put("b", b"two", 1_000_000)
+    want = {"a": digest(b"one"), "b": digest(b"two")}
+    assert run() == want
+    os.chmod(folder / "a", 0)
+    before = spark.read.parquet(root).count()
+    assert run() == want and spark.read.parquet(root).count() == before == 2
+    # The bytes of "a" change, not its size or time: had it been opened, its digest would tell.
+    os.chmod(folder / "a", 0o600)
+    put("a", b"ONE", 1_000_000)
+    put("c", b"three", 2_000_000)
+    assert run() == {**want, "c": digest(b"three")}
+    put("a", b"ONE", 3_000_000)
+    now = run()
+    assert now == {"a": digest(b"ONE"), "b": digest(b"two"), "c": digest(b"three")}
+    # What a job wrote twice before it failed counts once; a file that is gone is not listed.
+    spark.read.parquet(root).write.mode("append").parquet(root + "-copy")
+    spark.read.parquet(root + "-copy").write.mode("append").parquet(root)
+    (folder / "b").unlink()
+    del now["b"]
+    assert run() == now
+
+
+def test_kept_digests_without_nodes_and_with_nulls(table, tmp_path):
+    schema = "cid string, size bigint, modified timestamp, content binary"
+    then = datetime.datetime(2024, 1, 1)
+    rows = [("x", 1, then, b"x"), ("x", 1, then, b"x"), ("void", 0, then, None), ("late", 1, None, b"l")]
+    stored, root = table(schema, *rows), str(tmp_path / "ledger")
+    assert integrity.kept_digests(stored.filter("false"), root).isEmpty()
+    for _ in range(2):
+        got = dict(rows_of(integrity.kept_digests(stored, root), "cid", "digest"))
+        assert got == {"x": hashlib.sha256(b"x").hexdigest(), "void": None, "late": hashlib.sha256(b"l").hexdigest()}
+    expected = table("cid string, digest string", ("x", hashlib.sha256(b"x").hexdigest()), ("gone", "00"))
+    assert rows_of(integrity.verify_blocks(integrity.kept_digests(stored, root), expected)) == [("gone",)]
