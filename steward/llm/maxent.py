@@ -1,8 +1,7 @@
 """Language-model scores of documents by a hashed maximum-entropy model.
 
-A token is a word, with A-Z lower-cased, or the end of its document. Words are hashed to
-1,024 symbols by their last two bytes, as endings tell language and kind of a word, rare ones too; symbols
-are dealt by falling frequency into 32 classes of 32. A token has the probability
+A token is a word, with A-Z lower-cased, or the end of its document. Whole words are hashed to
+1,024 symbols; symbols are dealt by falling frequency into 32 classes of 32. A token has the probability
 
     P(class | history) * P(symbol | class, history) * P(word | symbol)
 
@@ -43,7 +42,6 @@ from steward.session import scratch_path
 END = b"\n"  # no word holds white space
 
 CLASSES = PLACES = 32
-ENDING = 2  # bytes
 SYMBOLS = CLASSES * PLACES
 START = SYMBOLS - 1  # before a document; shares its rows with the rarest symbol
 
@@ -88,7 +86,7 @@ class Codes(dict):
 
 
 def symbol_of(word: bytes) -> int:
-    return crc32(word[-ENDING:]) % SYMBOLS
+    return crc32(word) % SYMBOLS
 
 
 class Block:

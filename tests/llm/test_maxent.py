@@ -128,3 +128,12 @@ def test_training_raises_the_likelihood_and_means_are_weighted():
     mean = me._mean((pa.scalar(0), pa.scalar(0)), group)
     assert mean["row"].to_pylist() == [7, 8] and mean["visits"].to_pylist() == [3, 5]
     assert [np.frombuffer(a, "<f2")[0] for a in mean["added"].to_pylist()] == [2, 2]
+
+
+def test_words_of_one_ending_are_told_apart(documents):
+    """What follows a word depends on the whole word."""
+    taught = [(i, "walking left" if i % 2 else "talking right") for i in range(2000)]
+    asked = [(-1, "walking left"), (-2, "walking right"), (-3, "talking right"), (-4, "talking left")]
+    rows = me.score(documents(*taught, *asked), held=F.col("doc_id") < 0).filter("held_out").collect()
+    score = {r.doc_id: r.score for r in rows}
+    assert min(score[-1], score[-3]) > max(score[-2], score[-4]) + 0.5, score
