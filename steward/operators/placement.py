@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,28 +134,86 @@ def first_fit(sizes: list[int], room: int) -> list[bool]:
     return fits
 
 
-def _walk(placed: DataFrame, order: Sequence[str]) -> DataFrame:
-    order = list(order)
+Step = Callable[[pa.Table, list[tuple[int, int]]], pa.Table]
+
+
+def _runs(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> list[tuple[int, int]]:
+    """From where to where rows have the same keys."""
+    found = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
+    starts = [i for i, key in enumerate(found) if not i or key != found[i - 1]]
+    return list(zip(starts, [*starts[1:], len(found)], strict=True))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], step: Step) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows, cut anew so that none ends within a group."""
+    held: list[pa.RecordBatch] = []  # the last group, which may go on
+    last = None
+
+    def done(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if pieces:
+            table = pa.Table.from_batches(pieces)
+            yield from step(table, _runs(table, keys)).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = _runs(batch, keys)[-1][0]
+        first, end = (tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, start))
+        if first != last:
+            yield from done(held)
+            held = []
+        if start:
+            yield from done([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+        last = end
+    yield from done(held)
+
+
+def _by_group(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str | T.StructType) -> DataFrame:
+    """``step`` for all groups, many at a time: small groups have no call and no batch each.
+
+    It gets a table of whole groups, the rows of each in order, and where each starts and ends.
+    """
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(lambda batches: _whole_groups(batches, keys, step), schema)
 
-    def per_node(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable", na_position="first")
-        room = int(group["_room"].iloc[0])
-        return group.assign(fits=first_fit(group["size"].tolist(), room))
+
+def _first_fits(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Array:
+    """``first_fit`` of each group, in the room its first row has."""
+    sizes, rooms = table.column("size").to_pylist(), table.column("_room").to_pylist()
+    return pa.array([fit for a, b in groups for fit in first_fit(sizes[a:b], rooms[a])], pa.bool_())
+
+
+def _walk(placed: DataFrame, order: Sequence[str]) -> DataFrame:
+    def step(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        return table.append_column("fits", _first_fits(table, groups))
 
     schema = T.StructType([*placed.schema.fields, T.StructField("fits", T.BooleanType())])
-    return placed.groupBy("node_id").applyInPandas(per_node, schema)
+    return _by_group(placed, ["node_id"], order, step, schema)
 
 
 # Candidates of long nodes are stored in at most so many parts, of which a round opens some.
 PARTS = 1024
 
+_INDEX = "node_id string, _slice_no bigint, _class bigint, _bytes bigint, _need bigint"
 _SPANS = "node_id string, _from bigint, _to bigint, _cut bigint, _open bigint, _room bigint"
 
 
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    """A table of these rows, whose first column is text and all others numbers."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    kinds = [pa.string(), *[pa.int64()] * (len(names) - 1)]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+_POWERS = np.array([1 << k for k in range(63)], dtype=np.int64)
+
+
 def size_class(sizes: np.ndarray) -> np.ndarray:
     """0 for 0, and k for sizes from 2^(k-1) to 2^k - 1."""
-    powers = np.array([1 << k for k in range(63)], dtype=np.int64)
-    return np.searchsorted(powers, sizes, side="right")
+    return np.searchsorted(_POWERS, sizes, side="right")
 
 
 def index_of(sizes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -216,41 +274,34 @@ def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int, opened: li
     numbered.repartition("_part").sortWithinPartitions("_part", "node_id", "_pos").write.partitionBy("_part").parquet(path)
     files = spark.read.schema(numbered.schema).parquet(path)
 
-    def per_slice(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = index_of(group.sort_values("_pos")["size"].to_numpy(dtype=np.int64))
-        return pd.DataFrame([(keys[0], keys[1], *f) for f in found], columns=["node_id", "_slice_no", "_class", "_bytes", "_need"])
+    def per_slice(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        nodes, slices = table.column("node_id").to_pylist(), table.column("_slice_no").to_pylist()
+        sizes = table.column("size").to_numpy()
+        return _rows([(nodes[a], slices[a], *f) for a, b in groups for f in index_of(sizes[a:b])], _INDEX)
 
-    index = settle(
-        files.select("node_id", "_slice_no", "_pos", "size")
-        .groupBy("node_id", "_slice_no")
-        .applyInPandas(per_slice, "node_id string, _slice_no bigint, _class int, _bytes bigint, _need bigint")
-    )
+    narrow = files.select("node_id", "_slice_no", "_pos", "size")
+    index = settle(_by_group(narrow, ["node_id", "_slice_no"], ["_pos"], per_slice, _INDEX))
 
-    def per_node(keys: tuple, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def per_node(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
         out = []
-        if len(states):
-            columns = ["_slice_no", "_class", "_bytes", "_need"]
-            known = [tuple(map(int, r)) for r in rows.sort_values(["_slice_no", "_class"])[columns].to_numpy()]
-            start = int(states["_after"].iloc[0])
-            spans, at, room = next_event(known, int(states["_room"].iloc[0]), start)
-            out = [(keys[0], *span, None, None) for span in spans]
+        nodes, rooms, after = (table.column(c).to_pylist() for c in ("node_id", "_room", "_after"))
+        known = list(zip(*(table.column(c).to_pylist() for c in ("_slice_no", "_class", "_bytes", "_need")), strict=True))
+        for a, b in groups:
+            spans, at, room = next_event(known[a:b], rooms[a], after[a])
+            out += [(nodes[a], *span, None, None) for span in spans]
             if at is not None:
-                out.append((keys[0], None, None, None, at, room))
-        names = ["node_id", "_from", "_to", "_cut", "_open", "_room"]
-        return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names[1:]})
+                out.append((nodes[a], None, None, None, at, room))
+        return _rows(out, _SPANS)
 
-    def per_open(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_pos")
-        fits = first_fit(group["size"].tolist(), int(group["_room"].iloc[0]))
-        return group[["node_id", "_slice_no", "_pos", "size", "_room"]].assign(_fits=fits)
+    def per_open(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        return table.append_column("_fits", _first_fits(table, groups))
 
     walked_schema = "node_id string, _slice_no bigint, _pos bigint, size bigint, _room bigint, _fits boolean"
     state = files.groupBy("node_id").agg(F.max("_room").alias("_room")).withColumn("_after", F.lit(0).cast("bigint"))
     spans, walks = [], []
     while True:
-        step = settle(
-            state.groupBy("node_id").cogroup(index.groupBy("node_id")).applyInPandas(per_node, _SPANS)
-        )
+        ahead = index.join(state, "node_id").filter(F.col("_slice_no") >= F.col("_after"))
+        step = settle(_by_group(ahead, ["node_id"], ["_slice_no", "_class"], per_node, _SPANS))
         spans.append(step.filter(F.col("_from").isNotNull()).select("node_id", "_from", "_to", "_cut"))
         to_open = step.filter(F.col("_open").isNotNull()).select("node_id", F.col("_open").alias("_slice_no"), "_room")
         parts = [r[0] for r in to_open.select(part).distinct().collect()]
@@ -259,11 +310,8 @@ def _rounds(placed: DataFrame, order: Sequence[str], group_rows: int, opened: li
         some = files.filter(F.col("_part").isin(parts)).select("node_id", "_slice_no", "_pos", "size")
         if opened is not None:
             opened.append(some.count())
-        walk = settle(
-            some.join(to_open, ["node_id", "_slice_no"])
-            .groupBy("node_id", "_slice_no")
-            .applyInPandas(per_open, walked_schema)
-        )
+        asked = some.join(to_open, ["node_id", "_slice_no"])
+        walk = settle(_by_group(asked, ["node_id", "_slice_no"], ["_pos"], per_open, walked_schema))
         walks.append(walk.select("node_id", "_pos", "_fits"))
         taken = F.coalesce(F.sum(F.when(F.col("_fits"), F.col("size"))), F.lit(0))
         state = walk.groupBy("node_id").agg(

@@ -123,3 +123,34 @@ def test_used_bytes_and_sizes(catalog, table):
     objects = table("id string, size bigint", ("x", 3), ("x", 3), ("y", None))
     sized = {r.id: r.object_size for r in placement.attach_sizes(files, objects).collect()}
     assert sized == {"x": 3, "y": None, "z": None}
+
+
+def test_small_groups_share_calls_and_are_cut_nowhere():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    keys = [k for k in range(500) for _ in range(rng.choice([1, 2, 3, 40]))]
+    rows = pa.table({"node_id": [str(k) for k in keys], "slice": [k % 7 for k in keys], "at": list(range(len(keys)))})
+    for width in (1, 3, 64, 100_000):
+        calls, seen = 0, []
+
+        def step(table, groups):
+            nonlocal calls
+            calls += 1
+            at = table.column("at").to_pylist()
+            seen.extend(at[a:b] for a, b in groups)
+            return table
+
+        batches = rows.to_batches(max_chunksize=width)
+        empty = rows.schema.empty_table().to_batches() or [pa.RecordBatch.from_pylist([], rows.schema)]
+        out = pa.Table.from_batches(placement._whole_groups(iter([*empty, *batches, *empty]), ["node_id", "slice"], step))
+        assert out.equals(rows) and [len(s) for s in seen] == [keys.count(k) for k in range(500)]
+        assert calls <= 2 * len(batches)
+
+
+def test_many_short_nodes_have_no_python_batch_each(table):
+    files = [(f"n{n}", f"{i}", i % 3, 1 + (n * i) % 5) for n in range(60) for i in range(5)]
+    rooms = [(f"n{n}", 6) for n in range(60)]
+    assert fitted(table, files, rooms, group_rows=2) == greedy(files, rooms) == fitted(table, files, rooms)
+    plan = placement.fit_capacity(table(CANDIDATE, *files), table(ROOM, *rooms))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
