@@ -28,47 +28,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from steward.llm.shared import Batches, batches_of, written
-from steward.llm.tokens import encoder
+from steward.llm.tokens import encoder, ranges
 
 SHARD_TOKENS, PART_BYTES = 1 << 19, 128 << 20
 # A rule takes twelve bytes of the file and an occurrence saves four, so a pair pays from four times on.
 LEAST_COUNT = 4
 
 
-def _overlapping(equal: np.ndarray) -> np.ndarray:
-    """Of the ascending places of pairs of two equal symbols, which are at odd places of their run."""
-    runs = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
-    return (equal - np.repeat(equal[runs], np.diff(np.append(runs, len(equal))))) % 2 == 1
+def _ordered(pairs: np.ndarray, places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both by pair, then by place, which has at most ``bits`` bits."""
+    if int(pairs.max(initial=0)).bit_length() + bits > 63:
+        order = np.lexsort((places, pairs))
+        return pairs[order], places[order]
+    both = np.sort(pairs << bits | places)
+    return both >> bits, both & (1 << bits) - 1
 
 
-def _counted(now: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs found ``least`` times, the most frequent first; places without overlaps; their pairs)."""
-    keys = now[places] << 32 | now[places + 1]
-    equal = np.flatnonzero(now[places] == now[places + 1])
-    if len(equal):
-        odd = equal[_overlapping(places[equal])]
-        places, keys = np.delete(places, odd), np.delete(keys, odd)
-    ordered = np.sort(keys)
-    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
-    counts = np.diff(np.append(edges, len(ordered)))
-    often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")]
-    return ordered[edges[often]], places, keys
+def _overlapping(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the places of pairs of two equal symbols, by pair and place, which are at odd places of their run."""
+    runs = np.flatnonzero(np.append(True, after[places[:-1]] != places[1:]))
+    return (np.arange(len(places)) - np.repeat(runs, np.diff(runs, append=len(places)))) % 2 == 1
 
 
-def _apart(frequent: np.ndarray) -> np.ndarray:
-    """The pairs of ``frequent``, in order, without those that could overlap with one before them.
+def _apart(lefts: np.ndarray, rights: np.ndarray, symbols: int) -> np.ndarray:
+    """Numbers of the pairs, in order, without those that could overlap with one before them.
 
     A pair of equal symbols is both the left and the right of itself, so it shares with no other.
     """
-    lefts: set[int] = set()
-    rights: set[int] = set()
+    is_left, is_right = bytearray(symbols), bytearray(symbols)
+    left_of, right_of = np.frombuffer(is_left, np.bool_), np.frombuffer(is_right, np.bool_)
     taken: list[int] = []
-    for key, a, b in zip(frequent.tolist(), (frequent >> 32).tolist(), (frequent & 0xFFFFFFFF).tolist(), strict=True):
-        if a not in rights and b not in lefts:
-            lefts.add(a)
-            rights.add(b)
-            taken.append(key)
+    for at in range(0, len(lefts), 1024):
+        a, b = lefts[at : at + 1024], rights[at : at + 1024]
+        free = np.flatnonzero(~(right_of[a] | left_of[b]))
+        for k, x, y in zip((at + free).tolist(), a[free].tolist(), b[free].tolist(), strict=True):
+            if not (is_right[x] or is_left[y]):
+                is_left[x] = is_right[y] = 1
+                taken.append(k)
     return np.array(taken, dtype=np.int64)
 
 
@@ -78,41 +74,59 @@ def compress(ids: np.ndarray, end: int, first: int, least: int = LEAST_COUNT) ->
     It goes on until no pair occurs ``least`` times. Pairs with ``end`` are never taken, so no
     symbol reaches across documents. Each round takes one pair at least, the most frequent. Counts
     only fall, so after the first round a pair can be frequent only if it was before or holds a new
-    symbol; the others are not looked at again.
+    symbol; only the places of those are looked at again. Symbols keep their places, linked to the next
+    and the one before, so a round costs what it looks at.
     """
-    now = ids.astype(np.int64)
+    least, n = max(least, 2), len(ids)
+    wide, bits = (first + n // least).bit_length(), n.bit_length()
+    low = (1 << wide) - 1
+    now = np.append(ids, end).astype(np.int64 if wide > 31 else np.int32)
+    after, before = np.minimum(np.arange(1, n + 2), n), np.arange(-1, n)
     rules: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)]
-    start, old = first, 0
-    begins, follows = np.zeros((2, first), dtype=bool)
+    start, look = first, np.arange(n)
     while True:
-        fresh, inner = now >= old, now != end
-        look = fresh[:-1] | fresh[1:] | begins[now[:-1]] & follows[now[1:]]
-        places = np.flatnonzero(look & inner[:-1] & inner[1:])
-        frequent, places, keys = _counted(now, places, max(least, 2))
-        if not len(frequent):
-            return np.concatenate(rules), now
-        taken = _apart(frequent)
-        rules.append(np.stack([taken >> 32, taken & 0xFFFFFFFF], axis=1))
-        order = np.argsort(taken)
-        known = taken[order]
-        old, start = start, start + len(taken)
-        begins, follows = np.zeros((2, start), dtype=bool)
-        begins[frequent >> 32] = True
-        follows[frequent & 0xFFFFFFFF] = True
-        maybe = begins[keys >> 32] & follows[keys & 0xFFFFFFFF]
-        places, keys = places[maybe], keys[maybe]
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        now[places[hit]] = old + order[at[hit]]
-        now = np.delete(now, places[hit] + 1)
+        a, b = now[look], now[after[look]]
+        inner = (a != end) & (b != end)
+        pairs, places = _ordered(a[inner].astype(np.int64) << wide | b[inner], look[inner], bits)
+        edges = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        sizes, keys = np.diff(edges, append=len(pairs)), pairs[edges]
+        lefts, rights, counts = keys >> wide, keys & low, sizes.copy()
+        equal = np.flatnonzero((lefts == rights) & (sizes >= least))
+        odd = ranges(edges[equal], sizes[equal])
+        if len(odd):
+            odd = odd[_overlapping(places[odd], after)]
+            counts -= np.bincount(np.searchsorted(edges, odd, side="right") - 1, minlength=len(edges))
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
+            symbols = now[:n]
+            return np.concatenate(rules), symbols[symbols >= 0].astype(np.int64)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        taken = often[_apart(lefts[often], rights[often], start)]
+        rules.append(np.stack([lefts[taken], rights[taken]], axis=1))
+        look_again = np.zeros(n + 1, dtype=bool)
+        look_again[places[ranges(edges[often], sizes[often])]] = True
+        hit = ranges(edges[taken], sizes[taken])
+        made = np.repeat(np.arange(start, start + len(taken)), sizes[taken])
+        if len(odd):
+            even = ~np.isin(hit, odd)
+            hit, made = hit[even], made[even]
+        lead, made = _ordered(places[hit], made, wide)
+        gone = after[lead]
+        tail = after[gone]
+        now[lead], now[gone] = made, -1
+        after[lead], before[tail] = tail, lead
+        start += len(taken)
+        look_again[lead] = look_again[before[lead]] = True
+        look_again[gone] = look_again[n] = False
+        look = np.flatnonzero(look_again)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
     """How many ids each rule's symbol expands to."""
-    out = np.zeros(len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
+    return np.array(out, dtype=np.int64)
 
 
 @dataclass
@@ -125,10 +139,14 @@ class Shard:
     symbols: np.ndarray
 
     def __post_init__(self) -> None:
-        nonterminal = self.symbols >= self.first
-        sizes = np.ones(len(self.symbols), dtype=np.int64)
-        sizes[nonterminal] = self.lengths[self.symbols[nonterminal] - self.first]
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum(self._sizes(self.symbols))
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each of ``symbols`` expands to."""
+        nonterminal = symbols >= self.first
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[nonterminal] = self.lengths[symbols[nonterminal] - self.first]
+        return sizes
 
     @classmethod
     def read(cls, first: int, rules: bytes, lengths: bytes, symbols: bytes) -> Shard:
@@ -149,7 +167,7 @@ class Shard:
         return symbols
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """The ids at positions ``start`` to ``stop``; only the symbols that cover them are expanded."""
+        """The ids at positions ``start`` to ``stop``; only the symbols that cover them are expanded, each once."""
         total = int(self.ends[-1]) if len(self.ends) else 0
         stop = total if stop is None else min(stop, total)
         if start >= stop:
@@ -157,7 +175,14 @@ class Shard:
         i = int(np.searchsorted(self.ends, start, side="right"))
         j = int(np.searchsorted(self.ends, stop, side="left")) + 1
         before = int(self.ends[i - 1]) if i else 0
-        return self._expand(self.symbols[i:j])[start - before : stop - before].astype("<u4")
+        symbols, ends = self.symbols[i:j], self.ends[i:j] - before
+        used = np.zeros(self.first + len(self.rules), dtype=bool)
+        used[symbols] = True
+        distinct = np.flatnonzero(used)
+        at = np.zeros(len(used), dtype=np.int64)
+        at[distinct[1:]] = np.cumsum(self._sizes(distinct))[:-1]
+        places = ranges(at[symbols], np.diff(ends, prepend=0))
+        return self._expand(distinct).astype("<u4")[places[start - before : stop - before]]
 
 
 def write(

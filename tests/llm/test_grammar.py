@@ -100,6 +100,25 @@ def test_equal_ids_halve():
     assert len(rules) == 10 and len(symbols) == 5
 
 
+def test_each_symbol_is_expanded_once(monkeypatch):
+    ids = np.append(np.tile(np.arange(2, 30), 40), END)
+    rules, symbols = grammar.compress(np.tile(ids, 8), END, 100)
+    shard = grammar.Shard(100, rules, grammar.lengths_of(rules, 100), symbols)
+    given, expand = [], grammar.Shard._expand
+    monkeypatch.setattr(grammar.Shard, "_expand", lambda self, s: (given.append(s), expand(self, s))[1])
+    assert np.array_equal(shard.decode(), np.tile(ids, 8))
+    assert all(len(np.unique(s)) == len(s) for s in given) and len(given[0]) < len(symbols)
+
+
+def test_pairs_without_room_for_their_places_are_ordered_alike():
+    rng = np.random.default_rng(5)
+    pairs, places = rng.integers(0, 9, 500), rng.permutation(500)
+    packed, at = grammar._ordered(pairs, places, 9)
+    wide, at_wide = grammar._ordered(pairs + (1 << 60), places, 9)
+    assert np.array_equal(packed, wide - (1 << 60)) and np.array_equal(at, at_wide)
+    assert np.array_equal(packed, np.sort(pairs)) and np.array_equal(pairs[np.argsort(places)][at], packed)
+
+
 @pytest.mark.parametrize("ids", [[], [END], [4], [4, 4, 4, 4], [END] * 9])
 def test_small_inputs(ids):
     ids = np.array(ids, dtype=np.int64)
