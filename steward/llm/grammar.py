@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from steward.llm.shared import Batches, batches_of, written
-from steward.llm.tokens import encoder, ranges
+from steward.llm.shared import Batches, batches_by_bytes, written
+from steward.llm.tokens import PIECES_CHARS, encoder, ranges
 
 SHARD_TOKENS, PART_BYTES = 1 << 19, 128 << 20
 # A rule takes twelve bytes of the file and an occurrence saves four, so a pair pays from four times on.
@@ -238,7 +238,7 @@ def write(
             return pa.RecordBatch.from_arrays(out, names)
 
         for all_rows in batches:
-            for batch in batches_of(all_rows, 512):
+            for batch in batches_by_bytes(all_rows, 1, PIECES_CHARS):
                 arrow = batch.schema.field(0).type
                 found = library.encode(batch.column(1).to_pylist())
                 for key, ids in zip(batch.column(0).to_pylist(), found, strict=True):

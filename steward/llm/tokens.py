@@ -154,7 +154,7 @@ class Encoder:
                 self.split is None
                 or any(m in text for m in self.marks)
                 or _PLAIN.search(text)
-                or not cased.isascii() and _PLAIN.search(cased)
+                or (self.lower and not cased.isascii() and _PLAIN.search(cased))
             ):
                 out.append(self.whole(text))
                 continue

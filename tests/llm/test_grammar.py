@@ -3,11 +3,13 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from steward.llm import grammar
 from steward.llm.queries import QUERIES, WORD_LEVEL
+from steward.llm.shared import batches_by_bytes
 
 END = 1
 
@@ -160,6 +162,14 @@ def test_documents_longer_than_a_shard(spark, documents, tmp_path, shard_tokens)
     assert all(r.n_tokens <= shard_tokens and len(s.decode()) == r.n_tokens for r, s in files)
 
 
+def test_slices_end_by_bytes():
+    texts = ["ab", None, "é", "x" * 9, "", "abc", "y" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    slices = [b.column(1).to_pylist() for b in batches_by_bytes(batch, 1, 6)]
+    assert slices == [["ab", None, "é"], ["x" * 9], ["", "abc"], ["y" * 20]]
+    assert not list(batches_by_bytes(batch.slice(0, 0), 1, 6))
+
+
 def test_repeated_rows_and_no_rows(spark, documents, tmp_path):
     docs = documents((1, "same text"), (1, "same text"), (None, "same text"), (None, "same text"))
     grammar.write(docs, str(tmp_path / "a"), WORD_LEVEL, END)
